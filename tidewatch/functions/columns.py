@@ -53,15 +53,3 @@ def logit(p: Column) -> Column:
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Quotient as a double, 0 where the denominator is 0."""
     return F.coalesce(F.try_divide(numerator.cast("double"), denominator.cast("double")), F.lit(0.0))
-
-
-def percentile_rank(p: Column, quantiles: list[float]) -> Column:
-    """Share (0..100) of the sorted quantile list lying strictly below ``p``; null for no list.
-
-    The list is bounded (1,001 values in a saved model), so it travels as a literal.
-    """
-    if not quantiles:
-        return F.lit(None).cast("double")
-    table = F.array(*[F.lit(float(q)) for q in quantiles])
-    below = F.size(F.filter(table, lambda q: q < p))
-    return F.when(p.isNotNull(), below * F.lit(100.0) / F.lit(len(quantiles)))
