@@ -475,11 +475,15 @@ def unseen_flags(spark: SparkSession, folder: str) -> DataFrame:
                COUNT(*) FILTER (fine_score >= 0.6 AND y = 1) AS ftp, COUNT(*) FILTER (fine_score >= 0.6) AS fk
         FROM ranked GROUP BY subgroup
     )
-    SELECT subgroup, transactions, positives, ROUND(prevalence, 9) AS prevalence, ROUND(pr_auc, 9) AS pr_auc,
-           ROUND(roc_auc, 9) AS roc_auc, ROUND(tp / k, 9) AS precision_at_alert_rate,
-           ROUND(tp / positives, 9) AS recall_at_alert_rate, ROUND(tp / k / prevalence, 6) AS lift_at_alert_rate,
+    SELECT subgroup, transactions, positives, ROUND(prevalence, 9) AS prevalence,
+           CASE WHEN positives > 0 THEN ROUND(pr_auc, 9) END AS pr_auc,
+           CASE WHEN positives > 0 THEN ROUND(roc_auc, 9) END AS roc_auc,
+           CASE WHEN positives > 0 THEN ROUND(tp / k, 9) END AS precision_at_alert_rate,
+           CASE WHEN positives > 0 THEN ROUND(tp / positives, 9) END AS recall_at_alert_rate,
+           CASE WHEN positives > 0 THEN ROUND(tp / k / prevalence, 6) END AS lift_at_alert_rate,
            0.6::DOUBLE AS fixed_threshold, ROUND(ftp / fk, 9) AS fixed_precision,
-           ROUND(ftp / positives, 9) AS fixed_recall, ROUND(ftp / fk / prevalence, 6) AS fixed_lift,
+           CASE WHEN positives > 0 THEN ROUND(ftp / positives, 9) ELSE 0 END AS fixed_recall,
+           CASE WHEN positives > 0 THEN ROUND(ftp / fk / prevalence, 6) ELSE 0 END AS fixed_lift,
            ROUND(fk / transactions, 9) AS fixed_alert_rate, fk AS fixed_alerts
     FROM budgets JOIN areas USING (subgroup)""",
 )

@@ -102,9 +102,10 @@ def fit_preprocessor(
     if categorical:
         spark_names = [f"cat_{c}" for c in categorical]
         index_names, hot_names = [f"idx_{c}" for c in categorical], [f"hot_{c}" for c in categorical]
-        stages.append(
-            StringIndexerModel.from_arrays_of_labels(labels, spark_names, index_names, handleInvalid="keep")
-        )
+        stages += [
+            StringIndexerModel.from_labels(known, source, index, handleInvalid="keep")
+            for known, source, index in zip(labels, spark_names, index_names, strict=True)
+        ]
         # The indexer keeps unknowns as a last index; dropping it leaves zeros.
         stages.append(OneHotEncoder(inputCols=index_names, outputCols=hot_names, dropLast=True))
         vectors += hot_names
