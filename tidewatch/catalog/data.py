@@ -136,13 +136,13 @@ def cleaned_values(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "complete_rows",
     """SELECT event_type, COUNT(*) AS kept FROM events
-       WHERE value >= 5 AND user_id <> 3 GROUP BY event_type""",
+       WHERE value >= 5 AND event_type <> 'error' GROUP BY event_type""",
 )
 def complete_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Rows without a timestamp or with a missing amount are dropped."""
     ev = fixture.table(spark, folder, "events").withColumns(
         {
-            S.TIMESTAMP: F.when(F.col("user_id") != 3, F.col("ts")),
+            S.TIMESTAMP: F.when(F.col("event_type") != "error", F.col("ts")),
             S.AMOUNT: F.when(F.col("value") >= 5, F.col("value")).otherwise(float("nan")),
         }
     )

@@ -50,21 +50,14 @@ def trained(spark: SparkSession, folder: str) -> tuple[RiskModel, str]:
     return RiskModel.load(spark, path), path
 
 
-_TRAIN_SQL = f"""{TXN_SQL}, part AS (SELECT * FROM txn WHERE ts < TIMESTAMP '1997-01-01')"""
-
-
-def _early(spark: SparkSession, folder: str) -> DataFrame:
-    return fixture.transactions(spark, folder).where(F.col(S.TIMESTAMP) < F.lit("1997-01-01").cast("timestamp"))
-
-
 @query(
     "imputation_medians",
-    f"""{_TRAIN_SQL} SELECT 'Amount' AS feature, ROUND(quantile_cont(amount, 0.5), 6) AS median FROM part
-        UNION ALL SELECT 'log_amount', ROUND(quantile_cont(ln(1 + amount), 0.5), 6) FROM part""",
+    f"""{TXN_SQL} SELECT 'Amount' AS feature, ROUND(quantile_cont(amount, 0.5), 6) AS median FROM txn
+        UNION ALL SELECT 'log_amount', ROUND(quantile_cont(ln(1 + amount), 0.5), 6) FROM txn""",
 )
 def imputation_medians(spark: SparkSession, folder: str) -> DataFrame:
-    early = _early(spark, folder).withColumn("log_amount", F.log1p("Amount"))
-    found = preprocessing.medians(early, ["Amount", "log_amount"])
+    txn = fixture.transactions(spark, folder).withColumn("log_amount", F.log1p("Amount"))
+    found = preprocessing.medians(txn, ["Amount", "log_amount"])
     return spark.createDataFrame(list(found.items()), "feature string, median double").select(
         "feature", rounded("median")
     )
@@ -79,14 +72,14 @@ _CATEGORY_COLUMNS = {
 
 @query(
     "category_counts",
-    f"{_TRAIN_SQL}"
+    f"{TXN_SQL}"
     + " UNION ALL ".join(
-        f" SELECT '{c}' AS \"column\", {s} AS category, COUNT(*) AS n FROM part GROUP BY {s}"
+        f" SELECT '{c}' AS \"column\", {s} AS category, COUNT(*) AS n FROM txn GROUP BY {s}"
         for c, s in _CATEGORY_COLUMNS.items()
     ),
 )
 def category_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return preprocessing.category_counts(_early(spark, folder), list(_CATEGORY_COLUMNS))
+    return preprocessing.category_counts(fixture.transactions(spark, folder), list(_CATEGORY_COLUMNS))
 
 
 @query(

@@ -79,8 +79,9 @@ def add_history(
     previous payment. ``full_hhi`` also appends the concentration over all
     counterparties of the past, not just those paid at this instant.
     """
-    df = add_sender_history(df, tie_break, rows_per_key, rows_per_piece, amount_scale, full_hhi)
-    df = add_receiver_history(df, rows_per_key, rows_per_piece, amount_scale)
+    heavy = heavy_accounts(df, [S.SENDER, S.RECEIVER], rows_per_key)
+    df = add_sender_history(df, tie_break, heavy, rows_per_piece, amount_scale, full_hhi)
+    df = add_receiver_history(df, heavy, rows_per_piece, amount_scale)
     return clean_history(df)
 
 
@@ -93,13 +94,17 @@ def clean_history(df: DataFrame) -> DataFrame:
 def add_sender_history(
     df: DataFrame,
     tie_break: Sequence[str],
-    rows_per_key: int = ROWS_PER_KEY,
+    heavy: dict[str, DataFrame] | None = None,
     rows_per_piece: int | None = None,
     amount_scale: int = AMOUNT_SCALE,
     full_hhi: bool = False,
 ) -> DataFrame:
-    """Sender features as the frames give them: mean and deviation are null without history."""
-    seen = _side_history(df, PAYER, tie_break, rows_per_key, rows_per_piece, amount_scale)
+    """Sender features as the frames give them: mean and deviation are null without history.
+
+    ``heavy`` is what ``heavy_accounts`` found, if the caller has it.
+    """
+    heavy = heavy_accounts(df, [S.SENDER]) if heavy is None else heavy
+    seen = _side_history(df, PAYER, tie_break, heavy.get(S.SENDER), rows_per_piece, amount_scale)
     mean, deviation = moments(F.col("h_count_30d"), F.col("h_sum_30d"), F.col("h_squares_30d"), amount_scale)
     gap = F.unix_seconds(F.timestamp_micros(_US)) - F.unix_seconds(F.timestamp_micros("h_previous"))
     seen = seen.withColumns(
@@ -129,11 +134,12 @@ def add_sender_history(
 
 def add_receiver_history(
     df: DataFrame,
-    rows_per_key: int = ROWS_PER_KEY,
+    heavy: dict[str, DataFrame] | None = None,
     rows_per_piece: int | None = None,
     amount_scale: int = AMOUNT_SCALE,
 ) -> DataFrame:
-    seen = _side_history(df, PAYEE, [], rows_per_key, rows_per_piece, amount_scale)
+    heavy = heavy_accounts(df, [S.RECEIVER]) if heavy is None else heavy
+    seen = _side_history(df, PAYEE, [], heavy.get(S.RECEIVER), rows_per_piece, amount_scale)
     return seen.withColumns(
         {
             "receiver_txn_count_24h": F.col("h_count_24h"),
@@ -162,26 +168,39 @@ def moments(n: Column, total: Column, squares: Column, scale: int) -> tuple[Colu
     return mean, deviation
 
 
-def heavy_accounts(df: DataFrame, account: str, rows_per_key: int) -> DataFrame | None:
-    """Accounts with more rows than one task should hold, or None.
+def heavy_accounts(
+    df: DataFrame, accounts: Sequence[str], rows_per_key: int = ROWS_PER_KEY
+) -> dict[str, DataFrame]:
+    """Per account column, the accounts with more rows than one task should hold.
 
-    The limit rises with the table so that at most MAX_HEAVY_KEYS accounts can
-    exceed it; that bound is what allows broadcasting them.
+    One pass counts all columns with map-side combine. The limit rises with the
+    table so that at most MAX_HEAVY_KEYS accounts of a column can exceed it;
+    that bound is what allows broadcasting them. Columns without any are absent.
     """
-    counts = df.groupBy(account).agg(F.count(F.lit(1)).alias("n"))
-    top = counts.agg(F.max("n").alias("largest"), F.sum("n").alias("rows")).first()
-    limit = max(rows_per_key, (top["rows"] or 0) // MAX_HEAVY_KEYS)
-    if (top["largest"] or 0) <= limit:
-        return None
-    keys = counts.where(F.col("n") > limit).select(account).collect()
-    return df.sparkSession.createDataFrame(keys, df.select(account).schema)
+    cells = [F.struct(F.lit(c).alias("which"), F.col(c).cast("string").alias("account")) for c in accounts]
+    counts = (
+        df.select(F.explode(F.array(*cells)).alias("cell"))
+        .groupBy("cell.which", "cell.account")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    tops = counts.groupBy("which").agg(F.max("n").alias("largest"), F.sum("n").alias("rows")).collect()
+    found = {}
+    for top in tops:
+        limit = max(rows_per_key, top["rows"] // MAX_HEAVY_KEYS)
+        if top["largest"] > limit:
+            keys = counts.where((F.col("which") == top["which"]) & (F.col("n") > limit))
+            rows = [(r["account"],) for r in keys.select("account").collect()]
+            column = top["which"]
+            table = df.sparkSession.createDataFrame(rows, f"`{column}` string")
+            found[column] = table.select(F.col(column).cast(df.schema[column].dataType).alias(column))
+    return found
 
 
 def _side_history(
     df: DataFrame,
     side: Side,
     tie_break: Sequence[str],
-    rows_per_key: int,
+    heavy: DataFrame | None,
     rows_per_piece: int | None,
     scale: int,
 ) -> DataFrame:
@@ -190,7 +209,6 @@ def _side_history(
     keyed = df.withColumns(
         {_US: micros(F.col(S.TIMESTAMP)), _X: F.col(S.AMOUNT).cast(f"decimal(18,{scale})")}
     )
-    heavy = heavy_accounts(df, side.account, rows_per_key)
     if heavy is None:
         return _by_account(keyed, side, tie_break, scale)
     # Both branches and every lookup below read this table, so it is computed once.

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.operators.history import add_history
 from tidewatch.operators.row_features import add_row_features
+from tidewatch.session import materialize
 from tidewatch.sources.transactions import read_transactions, write_features
 
 
@@ -17,5 +18,6 @@ def build_features(transactions: DataFrame, tie_break: Sequence[str]) -> DataFra
 
 
 def build_feature_table(spark: SparkSession, csv_path: str, output: str, tie_break: Sequence[str]) -> None:
-    """Raw CSV to the partitioned feature table."""
-    write_features(build_features(read_transactions(spark, csv_path), tie_break), output)
+    """Raw CSV to the partitioned feature table; the text is parsed once."""
+    transactions = materialize(read_transactions(spark, csv_path), "transactions")
+    write_features(build_features(transactions, tie_break), output)
