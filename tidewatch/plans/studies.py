@@ -189,7 +189,9 @@ def train_risk_model(
         "training_end": spans["train"]["last_timestamp"].isoformat(),
         "test_start": spans["test"]["first_timestamp"].isoformat(),
         "test_end": spans["test"]["last_timestamp"].isoformat(),
-        **{f"{n}_prevalence": spans[n]["prevalence"] for n in ("train", "validation", "test")},
+        "training_prevalence": spans["train"]["prevalence"],
+        "validation_prevalence": spans["validation"]["prevalence"],
+        "test_prevalence": spans["test"]["prevalence"],
         "model_parameters": config.booster.__dict__,
         "package_versions": {"python": platform.python_version(), "pyspark": version("pyspark")},
     }
