@@ -221,6 +221,33 @@ def _side_history(
     )
 
 
+def pair_history(
+    df: DataFrame,
+    heavy: dict[str, DataFrame] | None = None,
+    rows_per_piece: int | None = None,
+    amount_scale: int = AMOUNT_SCALE,
+) -> DataFrame:
+    """Value a sender pays a counterparty at an instant, and what that summed to before."""
+    heavy = heavy_accounts(df, [S.SENDER]) if heavy is None else heavy
+    keys = [S.SENDER, S.PAID_IN, S.RECEIVER]
+    pairs = (
+        df.withColumn(_US, micros(F.col(S.TIMESTAMP)))
+        .groupBy(*keys, _US)
+        .agg(F.sum(F.col(S.AMOUNT).cast(f"decimal(18,{amount_scale})")).alias("pair_amount"))
+    )
+    cuts: list[float] = []
+    if heavy:
+        pairs = materialize(pairs, "pair-history")
+        cuts = cut_points(pairs, _US, pieces_for(pairs.count(), rows_per_piece))
+    seen = running_before(pairs, keys, _US, {"historical_pair_amount": "pair_amount"}, cuts=cuts)
+    return seen.select(
+        *keys,
+        F.timestamp_micros(_US).alias(S.TIMESTAMP),
+        F.col("pair_amount").cast("double").alias("pair_amount"),
+        F.col("historical_pair_amount").cast("double").alias("historical_pair_amount"),
+    )
+
+
 def _by_account(df: DataFrame, side: Side, tie_break: Sequence[str], scale: int) -> DataFrame:
     """All windows of one side over a single shuffle by account.
 

@@ -31,14 +31,14 @@ def score_steps(
 ) -> DataFrame:
     """One row per distinct score, from high to low, with counts at and above it.
 
-    ``pos``/``n`` are at the score, ``pos_above``/``n_above`` strictly above.
+    ``pos``/``n`` are at the score, ``pos_above``/``n_above`` strictly above. ``rows``
+    (counted if not given) decides into how many pieces the order is cut.
     """
+    rows = df.count() if rows is None else rows
     steps = df.groupBy(*by, F.col(score).alias("score")).agg(
         F.sum((F.col(target) == 1).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")
     )
-    cuts: list[float] = []
-    if rows is not None:
-        cuts = cut_points(df, score, pieces_for(rows, rows_per_piece))
+    cuts = cut_points(df, score, pieces_for(rows, rows_per_piece))
     return running_before(
         steps, list(by), "score", {"pos_above": "pos", "n_above": "n"}, cuts=cuts, descending=True
     )

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 ROWS_PER_PIECE = 2_000_000
 MAX_PIECES = 4096
+SMALL_CELLS = 2_000_000
 _PIECE = "__piece"
 _PLACE = "__place"
 
@@ -65,23 +66,45 @@ def place(df: DataFrame, column: str) -> Column:
 
 def cut_points(df: DataFrame, column: str, pieces: int) -> list[float]:
     """At most ``pieces - 1`` balancing cut points, from one mergeable sketch pass."""
+    return cut_tables(df, [column], pieces)[column]
+
+
+def cut_tables(df: DataFrame, columns: Sequence[str], pieces: int) -> dict[str, list[float]]:
+    """Cut points of several columns from the same pass."""
     if pieces <= 1:
-        return []
+        return {c: [] for c in columns}
     shares = [i / pieces for i in range(1, pieces)]
-    cuts = df.agg(
-        F.percentile_approx(place(df, column), shares, max(10_000, 10 * pieces)).alias("cuts")
-    ).first()["cuts"]
-    return sorted({c for c in cuts or [] if c is not None and not math.isnan(c)})
+    sketches = [
+        F.percentile_approx(place(df, c), shares, max(1_000, 10 * pieces)).alias(f"__{i}")
+        for i, c in enumerate(columns)
+    ]
+    found = df.agg(*sketches).first()
+    return {
+        c: sorted({v for v in found[f"__{i}"] or [] if v is not None and not math.isnan(v)})
+        for i, c in enumerate(columns)
+    }
 
 
 def with_piece(df: DataFrame, column: str, cuts: list[float], name: str = _PIECE) -> DataFrame:
     """Number the piece of each row by binary search in the cut points."""
-    if not cuts:
-        return df.withColumn(name, F.lit(0))
-    splits = [-math.inf, *cuts, math.inf]
-    placed = df.withColumn(_PLACE, place(df, column))
-    bucket = Bucketizer(splits=splits, inputCol=_PLACE, outputCol=name, handleInvalid="keep")
-    return bucket.transform(placed).withColumn(name, F.col(name).cast("int")).drop(_PLACE)
+    return with_pieces(df, {column: cuts}, {column: name})
+
+
+def with_pieces(df: DataFrame, cuts: dict[str, list[float]], names: dict[str, str]) -> DataFrame:
+    placed = {f"{_PLACE}_{i}": place(df, c) for i, c in enumerate(cuts) if cuts[c]}
+    whole = {names[c]: F.lit(0) for c in cuts if not cuts[c]}
+    df = df.withColumns(whole) if whole else df
+    if not placed:
+        return df
+    cut = {names[c]: [-math.inf, *points, math.inf] for c, points in cuts.items() if points}
+    bucket = Bucketizer(
+        splitsArray=list(cut.values()),
+        inputCols=list(placed),
+        outputCols=list(cut),
+        handleInvalid="keep",
+    )
+    numbered = bucket.transform(df.withColumns(placed))
+    return numbered.withColumns({n: F.col(n).cast("int") for n in cut}).drop(*placed)
 
 
 def running_before(
@@ -187,44 +210,38 @@ def order_statistics(
         return {c: {} for c in ranks}
 
     pieces = pieces_for(rows, rows_per_piece)
-    pieced = df
-    for i, column in enumerate(columns):
-        cuts = cut_points(df, column, pieces) if pieces > 1 else []
-        pieced = with_piece(pieced, column, cuts, f"__piece_{i}")
-    longed = pieced.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("which"),
-                        F.col(f"__piece_{i}").alias("piece"),
-                        F.col(column).alias("value"),
-                    )
-                    for i, column in enumerate(columns)
-                ]
-            )
-        ).alias("cell")
-    ).select("cell.*")
-    longed = longed.where(F.col("value").isNotNull())
-    if isinstance(longed.schema["value"].dataType, T.DoubleType | T.FloatType):
-        longed = longed.where(~F.isnan("value"))
+    piece_names = {c: f"__piece_{i}" for i, c in enumerate(columns)}
+    pieced = with_pieces(df.select(*columns), cut_tables(df, columns, pieces), piece_names)
+
+    def cells(wanted_pieces: dict[int, list[int]] | None) -> DataFrame:
+        """(which, piece, value) of every column, or only of the wanted pieces."""
+        found = []
+        for i, column in enumerate(columns):
+            piece, value = F.col(piece_names[column]), F.col(column)
+            kept = value.isNotNull()
+            if isinstance(df.schema[column].dataType, T.DoubleType | T.FloatType):
+                kept = kept & ~F.isnan(value)
+            if wanted_pieces is not None:
+                kept = kept & piece.isin(wanted_pieces.get(i, []))
+            cell = F.struct(F.lit(i).alias("which"), piece.alias("piece"), value.alias("value"))
+            found.append(F.when(kept, cell))
+        return pieced.select(F.explode(F.array_compact(F.array(*found))).alias("cell")).select("cell.*")
 
     offsets: dict[tuple[int, int], int] = {}
+    longed = cells(None)
     if pieces > 1:
         counted = F.count_distinct("value") if distinct else F.count(F.lit(1))
         found = longed.groupBy("which", "piece").agg(counted.alias("n")).collect()
-        keep = []
+        keep: dict[int, list[int]] = {}
         for i, column in enumerate(columns):
             start = 0
             mine = sorted((r for r in found if r["which"] == i), key=lambda r: r["piece"])
             for r in reversed(mine) if descending else mine:
                 if any(start < k <= start + r["n"] for k in wanted[column]):
-                    keep.append((i, r["piece"]))
+                    keep.setdefault(i, []).append(r["piece"])
                     offsets[(i, r["piece"])] = start
                 start += r["n"]
-        longed = longed.where(
-            F.concat_ws(":", "which", "piece").isin([f"{i}:{p}" for i, p in keep])
-        )
+        longed = cells(keep)
 
     counts = longed.groupBy("which", "piece", "value").agg(
         (F.lit(1) if distinct else F.count(F.lit(1))).cast("long").alias("n")
@@ -274,6 +291,15 @@ def quantiles(
     present = doubled.agg(
         *[F.count(F.when(~F.isnan(c), F.col(c))).alias(c) for c in columns]
     ).first()
+    if rows_per_piece is None and sum(present) <= SMALL_CELLS:
+        # Few enough values for the built-in exact aggregate, which keeps them all in one buffer.
+        exact = [
+            F.percentile(F.when(~F.isnan(c), F.col(c)), F.array(*map(F.lit, map(float, shares[c])))).alias(c)
+            for c in columns
+        ]
+        small = doubled.agg(*exact).first()
+        return {c: list(small[c] or [None] * len(shares[c])) for c in columns}
+
     positions = {c: [(present[c] - 1) * q for q in shares[c]] for c in columns if present[c]}
     ranks = {
         c: {math.floor(p) + 1 for p in ps} | {math.ceil(p) + 1 for p in ps}
