@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -21,33 +20,31 @@ from tidewatch.streaming import scoring as streams
 FAST = training_config(fast=True)
 
 
-@lru_cache(maxsize=4)
-def _features_at(app: str, folder: str) -> str:
-    spark = SparkSession.getActiveSession()
-    stored = materialize(build_features(fixture.transactions(spark, folder), KEYS), "feature-table")
-    return stored.inputFiles()[0].rsplit("/", 1)[0]
+# Where this session keeps the feature table and the model of a test folder.
+_FEATURES: dict[tuple[str, str], str] = {}
+_MODELS: dict[tuple[str, str], str] = {}
 
 
 def features(spark: SparkSession, folder: str) -> DataFrame:
     """The feature table of the test transactions, built once per session."""
-    path = _features_at(spark.sparkContext.applicationId, folder)
-    return spark.read.parquet(path)
-
-
-@lru_cache(maxsize=4)
-def _model_at(app: str, folder: str) -> str:
-    spark = SparkSession.getActiveSession()
-    model, reports = studies.train_risk_model(features(spark, folder), KEYS, FAST)
-    path = f"{shared_folder(spark)}/model-{uuid4().hex}"
-    model.save(spark, path)
-    for name, report in reports.items():
-        report.write.parquet(f"{path}/reports/{name}")
-    return path
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _FEATURES:
+        stored = materialize(build_features(fixture.transactions(spark, folder), KEYS), "feature-table")
+        _FEATURES[key] = stored.inputFiles()[0].rsplit("/", 1)[0]
+    return spark.read.parquet(_FEATURES[key])
 
 
 def trained(spark: SparkSession, folder: str) -> tuple[RiskModel, str]:
-    path = _model_at(spark.sparkContext.applicationId, folder)
-    return RiskModel.load(spark, path), path
+    """The ten-tree model of the test transactions, trained once per session, and its folder."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _MODELS:
+        model, reports = studies.train_risk_model(features(spark, folder), KEYS, FAST)
+        path = f"{shared_folder(spark)}/model-{uuid4().hex}"
+        model.save(spark, path)
+        for name, report in reports.items():
+            report.write.parquet(f"{path}/reports/{name}")
+        _MODELS[key] = path
+    return RiskModel.load(spark, _MODELS[key]), _MODELS[key]
 
 
 @query(
