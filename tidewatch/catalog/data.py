@@ -63,10 +63,7 @@ def _wave(fn: str, value: str, period: int) -> str:
     return f"ROUND({fn}(2 * pi() * {value} / {period}), 9)"
 
 
-@query(
-    "row_features",
-    f"""{TXN_SQL}
-    SELECT {KEY_SQL}, ROUND(ln(1 + amount), 9) AS log_amount,
+ROW_FEATURE_SQL = f"""ROUND(ln(1 + amount), 9) AS log_amount,
            {_wave("sin", _HOUR, 24)} AS hour_sin, {_wave("cos", _HOUR, 24)} AS hour_cos,
            {_wave("sin", _DOW, 7)} AS dow_sin, {_wave("cos", _DOW, 7)} AS dow_cos,
            {_wave("sin", _MONTH, 12)} AS month_sin, {_wave("cos", _MONTH, 12)} AS month_cos,
@@ -74,9 +71,10 @@ def _wave(fn: str, value: str, period: int) -> str:
            CAST({_HOUR} >= 22 OR {_HOUR} <= 6 AS INTEGER) AS is_night,
            CAST(paid_in IS DISTINCT FROM received_in AS INTEGER) AS currency_mismatch,
            CAST(sender_place IS DISTINCT FROM receiver_place AS INTEGER) AS cross_border,
-           CAST(amount - 1000 * floor(amount / 1000) <= 1e-8 AS INTEGER) AS is_round_amount
-    FROM txn""",
-)
+           CAST(amount - 1000 * floor(amount / 1000) <= 1e-8 AS INTEGER) AS is_round_amount"""
+
+
+@query("row_features", f"{TXN_SQL} SELECT {KEY_SQL}, {ROW_FEATURE_SQL} FROM txn")
 def row_features(spark: SparkSession, folder: str) -> DataFrame:
     df = add_row_features(fixture.transactions(spark, folder))
     waves = ["log_amount", *S.CYCLIC_FEATURES]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch import schema as S
@@ -11,6 +13,8 @@ from tidewatch.operators import accounts, alerts, metrics, splits
 from tidewatch.operators.scoring import with_percentile
 from tidewatch.plans import fixture
 from tidewatch.plans.ordering import quantiles
+from tidewatch.session import shared_folder
+from tidewatch.sources import reports
 
 
 def _txn(spark: SparkSession, folder: str) -> DataFrame:
@@ -287,6 +291,33 @@ def ranked_typologies(spark: SparkSession, folder: str) -> DataFrame:
     return alerts.ranked_typologies(_typologies(spark, folder))
 
 
+@query(
+    "typology_report",
+    f"""{_TYPOLOGY_SQL} SELECT typology, transactions, positives, recall AS "recall_at_0.5%" FROM recalls
+        WHERE typology IS NOT NULL""",
+)
+def typology_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The typology table written as CSV and read back with its types."""
+    place = f"{shared_folder(spark)}/reports-{uuid4().hex}"
+    named = _typologies(spark, folder).where(F.col("typology").isNotNull())
+    reports.write_csv(named.withColumnRenamed("recall", "recall_at_0.5%"), f"{place}/typology_results")
+    return reports.read_report(spark, "typology", place, f"{place}/published")
+
+
+@query(
+    "split_report",
+    f"""{_CUTS_SQL} SELECT split, COUNT(*) AS rows, CAST(SUM(y) AS BIGINT) AS positives,
+        ROUND(AVG(y), 9) AS prevalence FROM split GROUP BY split""",
+)
+def split_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Split statistics written as JSON and read back with their types."""
+    place = f"{shared_folder(spark)}/reports-{uuid4().hex}/splits"
+    found = splits.split_statistics(splits.temporal_split(_txn(spark, folder)))
+    kept = found.select("split", "rows", "positives", F.round("prevalence", 9).alias("prevalence"))
+    reports.write_json(kept, place)
+    return spark.read.schema(kept.schema).json(place)
+
+
 # --- scores ----------------------------------------------------------------
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch import schema as S
 from tidewatch.catalog.base import KEYS, TXN_SQL, query, rounded
-from tidewatch.config import training_config
+from tidewatch.config import PreprocessingConfig, training_config
 from tidewatch.operators import attribution, models, preprocessing, splits
 from tidewatch.operators.scoring import score
 from tidewatch.plans import fixture, studies
@@ -79,6 +80,33 @@ def category_counts(spark: SparkSession, folder: str) -> DataFrame:
     return preprocessing.category_counts(fixture.transactions(spark, folder), list(_CATEGORY_COLUMNS))
 
 
+@query(
+    "category_statistics",
+    f"""{TXN_SQL}, c AS ("""
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", {s} AS category, COUNT(*) AS n FROM txn GROUP BY {s}"
+        for c, s in _CATEGORY_COLUMNS.items()
+    )
+    + """), typical AS (SELECT AVG(n) AS m FROM c WHERE "column" = 'Sender_bank_location')
+    SELECT "column", arg_min(category, (-n, category)) AS mode,
+           COALESCE(string_agg(category, ',' ORDER BY category) FILTER (n >= ceil(m)), '') AS frequent,
+           COALESCE(string_agg(category, ',' ORDER BY category) FILTER (n < ceil(m)), '') AS rare
+    FROM c, typical GROUP BY "column\"""",
+)
+def category_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Mode, kept and pooled categories, with the cut at the average size of a bank location."""
+    txn = fixture.transactions(spark, folder)
+    sizes = txn.groupBy("Sender_bank_location").count()
+    limit = math.ceil(sizes.agg(F.avg("count")).first()[0])
+    found = preprocessing.category_statistics(
+        txn, list(_CATEGORY_COLUMNS), PreprocessingConfig(min_category_count=limit)
+    )
+    return spark.createDataFrame(
+        [(c, s.mode, ",".join(s.frequent), ",".join(s.rare)) for c, s in found.items()],
+        "column string, mode string, frequent string, rare string",
+    )
+
+
 @query(
     "class_weight",
     f"""{TXN_SQL} SELECT ROUND((COUNT(*) - SUM(y)) / GREATEST(SUM(y), 1), 9) AS positive_weight FROM txn""",
