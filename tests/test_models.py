@@ -205,6 +205,10 @@ def test_studies_return_the_published_columns(spark, table, trained):
     }
     assert found["standard_out_of_time"]["transactions"] == 200
     assert found["unseen_entity"]["transactions"] >= 99
+    lonely = studies.unseen_entities(test.where("id < 0"), table, ["id"]).collect()
+    assert {(r["subgroup"], r["transactions"], r["pr_auc"]) for r in lonely} == {
+        (n, 0, None) for n in ("standard_out_of_time", "both_parties_seen", "unseen_entity")
+    }
     assert (
         found["both_parties_seen"]["transactions"] + found["unseen_entity"]["transactions"] == 200
     )

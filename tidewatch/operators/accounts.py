@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from tidewatch import schema as S
 from tidewatch.plans.ordering import lookup
 
+SUBGROUPS = ("standard_out_of_time", "both_parties_seen", "unseen_entity")
+
 
 def known_accounts(train: DataFrame) -> DataFrame:
     """Distinct accounts on either side of the training transactions.
@@ -34,5 +36,6 @@ def flag_unseen(df: DataFrame, accounts: DataFrame) -> DataFrame:
 
 def subgroups(df: DataFrame) -> DataFrame:
     """Repeat each row for the full population and for the subgroup it falls in."""
-    own = F.when(F.col("both_seen"), "both_parties_seen").otherwise("unseen_entity")
-    return df.withColumn("subgroup", F.explode(F.array(F.lit("standard_out_of_time"), own)))
+    everyone, known, unseen = SUBGROUPS
+    own = F.when(F.col("both_seen"), known).otherwise(unseen)
+    return df.withColumn("subgroup", F.explode(F.array(F.lit(everyone), own)))

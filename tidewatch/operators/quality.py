@@ -139,15 +139,15 @@ def is_clean(df: DataFrame, null_limit: float = NULL_LIMIT, sequence: str | None
     return find_issues(df, null_limit, sequence).where(F.col("severity") == ISSUE).isEmpty()
 
 
-def require_features(df: DataFrame, null_limit: float = NULL_LIMIT, sequence: str | None = None) -> bool:
-    """Fail if columns are absent; any other issue is reported but accepted.
+def require_features(df: DataFrame) -> bool:
+    """Fail if columns are absent, else accept.
 
-    Absent columns are always the first issues, and only they are fatal.
+    Absent columns always come first among the issues and only they are fatal, so
+    a look at the schema decides; ``find_issues`` reports the rest.
     """
     absent = missing_columns(df)
     if absent:
         raise ValueError(f"critical validation failure: {absent}")
-    find_issues(df, null_limit, sequence)
     return True
 
 

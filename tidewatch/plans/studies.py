@@ -128,7 +128,12 @@ def unseen_entities(
         "subgroup string, pr_auc double, roc_auc double, precision_at_alert_rate double, "
         "recall_at_alert_rate double, lift_at_alert_rate double",
     )
-    report = counts.join(ranked, "subgroup", "left")
+    names = scored.sparkSession.createDataFrame([(n,) for n in accounts.SUBGROUPS], "subgroup string")
+    report = (
+        names.join(counts, "subgroup", "left")
+        .fillna(0, ["transactions", "positives"])
+        .join(ranked, "subgroup", "left")
+    )
     if threshold is None:
         return report
     fixed = alerts.at_threshold(grouped, threshold, SCORE, by=["subgroup"])
