@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,7 +45,7 @@ def n_words(text):
 
 def slices(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that its text column (by position) holds about ``SLICE_BYTES`` in each slice."""
-    sizes = np.asarray(pa.compute.binary_length(batch.column(text)).fill_null(0), dtype=np.int64)
+    sizes = np.asarray(pc.binary_length(batch.column(text)).fill_null(0), dtype=np.int64)
     start, ends = 0, np.cumsum(sizes)
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0

@@ -13,6 +13,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -127,7 +128,7 @@ def token_counts(
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(1).fill_null("")
-            sizes = pa.compute.binary_length(texts).cast(pa.int64())
+            sizes = pc.binary_length(texts).cast(pa.int64())
             counts = np.fromiter((count(t) for t in texts.to_pylist()), np.int64, batch.num_rows)
             return pa.RecordBatch.from_arrays(
                 [batch.column(0), sizes, pa.array(counts), pa.array(counts > limit)],
