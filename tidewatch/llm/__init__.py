@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline and their queries."""
 
-from tidewatch.llm import mixing, token_counts
+from tidewatch.llm import mixing, sharding, token_counts
 from tidewatch.llm.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "mixing", "token_counts"]
+__all__ = ["ORACLES", "QUERIES", "mixing", "sharding", "token_counts"]

@@ -205,8 +205,8 @@ WITH sized AS (
     FROM named
 ), filled AS (
     SELECT a.source, a.sid, a.source_size, a.weight, a.cap, a.total,
-           sum(least(b.cap * 10, a.level * b.weight)) <= a.total * 10 AS capped
-    FROM levels a CROSS JOIN levels b GROUP BY ALL
+           sum(least(b.cap * 10, a.level * b.weight)) <= any_value(a.total) * 10 AS capped
+    FROM levels a CROSS JOIN levels b GROUP BY a.source, a.sid, a.source_size, a.weight, a.cap, a.total
 ), rest AS (
     SELECT CAST(any_value(total) - COALESCE(sum(cap) FILTER (capped), 0) AS DOUBLE)
            / CAST(sum(weight) FILTER (NOT capped) AS DOUBLE) AS share, any_value(total) AS total, count(*) AS n
