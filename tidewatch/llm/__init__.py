@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline and their queries."""
 
-from tidewatch.llm import mixing, packing, quality, sharding, token_counts
+from tidewatch.llm import mixing, packing, quality, sharding, token_counts, warc
 from tidewatch.llm.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "mixing", "packing", "quality", "sharding", "token_counts"]
+__all__ = ["ORACLES", "QUERIES", "mixing", "packing", "quality", "sharding", "token_counts", "warc"]
