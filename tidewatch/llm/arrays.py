@@ -7,6 +7,8 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: White space and ASCII punctuation and controls.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -47,14 +49,17 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of some texts: ``starts`` and ``ends`` in the bytes, ``doc`` of each, ``first`` word of each text."""
+    """The words of some texts: ``starts`` and ``ends`` in the bytes, ``doc`` of each, ``first`` word of each text.
 
-    def __init__(self, texts: pa.Array, lower: bool = True):
+    Words end at white space, or at ASCII punctuation too; ``lower`` lower-cases A to Z.
+    """
+
+    def __init__(self, texts: pa.Array, lower: bool = True, punctuation: bool = False):
         data, self.offsets = utf8(texts)
         self.data = LOWER[data] if lower else data
         n = len(data)
         inside = np.zeros(n + 2, bool)
-        inside[1:-1] = ~SPACE[data]
+        inside[1:-1] = ~(PUNCTUATION if punctuation else SPACE)[data]
         cut = np.zeros(n + 1, bool)
         cut[self.offsets] = True
         here = inside[1:-1]
