@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline and their queries."""
 
-from tidewatch.llm import mixing, packing, quality, sharding, spotsigs, token_counts, toxicity, warc
+from tidewatch.llm import mixing, near_dedup, packing, quality, sharding, spotsigs, token_counts, toxicity, warc
 from tidewatch.llm.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "mixing", "packing", "quality", "sharding", "spotsigs", "token_counts", "toxicity", "warc"]
+__all__ = ["ORACLES", "QUERIES", "mixing", "near_dedup", "packing", "quality", "sharding", "spotsigs", "token_counts", "toxicity", "warc"]
