@@ -101,6 +101,7 @@ def shards(
     held = placed.groupBy("range").agg(F.sum("size").alias("held"), F.min("key").alias("low"), F.max("key").alias("high"))
     fair = max(1.0, total / parts)
     held = held.withColumn("pieces", F.when(F.col("held") > 2 * fair, F.ceil(F.col("held") / fair)).otherwise(1))
+    held = materialize(held, "shard-ranges")  # some thousand rows; as a table, so that a hot range's records can be split
     by_key = (F.col("key").cast("double") - F.col("low").cast("double")) / (
         F.col("high").cast("double") - F.col("low").cast("double")
     )
@@ -109,6 +110,7 @@ def shards(
         "piece", F.least(F.floor(F.col("pieces") * F.when(F.col("pieces") > 1, share).otherwise(0.0)), F.col("pieces") - 1)
     )
     totals = divided.groupBy("range", "piece").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    totals = materialize(totals, "shard-pieces")
     in_order = W.orderBy("range", "piece").rowsBetween(W.unboundedPreceding, 0)  # some thousand rows at any size
     middle = F.sum("bytes").over(in_order) - F.col("bytes") / 2
     dealt = totals.withColumn("shard", F.least(F.floor(middle * n_shards / float(max(total, 1))), F.lit(n_shards - 1)).cast("int"))
