@@ -133,19 +133,42 @@ def cleaned_values(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "complete_rows",
-    """SELECT event_type, COUNT(*) AS kept FROM events
-       WHERE value >= 5 AND event_type <> 'error' GROUP BY event_type""",
+    f"""{TXN_SQL}
+    SELECT payment_type, COUNT(*) AS kept FROM txn
+    WHERE l_linenumber <> 2 AND l_linenumber <> 3 GROUP BY payment_type""",
 )
 def complete_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows without a timestamp or with a missing amount are dropped."""
-    ev = fixture.table(spark, folder, "events").withColumns(
+    """Raw rows without a readable time or without an amount are dropped; other ways to write a time aren't."""
+    txn = fixture.transactions(spark, folder)
+    line = F.col("l_linenumber")
+    raw = txn.withColumns(
         {
-            S.TIMESTAMP: F.when(F.col("event_type") != "error", F.col("ts")),
-            S.AMOUNT: F.when(F.col("value") >= 5, F.col("value")).otherwise(float("nan")),
+            "Date": F.when(line == 4, F.date_format(S.TIMESTAMP, "yyyy/MM/dd")).otherwise(F.date_format(S.TIMESTAMP, "yyyy-MM-dd")),
+            "Time": F.when(line == 2, "noon")
+            .when(line == 4, F.date_format(S.TIMESTAMP, "HH:mm"))
+            .when(line == 5, F.date_format(S.TIMESTAMP, "HH:mm:ss.SSS"))
+            .otherwise(F.date_format(S.TIMESTAMP, "HH:mm:ss")),
+            S.AMOUNT: F.when(line != 3, F.col(S.AMOUNT)),
         }
+    ).select(*S.RAW_COLUMNS)
+    path = f"{shared_folder(spark)}/csv-{uuid4().hex}"
+    raw.write.option("header", True).csv(path)
+    kept = source.read_transactions(spark, path)
+    return kept.groupBy(F.col("Payment_type").alias("payment_type")).agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query(
+    "round_amounts",
+    f"""{TXN_SQL}, coarse AS (
+        SELECT * REPLACE (CASE WHEN l_linenumber % 2 = 0 THEN ROUND(amount, -3) ELSE amount END AS amount) FROM txn
     )
-    kept = ev.dropna(subset=[S.TIMESTAMP, S.AMOUNT])
-    return kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("kept"))
+    SELECT {KEY_SQL}, CAST(amount - 1000 * floor(amount / 1000) <= 1e-8 AS INTEGER) AS is_round_amount FROM coarse""",
+)
+def round_amounts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every other amount is a multiple of 1,000."""
+    txn = fixture.transactions(spark, folder)
+    coarse = F.when(F.col("l_linenumber") % 2 == 0, F.round(S.AMOUNT, -3)).otherwise(F.col(S.AMOUNT))
+    return add_row_features(txn.withColumn(S.AMOUNT, coarse)).select(*KEYS, "is_round_amount")
 
 
 # --- quality ---------------------------------------------------------------

@@ -152,6 +152,45 @@ def _alert_case(rate: float) -> str:
     return f"place <= GREATEST(1, ceil(n * {rate}::DOUBLE))"
 
 
+@query(
+    "alerts_duplicate_rows",
+    f"""{TXN_SQL}, twice AS (SELECT * FROM txn UNION ALL SELECT * FROM txn), ranked AS (
+        SELECT *, ROW_NUMBER() OVER (ORDER BY tied_score DESC, l_linenumber) AS place, COUNT(*) OVER () AS n FROM twice
+    )
+    SELECT tied_score AS score, l_linenumber, COUNT(*) AS rows, COUNT(*) FILTER ({_alert_case(0.05)}) AS alerts
+    FROM ranked GROUP BY ALL""",
+)
+def alerts_duplicate_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Exactly the budgeted rows, though every row is there twice and the tie-break repeats."""
+    txn = _scored(spark, folder, "tied_score")
+    marked = alerts.mark_alerts(txn.unionByName(txn), 0.05, ["l_linenumber"])
+    return marked.groupBy("score", "l_linenumber").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("is_alert").cast("long")).alias("alerts")
+    )
+
+
+@query(
+    "alerts_null_score",
+    f"""{TXN_SQL}, spoilt AS (
+        SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN tied_score END AS score,
+               CASE WHEN l_linenumber % 3 <> 0 THEN l_orderkey END AS tie FROM txn
+    ), ranked AS (
+        SELECT *, ROW_NUMBER() OVER (ORDER BY score DESC NULLS LAST, tie NULLS LAST, {TIE_SQL}) AS place,
+               COUNT(*) OVER () AS n FROM spoilt
+    )
+    SELECT {KEY_SQL}, CAST({_alert_case(0.7)} AS INTEGER) AS is_alert FROM ranked""",
+)
+def alerts_null_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows without a score come last, and so do those without a tie-break among equals."""
+    spoilt = _scored(spark, folder, "tied_score").withColumns(
+        {
+            "score": F.when(F.col("l_linenumber") % 2 == 0, F.col("score")),
+            "tie": F.when(F.col("l_linenumber") % 3 != 0, F.col("l_orderkey")),
+        }
+    )
+    return alerts.mark_alerts(spoilt, 0.7, ["tie", *KEYS]).select(*KEYS, "is_alert")
+
+
 def _register_alerts(score: str) -> None:
     @query(
         f"alerts_{score}",
@@ -267,7 +306,8 @@ def expected_decision_cost(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _TYPOLOGY_SQL = f"""{_RANKED_SQL.format(score="tied_score")}, recalls AS (
-    SELECT NULLIF(typology, 'RF') AS typology, COUNT(*) AS transactions, CAST(SUM(y) AS BIGINT) AS positives,
+    SELECT CASE WHEN tied_score < 0.02 THEN 'small discount' ELSE NULLIF(typology, 'RF') END AS typology,
+           COUNT(*) AS transactions, CAST(SUM(y) AS BIGINT) AS positives,
            CASE WHEN SUM(y) = 0 THEN 0 ELSE ROUND(COUNT(*) FILTER ({_alert_case(0.005)} AND y = 1) / SUM(y), 9) END
                AS recall
     FROM ranked GROUP BY 1
@@ -275,8 +315,9 @@ _TYPOLOGY_SQL = f"""{_RANKED_SQL.format(score="tied_score")}, recalls AS (
 
 
 def _typologies(spark: SparkSession, folder: str) -> DataFrame:
-    """One typology is made null: it must stay a group."""
-    txn = _txn(spark, folder).withColumn(S.TYPOLOGY, F.nullif(F.col(S.TYPOLOGY), F.lit("RF")))
+    """One typology is made null, which must stay a group; small discounts are one without positives."""
+    named = F.when(F.col("tied_score") < 0.02, "small discount").otherwise(F.nullif(F.col(S.TYPOLOGY), F.lit("RF")))
+    txn = _txn(spark, folder).withColumn(S.TYPOLOGY, named)
     marked = alerts.mark_alerts(txn, 0.005, KEYS, "tied_score")
     return alerts.typology_recall(marked).withColumn("recall", F.round("recall", 9))
 
@@ -294,13 +335,12 @@ def ranked_typologies(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "typology_report",
     f"""{_TYPOLOGY_SQL} SELECT typology, transactions, positives, recall AS "recall_at_0.5%" FROM recalls
-        WHERE typology IS NOT NULL""",
+        """,
 )
 def typology_report(spark: SparkSession, folder: str) -> DataFrame:
     """The typology table written as CSV and read back with its types."""
     place = f"{shared_folder(spark)}/reports-{uuid4().hex}"
-    named = _typologies(spark, folder).where(F.col("typology").isNotNull())
-    reports.write_csv(named.withColumnRenamed("recall", "recall_at_0.5%"), f"{place}/typology_results")
+    reports.write_csv(_typologies(spark, folder).withColumnRenamed("recall", "recall_at_0.5%"), f"{place}/typology_results")
     return reports.read_report(spark, "typology", place, f"{place}/published")
 
 
@@ -443,11 +483,12 @@ def score_logits(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- accounts --------------------------------------------------------------
 
-# Training leaves one payment region out, so that the test period has senders never seen before.
-_UNSEEN_SQL = f"""{_CUTS_SQL}, seen AS (
+def _unseen_sql(held_out: str | None) -> str:
+    known = "split = 'train'" + (f" AND paid_in <> '{held_out}'" if held_out else "")
+    return f"""{_CUTS_SQL}, seen AS (
     SELECT DISTINCT account FROM (
-        SELECT sender AS account FROM split WHERE split = 'train' AND paid_in <> 'ASIA'
-        UNION SELECT receiver FROM split WHERE split = 'train' AND paid_in <> 'ASIA')
+        SELECT sender AS account FROM split WHERE {known}
+        UNION SELECT receiver FROM split WHERE {known})
 ), flagged AS (
     SELECT split.*, sender IN (SELECT account FROM seen) AS sender_seen,
            receiver IN (SELECT account FROM seen) AS receiver_seen
@@ -455,35 +496,16 @@ _UNSEEN_SQL = f"""{_CUTS_SQL}, seen AS (
 )"""
 
 
-def _train_and_test(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The split, with one payment region left out of training."""
+def _train_and_test(spark: SparkSession, folder: str, held_out: str | None) -> tuple[DataFrame, DataFrame]:
+    """The split; ``held_out`` names a payment region whose payments aren't trained on."""
     parts = splits.temporal_split(_txn(spark, folder)).withColumn("score", F.col("fine_score"))
-    train = parts.where((F.col("split") == "train") & (F.col(S.PAID_IN) != "ASIA"))
+    train = parts.where(F.col("split") == "train")
+    if held_out:
+        train = train.where(F.col(S.PAID_IN) != held_out)
     return train, parts.where(F.col("split") == "test")
 
 
-@query(
-    "known_accounts",
-    f"{_UNSEEN_SQL} SELECT account FROM seen",
-)
-def known_accounts(spark: SparkSession, folder: str) -> DataFrame:
-    return accounts.known_accounts(_train_and_test(spark, folder)[0])
-
-
-@query(
-    "unseen_flags",
-    f"""{_UNSEEN_SQL} SELECT {KEY_SQL}, sender_seen, receiver_seen, sender_seen AND receiver_seen AS both_seen,
-        NOT (sender_seen AND receiver_seen) AS unseen_entity FROM flagged""",
-)
-def unseen_flags(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = _train_and_test(spark, folder)
-    flagged = accounts.flag_unseen(test, accounts.known_accounts(train))
-    return flagged.select(*KEYS, "sender_seen", "receiver_seen", "both_seen", "unseen_entity")
-
-
-@query(
-    "unseen_subgroups",
-    f"""{_UNSEEN_SQL}, grouped AS (
+_SUBGROUP_SQL = f""", grouped AS (
         SELECT *, 'standard_out_of_time' AS subgroup FROM flagged
         UNION ALL SELECT *, CASE WHEN sender_seen AND receiver_seen THEN 'both_parties_seen'
                                  ELSE 'unseen_entity' END FROM flagged
@@ -506,27 +528,50 @@ def unseen_flags(spark: SparkSession, folder: str) -> DataFrame:
                COUNT(*) FILTER (fine_score >= 0.6 AND y = 1) AS ftp, COUNT(*) FILTER (fine_score >= 0.6) AS fk
         FROM ranked GROUP BY subgroup
     )
-    SELECT subgroup, transactions, positives, ROUND(prevalence, 9) AS prevalence,
+    SELECT subgroup, COALESCE(transactions, 0) AS transactions, COALESCE(positives, 0) AS positives,
+           ROUND(prevalence, 9) AS prevalence,
            CASE WHEN positives > 0 THEN ROUND(pr_auc, 9) END AS pr_auc,
            CASE WHEN positives > 0 THEN ROUND(roc_auc, 9) END AS roc_auc,
            CASE WHEN positives > 0 THEN ROUND(tp / k, 9) END AS precision_at_alert_rate,
            CASE WHEN positives > 0 THEN ROUND(tp / positives, 9) END AS recall_at_alert_rate,
            CASE WHEN positives > 0 THEN ROUND(tp / k / prevalence, 6) END AS lift_at_alert_rate,
-           0.6::DOUBLE AS fixed_threshold, ROUND(ftp / fk, 9) AS fixed_precision,
-           CASE WHEN positives > 0 THEN ROUND(ftp / positives, 9) ELSE 0 END AS fixed_recall,
-           CASE WHEN positives > 0 THEN ROUND(ftp / fk / prevalence, 6) ELSE 0 END AS fixed_lift,
+           CASE WHEN transactions > 0 THEN 0.6::DOUBLE END AS fixed_threshold, ROUND(ftp / fk, 9) AS fixed_precision,
+           CASE WHEN positives > 0 THEN ROUND(ftp / positives, 9) WHEN positives = 0 THEN 0 END AS fixed_recall,
+           CASE WHEN positives > 0 THEN ROUND(ftp / fk / prevalence, 6) WHEN positives = 0 THEN 0 END AS fixed_lift,
            ROUND(fk / transactions, 9) AS fixed_alert_rate, fk AS fixed_alerts
-    FROM budgets JOIN areas USING (subgroup)""",
-)
-def unseen_subgroups(spark: SparkSession, folder: str) -> DataFrame:
-    from tidewatch.plans.studies import unseen_entities
+    FROM (VALUES ('standard_out_of_time'), ('both_parties_seen'), ('unseen_entity')) names(subgroup)
+    LEFT JOIN budgets USING (subgroup) LEFT JOIN areas USING (subgroup)"""
 
-    train, test = _train_and_test(spark, folder)
-    found = unseen_entities(test, train, KEYS, threshold=0.6)
-    exact = ("subgroup", "transactions", "positives", "fixed_threshold", "fixed_alerts")
-    return found.select(
-        *[
-            F.col(c) if c in exact else F.round(c, 6 if "lift" in c else 9).alias(c)
-            for c in found.columns
-        ]
+
+def _register_unseen(suffix: str, held_out: str | None) -> None:
+    """Over all training rows, and as a study of parties never seen with one region held out."""
+    base = _unseen_sql(held_out)
+
+    @query(f"known_accounts{suffix}", f"{base} SELECT account FROM seen")
+    def known_accounts(spark: SparkSession, folder: str) -> DataFrame:
+        return accounts.known_accounts(_train_and_test(spark, folder, held_out)[0])
+
+    @query(
+        f"unseen_flags{suffix}",
+        f"""{base} SELECT {KEY_SQL}, sender_seen, receiver_seen, sender_seen AND receiver_seen AS both_seen,
+        NOT (sender_seen AND receiver_seen) AS unseen_entity FROM flagged""",
     )
+    def unseen_flags(spark: SparkSession, folder: str) -> DataFrame:
+        train, test = _train_and_test(spark, folder, held_out)
+        flagged = accounts.flag_unseen(test, accounts.known_accounts(train))
+        return flagged.select(*KEYS, "sender_seen", "receiver_seen", "both_seen", "unseen_entity")
+
+    @query(f"unseen_subgroups{suffix}", base + _SUBGROUP_SQL)
+    def unseen_subgroups(spark: SparkSession, folder: str) -> DataFrame:
+        from tidewatch.plans.studies import unseen_entities
+
+        train, test = _train_and_test(spark, folder, held_out)
+        found = unseen_entities(test, train, KEYS, threshold=0.6)
+        exact = ("subgroup", "transactions", "positives", "fixed_threshold", "fixed_alerts")
+        return found.select(
+            *[F.col(c) if c in exact else F.round(c, 6 if "lift" in c else 9).alias(c) for c in found.columns]
+        )
+
+
+_register_unseen("", None)
+_register_unseen("_region_held_out", "ASIA")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch import schema as S
 from tidewatch.functions.columns import ratio
-from tidewatch.plans.ordering import Cut, leading_rows
+from tidewatch.plans.ordering import ROW, Cut, exact_rows
 
 IS_ALERT = "is_alert"
 
@@ -17,9 +17,9 @@ IS_ALERT = "is_alert"
 def budget(rows: int, rate: float) -> int:
     """Number of alerts a rate allows; the float product decides, as published."""
     if rows <= 0:
-        raise ValueError("scores must not be empty")
+        raise ValueError(f"an empty table has no alerts to take (alert_rate {rate})")
     if not 0 < rate <= 1:
-        raise ValueError("alert_rate must be in (0, 1]")
+        raise ValueError(f"alert_rate {rate} is outside (0, 1]")
     return max(1, math.ceil(rows * rate))
 
 
@@ -30,29 +30,30 @@ def alert_cuts(
     score: str = "score",
     rows: int | None = None,
     rows_per_piece: int | None = None,
-) -> list[Cut]:
-    """For each rate, the cut that holds exactly the budgeted rows of highest score.
+) -> tuple[DataFrame, list[Cut]]:
+    """The table, and for each rate the cut that holds exactly the budgeted rows of highest score.
 
-    Ties are taken in tie-break order. Finding a cut moves no rows, so a score
+    Ties are taken in tie-break order, null and NaN last at each level; rows that tie entirely are
+    told apart by a row number, which the returned table then has. Finding a cut moves no rows, so a score
     shared by much of the table costs nothing extra.
     """
     rows = df.count() if rows is None else rows
     sizes = [budget(rows, rate) for rate in rates]
     order = [(score, True), *[(c, False) for c in tie_break]]
-    return leading_rows(df, order, sizes, rows, rows_per_piece)
+    return exact_rows(df, order, sizes, rows, rows_per_piece)
 
 
 def mark_alerts(
     df: DataFrame, rate: float, tie_break: Sequence[str], score: str = "score"
 ) -> DataFrame:
     """Append ``is_alert``: 1 for exactly the budgeted number of highest scores."""
-    cut = alert_cuts(df, [rate], tie_break, score)[0]
-    return df.withColumn(IS_ALERT, cut.inside().cast("int"))
+    df, cuts = alert_cuts(df, [rate], tie_break, score)
+    return df.withColumn(IS_ALERT, cuts[0].inside().cast("int")).drop(ROW)
 
 
-def alert_threshold(cut: Cut) -> float:
-    """The lowest score among the alerts."""
-    return float(cut.values[0])
+def alert_threshold(cut: Cut) -> float | None:
+    """The lowest score among the alerts; none if rows without a score are among them."""
+    return None if cut.values[0] is None else float(cut.values[0])
 
 
 def confusion(predicted: Column, target: Column) -> dict[str, Column]:
@@ -96,12 +97,12 @@ def at_alert_rate(
     rows: int | None = None,
 ) -> DataFrame:
     """Precision, recall and lift of the top scores, one row per rate."""
-    cuts = alert_cuts(df, rates, tie_break, score, rows)
+    df, cuts = alert_cuts(df, rates, tie_break, score, rows)
     wide = df.agg(
         *[
             F.struct(
                 F.lit(float(rate)).alias("alert_rate"),
-                F.lit(alert_threshold(cut)).alias("threshold"),
+                F.lit(alert_threshold(cut)).cast("double").alias("threshold"),
                 *[c.alias(n) for n, c in confusion(cut.inside(), F.col(target)).items()],
             ).alias(f"at_{i}")
             for i, (rate, cut) in enumerate(zip(rates, cuts, strict=True))

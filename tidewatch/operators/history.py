@@ -10,8 +10,9 @@ Two ways to the same values:
   totals over instants are taken piece by piece in time (``running_before``).
   Rows then look their instant up with an equi-join.
 
-Amounts are summed as decimals: differences of running totals stay exact and
-results don't depend on how the data is partitioned.
+Amounts are summed as whole numbers of a unit, the largest power of ten that
+all of them are multiples of: nothing is rounded, differences of running totals stay
+exact, and results don't depend on how the data is partitioned or on its scale.
 """
 
 from __future__ import annotations
@@ -30,9 +31,12 @@ DAY_24H = 86_400_000_000
 DAYS_30 = 30 * DAY_24H
 ROWS_PER_KEY = 5_000_000
 MAX_HEAVY_KEYS = 100_000
-AMOUNT_SCALE = 4
+#: Digits an amount may have in units: squares of that many, summed over a billion rows, are exact.
+AMOUNT_DIGITS = 14
 
-_US, _X, _TIE = "__us", "__x", "__tie"
+_US, _X, _TIE, _ROW = "__us", "__x", "__tie", "__row"
+_UNITS = f"decimal({AMOUNT_DIGITS},0)"
+_TOTAL, _SQUARES = "decimal(30,0)", "decimal(37,0)"
 
 
 @dataclass(frozen=True)
@@ -69,7 +73,7 @@ def add_history(
     tie_break: Sequence[str],
     rows_per_key: int = ROWS_PER_KEY,
     rows_per_piece: int | None = None,
-    amount_scale: int = AMOUNT_SCALE,
+    amount_scale: int | None = None,
     full_hhi: bool = False,
 ) -> DataFrame:
     """Append the 14 behavioral and network features.
@@ -78,13 +82,61 @@ def add_history(
     rows apart; it only decides which of them carries the gap since the
     previous payment. ``full_hhi`` also appends the concentration over all
     counterparties of the past, not just those paid at this instant.
+    ``amount_scale`` is the number of decimals of the amounts, negative for multiples of
+    a power of ten; if it isn't given, one pass over the amounts finds it.
     """
+    amount_scale = unit_scale(df) if amount_scale is None else amount_scale
     heavy = heavy_accounts(df, [S.SENDER, S.RECEIVER], rows_per_key)
     df = add_sender_history(df, tie_break, heavy, rows_per_piece, amount_scale, full_hhi)
     df = add_receiver_history(df, heavy, rows_per_piece, amount_scale)
     return clean_history(df)
 
 
+def unit_scale(df: DataFrame) -> int:
+    """The fewest decimals (negative: trailing zeros) that hold every amount exactly.
+
+    Fails if the largest amount then has more digits than exact squares allow.
+    """
+    written = F.abs(_finite_amount()).cast("decimal(38,18)")
+    digits = F.translate(written.cast("string"), ".", "")
+    decimals = 18 - (F.length(digits) - F.length(F.rtrim(digits, F.lit("0"))))
+    found = (
+        df.select(_finite_amount().alias(S.AMOUNT))
+        .where(F.abs(S.AMOUNT).between(0.0, 1e19) & (F.col(S.AMOUNT) != 0))
+        .agg(
+            F.max(F.abs(S.AMOUNT)).alias("largest"),
+            F.max(decimals).alias("decimals"),
+            F.bool_and(written.cast("double") == F.abs(S.AMOUNT)).alias("exact"),
+        )
+        .first()
+    )
+    if found["largest"] is None:
+        return 0
+    scale = found["decimals"]
+    if not found["exact"] or found["largest"] * 10.0**scale >= 10.0**AMOUNT_DIGITS:
+        raise ValueError(
+            f"column {S.AMOUNT} has amounts up to {found['largest']} that need more than {AMOUNT_DIGITS} digits together; "
+            "round them, or pass amount_scale to have them rounded"
+        )
+    return scale
+
+
+def _finite_amount() -> Column:
+    amount = F.col(S.AMOUNT).cast("double")
+    return F.when(~F.isnan(amount) & (F.abs(amount) < float("inf")), amount)
+
+
+def in_units(scale: int) -> Column:
+    """The amount as a whole number of units; null if it isn't finite."""
+    finite = _finite_amount()
+    return F.round(finite * 10.0**scale if scale >= 0 else finite / 10.0**-scale, 0).cast(_UNITS)
+
+
+def from_units(value: Column, scale: int) -> Column:
+    value = value.cast("double")
+    return value / 10.0**scale if scale >= 0 else value * 10.0**-scale
+
+
 def clean_history(df: DataFrame) -> DataFrame:
     """Infinities and missing values of the history features become 0."""
     names = [c for c in [*S.HISTORY_FEATURES, "sender_counterparty_hhi_full"] if c in df.columns]
@@ -96,13 +148,14 @@ def add_sender_history(
     tie_break: Sequence[str],
     heavy: dict[str, DataFrame] | None = None,
     rows_per_piece: int | None = None,
-    amount_scale: int = AMOUNT_SCALE,
+    amount_scale: int | None = None,
     full_hhi: bool = False,
 ) -> DataFrame:
     """Sender features as the frames give them: mean and deviation are null without history.
 
     ``heavy`` is what ``heavy_accounts`` found, if the caller has it.
     """
+    amount_scale = unit_scale(df) if amount_scale is None else amount_scale
     heavy = heavy_accounts(df, [S.SENDER]) if heavy is None else heavy
     seen = _side_history(df, PAYER, tie_break, heavy.get(S.SENDER), rows_per_piece, amount_scale)
     mean, deviation = moments(F.col("h_count_30d"), F.col("h_sum_30d"), F.col("h_squares_30d"), amount_scale)
@@ -110,7 +163,7 @@ def add_sender_history(
     seen = seen.withColumns(
         {
             "sender_txn_count_24h": F.col("h_count_24h"),
-            "sender_amount_sum_24h": F.col("h_sum_24h").cast("double"),
+            "sender_amount_sum_24h": from_units(F.col("h_sum_24h"), amount_scale),
             "sender_amount_mean_30d": mean,
             "sender_amount_std_30d": deviation,
             "seconds_since_sender_txn": F.when(~F.col("h_first_in_tie"), F.lit(0).cast("long")).otherwise(
@@ -129,43 +182,42 @@ def add_sender_history(
         F.when(spread.isNull() | (spread == 0), F.lit(0.0)).otherwise(
             (F.col(S.AMOUNT) - F.col("sender_amount_mean_30d")) / spread
         ),
-    ).drop(_US, _X, _TIE, *_OUT)
+    ).drop(_US, _X, _TIE, _ROW, *_OUT)
 
 
 def add_receiver_history(
     df: DataFrame,
     heavy: dict[str, DataFrame] | None = None,
     rows_per_piece: int | None = None,
-    amount_scale: int = AMOUNT_SCALE,
+    amount_scale: int | None = None,
 ) -> DataFrame:
+    amount_scale = unit_scale(df) if amount_scale is None else amount_scale
     heavy = heavy_accounts(df, [S.RECEIVER]) if heavy is None else heavy
     seen = _side_history(df, PAYEE, [], heavy.get(S.RECEIVER), rows_per_piece, amount_scale)
     return seen.withColumns(
         {
             "receiver_txn_count_24h": F.col("h_count_24h"),
-            "receiver_amount_sum_24h": F.col("h_sum_24h").cast("double"),
+            "receiver_amount_sum_24h": from_units(F.col("h_sum_24h"), amount_scale),
             "receiver_txn_count_lifetime": F.col("h_lifetime"),
             "receiver_in_degree": F.col("h_degree"),
         }
-    ).drop(_US, _X, _TIE, *_OUT)
+    ).drop(_US, _X, _TIE, _ROW, *_OUT)
 
 
 def moments(n: Column, total: Column, squares: Column, scale: int) -> tuple[Column, Column]:
-    """Mean and sample deviation from exact decimal sums; equal amounts give exactly 0.
+    """Mean and sample deviation from exact sums of units; equal amounts give exactly 0.
 
-    The squares are re-centred on the mean rounded to the amount scale while
-    still decimal, so nothing cancels once they become doubles.
+    The squares are re-centred on the mean rounded to a whole unit while still
+    exact, so nothing cancels once they become doubles.
     """
-    mean = F.try_divide(total.cast("double"), n.cast("double"))
-    centre = mean.cast(f"decimal(18,{scale})")
-    off_centre = (total - n * centre).cast(f"decimal(18,{scale})")
-    shifted = (total + off_centre).cast(f"decimal(19,{scale})")
-    about_centre = squares.cast(f"decimal(37,{2 * scale})") - (centre * shifted).cast(
-        f"decimal(37,{2 * scale})"
-    )
+    mean = F.try_divide(from_units(total, scale), n.cast("double"))
+    centre = F.round(F.try_divide(total.cast("double"), n.cast("double"))).cast("decimal(18,0)")
+    off_centre = (total - n * centre).cast("decimal(18,0)")
+    shifted = (total + off_centre).cast("decimal(19,0)")
+    about_centre = squares.cast("decimal(37,0)") - (centre * shifted).cast("decimal(37,0)")
     about_mean = about_centre.cast("double") - off_centre.cast("double") * off_centre.cast("double") / n
     deviation = F.when(n > 1, F.sqrt(F.greatest(about_mean, F.lit(0.0)) / (n - 1)))
-    return mean, deviation
+    return mean, from_units(deviation, scale)
 
 
 def heavy_accounts(
@@ -204,36 +256,32 @@ def _side_history(
     rows_per_piece: int | None,
     scale: int,
 ) -> DataFrame:
-    if not 0 <= scale <= 6:
-        raise ValueError("amount_scale must be between 0 and 6")
-    keyed = df.withColumns(
-        {_US: micros(F.col(S.TIMESTAMP)), _X: F.col(S.AMOUNT).cast(f"decimal(18,{scale})")}
-    )
+    keyed = df.withColumns({_US: micros(F.col(S.TIMESTAMP)), _X: in_units(scale)})
     if heavy is None:
-        return _by_account(keyed, side, tie_break, scale)
-    # Both branches and every lookup below read this table, so it is computed once.
-    keyed = materialize(keyed, "history-rows")
+        return _by_account(keyed, side, tie_break)
+    # Both branches and every lookup below read this table, so it is computed once; row numbers
+    # tell rows apart that repeat entirely.
+    keyed = materialize(keyed.withColumn(_ROW, F.monotonically_increasing_id()), "history-rows")
     ordinary = lookup(keyed, F.broadcast(heavy), [side.account], "left_anti")
     crowded = lookup(keyed, F.broadcast(heavy), [side.account], "left_semi")
     cuts = cut_points(crowded, _US, pieces_for(crowded.count(), rows_per_piece))
-    return _by_account(ordinary, side, tie_break, scale).unionByName(
-        _by_instant(crowded, side, tie_break, cuts, scale)
-    )
+    return _by_account(ordinary, side, tie_break).unionByName(_by_instant(crowded, side, tie_break, cuts))
 
 
 def pair_history(
     df: DataFrame,
     heavy: dict[str, DataFrame] | None = None,
     rows_per_piece: int | None = None,
-    amount_scale: int = AMOUNT_SCALE,
+    amount_scale: int | None = None,
 ) -> DataFrame:
     """Value a sender pays a counterparty at an instant, and what that summed to before."""
+    amount_scale = unit_scale(df) if amount_scale is None else amount_scale
     heavy = heavy_accounts(df, [S.SENDER]) if heavy is None else heavy
     keys = [S.SENDER, S.PAID_IN, S.RECEIVER]
     pairs = (
         df.withColumn(_US, micros(F.col(S.TIMESTAMP)))
         .groupBy(*keys, _US)
-        .agg(F.sum(F.col(S.AMOUNT).cast(f"decimal(18,{amount_scale})")).alias("pair_amount"))
+        .agg(F.sum(in_units(amount_scale)).alias("pair_amount"))
     )
     cuts: list[float] = []
     if heavy:
@@ -243,12 +291,12 @@ def pair_history(
     return seen.select(
         *keys,
         F.timestamp_micros(_US).alias(S.TIMESTAMP),
-        F.col("pair_amount").cast("double").alias("pair_amount"),
-        F.col("historical_pair_amount").cast("double").alias("historical_pair_amount"),
+        from_units(F.col("pair_amount"), amount_scale).alias("pair_amount"),
+        from_units(F.col("historical_pair_amount"), amount_scale).alias("historical_pair_amount"),
     )
 
 
-def _by_account(df: DataFrame, side: Side, tie_break: Sequence[str], scale: int) -> DataFrame:
+def _by_account(df: DataFrame, side: Side, tie_break: Sequence[str]) -> DataFrame:
     """All windows of one side over a single shuffle by account.
 
     Partition keys that contain the account need no further exchange, and the
@@ -304,15 +352,14 @@ def _by_account(df: DataFrame, side: Side, tie_break: Sequence[str], scale: int)
     )
     moment = Window.partitionBy(account, currency, _US)
     square = F.col(_X) * F.col(_X)
-    total, squares = _sum_types(scale)
     held, held_next = F.col("__held"), F.col("__held_next")
     df = df.withColumns(
         {
             "h_count_24h": F.count(F.lit(1)).over(before) - F.count(F.lit(1)).over(before_24h),
-            "h_sum_24h": _frame_sum(F.col(_X), total, before, before_24h),
+            "h_sum_24h": _frame_sum(F.col(_X), _TOTAL, before, before_24h),
             "h_count_30d": F.count(_X).over(before) - F.count(_X).over(before_30d),
-            "h_sum_30d": _frame_sum(F.col(_X), total, before, before_30d),
-            "h_squares_30d": _frame_sum(square, squares, before, before_30d),
+            "h_sum_30d": _frame_sum(F.col(_X), _TOTAL, before, before_30d),
+            "h_squares_30d": _frame_sum(square, _SQUARES, before, before_30d),
             "__s1": F.sum(held_next - held).over(before),
             "__s2": F.sum(held_next * held_next - held * held).over(before),
             "__m1": F.sum(held).over(moment),
@@ -331,11 +378,6 @@ def _by_account(df: DataFrame, side: Side, tie_break: Sequence[str], scale: int)
     )
 
 
-def _sum_types(scale: int) -> tuple[str, str]:
-    """Decimal types of sums of amounts and of squared amounts that subtract without rounding."""
-    return f"decimal(30,{scale})", f"decimal(37,{2 * scale})"
-
-
 def _frame_sum(value: Column, dtype: str, all_before: Window, too_old: Window) -> Column:
     """Sum over a moving frame as the difference of two growing ones; exact on decimals."""
 
@@ -350,9 +392,7 @@ def _concentration(known: Column, total: Column, squares: Column) -> Column:
     return F.when(known, F.coalesce(share, F.lit(0.0))).otherwise(0.0)
 
 
-def _by_instant(
-    df: DataFrame, side: Side, tie_break: Sequence[str], cuts: list[float], scale: int
-) -> DataFrame:
+def _by_instant(df: DataFrame, side: Side, tie_break: Sequence[str], cuts: list[float]) -> DataFrame:
     """The same history for heavy accounts, over instants instead of rows.
 
     No step groups by the account alone: totals are per (account, time piece)
@@ -360,9 +400,8 @@ def _by_instant(
     join side because the history side has one row per key.
     """
     account, currency, other = side.account, side.currency, side.other
-    tie = F.struct(*tie_break) if tie_break else F.lit(None).cast("int")
-    x = F.coalesce(F.col(_X), F.lit(0).cast(f"decimal(18,{scale})"))
-    total, squares = _sum_types(scale)
+    tie = F.struct(*tie_break, _ROW)
+    x = F.coalesce(F.col(_X), F.lit(0).cast(_UNITS))
     flows = df.groupBy(account, currency, other, _US).agg(
         F.count(F.lit(1)).alias("n"),
         F.count(_X).alias("n_x"),
@@ -395,8 +434,8 @@ def _by_instant(
     moments_at = flow.groupBy(account, currency, _US).agg(
         F.sum("n").alias("n"),
         F.sum("n_x").alias("n_x"),
-        F.sum("x").cast(total).alias("x"),
-        F.sum("xx").cast(squares).alias("xx"),
+        F.sum("x").cast(_TOTAL).alias("x"),
+        F.sum("xx").cast(_SQUARES).alias("xx"),
         F.sum(held).alias("m1"),
         F.sum(held * held).alias("m2"),
         F.sum(now).alias("s1"),
@@ -423,10 +462,10 @@ def _by_instant(
         currency,
         _US,
         "h_count_24h",
-        F.col("h_sum_24h").cast(total).alias("h_sum_24h"),
+        F.col("h_sum_24h").cast(_TOTAL).alias("h_sum_24h"),
         "h_count_30d",
-        F.col("h_sum_30d").cast(total).alias("h_sum_30d"),
-        F.col("h_squares_30d").cast(squares).alias("h_squares_30d"),
+        F.col("h_sum_30d").cast(_TOTAL).alias("h_sum_30d"),
+        F.col("h_squares_30d").cast(_SQUARES).alias("h_squares_30d"),
         _concentration(known, F.col("m1"), F.col("m2")).alias("h_hhi"),
         _concentration(known, F.col("__s1"), F.col("__s2")).alias("h_hhi_full"),
     )
@@ -436,7 +475,7 @@ def _by_instant(
     history = lookup(history, life.drop("n", "fresh"), [account, _US])
     history = lookup(history, purse, [account, currency, _US])
     rows = lookup(df, history, [account, currency, other, _US])
-    first = F.coalesce(tie == F.col(_TIE), F.lit(True)) if tie_break else F.lit(True)
+    first = tie.eqNullSafe(F.col(_TIE)) if tie_break else F.lit(True)
     return rows.withColumn("h_first_in_tie", first).drop(_TIE)
 
 

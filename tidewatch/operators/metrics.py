@@ -11,13 +11,14 @@ from tidewatch.config import AlertConfig
 from tidewatch.functions.columns import SCORE_CLIP, clip, ratio
 from tidewatch.operators.alerts import at_alert_rate
 from tidewatch.plans.ordering import cut_points, pieces_for, quantiles, running_before
+from tidewatch.session import materialize
 
 
 def clipped_scores(df: DataFrame, score: str = "score", target: str = S.TARGET) -> DataFrame:
     """Scores away from 0 and 1; fails unless both classes are present."""
     span = df.agg(F.min(target).alias("low"), F.max(target).alias("high")).first()
     if span["low"] == span["high"]:
-        raise ValueError("evaluation requires both target classes")
+        raise ValueError(f"column {target} holds {span['low']} alone, not both target classes")
     return df.withColumn(score, clip(F.col(score), SCORE_CLIP))
 
 
@@ -95,10 +96,9 @@ def evaluate(
 ) -> DataFrame:
     """All headline figures as one row.
 
-    Run it on a stored score table: it takes a counting pass, one or two passes
-    for the alert cuts and one for the areas, none of which should re-score.
+    The columns it needs are stored once, and each pass reads them from there.
     """
-    df = clipped_scores(df.select(score, target, *tie_break), score, target)
+    df = materialize(clipped_scores(df.select(score, target, *tie_break), score, target), "evaluated")
     rows = df.count()
     areas = ranking_areas(score_steps(df, score, target, rows=rows)).drop("pr_trapezoid_area")
     proper = proper_scores(df, score, target)
@@ -110,9 +110,10 @@ def evaluate(
             for m in ("precision", "recall", "lift")
         ]
     )
-    # Three one-row aggregates side by side.
-    parts = [part.withColumn("__one", F.lit(1)) for part in (areas, proper, flat)]
-    return parts[0].join(parts[1], "__one").join(parts[2], "__one").drop("__one")
+    # Three aggregates of one row each, side by side.
+    figures = {k: v for part in (areas, proper, flat) for k, v in part.first().asDict().items()}
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for part in (areas, proper, flat) for f in part.schema)
+    return df.sparkSession.createDataFrame([tuple(figures.values())], schema)
 
 
 def roc_points(steps: DataFrame) -> DataFrame:
@@ -151,13 +152,8 @@ def pr_points(steps: DataFrame) -> DataFrame:
 
 
 def _over_totals(counted: DataFrame, totals: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row (an equi-join on a constant)."""
-    one = F.lit(1)
-    return (
-        counted.withColumn("__one", one)
-        .join(F.broadcast(totals.withColumn("__one", one)), "__one")
-        .drop("__one")
-    )
+    """Attach the totals, a single row, to every row."""
+    return counted.withColumns({c: F.lit(v) for c, v in totals.first().asDict().items()})
 
 
 def reliability(

@@ -57,29 +57,6 @@ def booster(config: BoosterConfig) -> GBTClassifier:
     )
 
 
-def penalised_booster(config: BoosterConfig, workers: int):
-    """The booster with leaf penalties, where the optional package for it is installed."""
-    try:
-        from xgboost.spark import SparkXGBClassifier
-    except ImportError as error:
-        raise ImportError("leaf penalties need the optional xgboost package") from error
-    return SparkXGBClassifier(
-        features_col=FEATURES,
-        label_col=S.TARGET,
-        weight_col=WEIGHT,
-        n_estimators=config.trees,
-        max_depth=config.max_depth,
-        learning_rate=config.learning_rate,
-        subsample=config.row_sample,
-        colsample_bytree=config.column_sample,
-        min_child_weight=config.min_rows_per_leaf,
-        reg_alpha=config.l1,
-        reg_lambda=config.l2,
-        random_state=config.seed,
-        num_workers=workers,
-    )
-
-
 def _labelled(df: DataFrame, positive: float, negative: float = 1.0) -> DataFrame:
     weight = F.when(F.col(S.TARGET) == 1, F.lit(positive)).otherwise(F.lit(negative))
     return df.withColumn(WEIGHT, weight).withColumn(S.TARGET, F.col(S.TARGET).cast("double"))
@@ -145,7 +122,7 @@ def fit_calibrator(scored: DataFrame, score: str = RAW_SCORE, target: str = S.TA
     """Fit on held-out scores, with a unit ridge penalty on the slope."""
     negatives, positives = class_counts(scored, target)
     if not negatives or not positives:
-        raise ValueError("probability calibration requires both target classes")
+        raise ValueError("a calibration curve can't be fitted without both target classes")
     points = scored.select(logit(F.col(score)).alias("x"), F.col(target).cast("double").alias("y"))
     points = VectorAssembler(inputCols=["x"], outputCol="v").transform(points)
     fitted = LogisticRegression(

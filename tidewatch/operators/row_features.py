@@ -47,8 +47,8 @@ def guarded_inputs(df: DataFrame, features: list[str] = S.MODEL_FEATURES) -> Dat
     """As ``model_inputs``, refusing identifiers and labels and naming what is missing."""
     forbidden = sorted(set(df.columns) & set(S.FORBIDDEN_INPUTS))
     if forbidden:
-        raise ValueError(f"identifier or target columns are not model inputs: {forbidden}")
+        raise ValueError(f"can't learn from columns that name or label a row: {forbidden}")
     missing = sorted(set(features) - set(df.columns))
     if missing:
-        raise ValueError(f"missing model features: {missing}")
+        raise ValueError(f"the table has no column for {missing}")
     return df.select(*features)

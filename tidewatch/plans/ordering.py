@@ -21,15 +21,20 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from tidewatch.session import materialize
+
 ROWS_PER_PIECE = 2_000_000
-MAX_PIECES = 4096
-SMALL_CELLS = 2_000_000
+#: Pieces of one pass of cuts; more are found by cutting each of these again.
+PIECES_PER_PASS = 1024
+#: Texts sampled for each piece.
+TEXTS_PER_PIECE = 32
 _PIECE = "__piece"
 _PLACE = "__place"
+ROW = "__row"
 
 
 def pieces_for(rows: int, rows_per_piece: int | None = None) -> int:
-    return max(1, min(MAX_PIECES, math.ceil(rows / (rows_per_piece or ROWS_PER_PIECE))))
+    return max(1, math.ceil(rows / (rows_per_piece or ROWS_PER_PIECE)))
 
 
 def lookup(
@@ -49,8 +54,8 @@ def lookup(
 def place(df: DataFrame, column: str) -> Column:
     """A double that never decreases along the column's own order.
 
-    Numbers and times map to themselves; text maps to its first six bytes. It
-    is only used to choose a piece, so values sharing a place are fine.
+    Numbers and times map to themselves. It is only used to choose a piece, so
+    values sharing a place are fine. Text has no place; it is cut at texts.
     """
     dtype = df.schema[column].dataType
     value = F.col(column)
@@ -58,9 +63,6 @@ def place(df: DataFrame, column: str) -> Column:
         return F.unix_micros(value.cast("timestamp")).cast("double")
     if isinstance(dtype, T.DateType):
         return F.unix_date(value).cast("double")
-    if isinstance(dtype, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(value, "utf-8"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
     return value.cast("double")
 
 
@@ -69,20 +71,53 @@ def cut_points(df: DataFrame, column: str, pieces: int) -> list[float]:
     return cut_tables(df, [column], pieces)[column]
 
 
-def cut_tables(df: DataFrame, columns: Sequence[str], pieces: int) -> dict[str, list[float]]:
-    """Cut points of several columns from the same pass."""
+def cut_tables(df: DataFrame, columns: Sequence[str], pieces: int) -> dict[str, list]:
+    """Cut points of several columns, one pass for each thousandfold of pieces."""
     if pieces <= 1:
         return {c: [] for c in columns}
-    shares = [i / pieces for i in range(1, pieces)]
-    sketches = [
-        F.percentile_approx(place(df, c), shares, max(1_000, 10 * pieces)).alias(f"__{i}")
-        for i, c in enumerate(columns)
-    ]
-    found = df.agg(*sketches).first()
-    return {
-        c: sorted({v for v in found[f"__{i}"] or [] if v is not None and not math.isnan(v)})
-        for i, c in enumerate(columns)
-    }
+    texts = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
+    cuts: dict[str, list] = {c: _text_cuts(df, c, pieces) for c in texts}
+    numbers = [c for c in columns if c not in texts]
+    first = min(pieces, PIECES_PER_PASS)
+    found = df.agg(*[_sketch(df, c, first).alias(f"__{i}") for i, c in enumerate(numbers)]).first() if numbers else None
+    for i, c in enumerate(numbers):
+        cuts[c] = _clean(found[f"__{i}"])
+        if pieces > first:
+            # Each piece is cut again by the same sketch; a piece is a group, and sketches merge before the shuffle.
+            inner = with_piece(df.select(c), c, cuts[c]).groupBy(_PIECE).agg(_sketch(df, c, math.ceil(pieces / first)).alias("inner"))
+            cuts[c] = _clean([*cuts[c], *(v for r in inner.collect() for v in r["inner"] or [])])
+    return cuts
+
+
+def _sketch(df: DataFrame, column: str, pieces: int) -> Column:
+    shares = [i / pieces for i in range(1, pieces)] or [0.5]
+    return F.percentile_approx(place(df, column), shares, max(1_000, 10 * pieces))
+
+
+def _clean(values: Sequence[float] | None) -> list[float]:
+    return sorted({v for v in values or [] if v is not None and not math.isnan(v)})
+
+
+def _text_cuts(df: DataFrame, column: str, pieces: int) -> list[str]:
+    """Whole texts that cut the order, from a sample of distinct texts whose size follows the number of pieces."""
+    texts = df.select(column).where(F.col(column).isNotNull())
+    n = texts.agg(F.approx_count_distinct(column)).first()[0]
+    kept = TEXTS_PER_PIECE * pieces / max(n, 1)
+    drawn = texts.where(F.shiftrightunsigned(F.xxhash64(column), 11) < kept * float(1 << 53))
+    sample = sorted((r[0] for r in drawn.distinct().collect()), key=lambda t: t.encode("utf-8"))
+    return sorted({sample[i * len(sample) // pieces] for i in range(1, pieces)}, key=lambda t: t.encode("utf-8")) if sample else []
+
+
+def text_piece(value: Column, cuts: Sequence[str]) -> Column:
+    """Number of cuts at or below a text, by bisection; 0 for null."""
+    held = F.array(*map(F.lit, cuts))
+    steps = [1 << b for b in reversed(range(len(cuts).bit_length()))]
+    found = F.aggregate(
+        F.array(*map(F.lit, steps)),
+        F.lit(0),
+        lambda at, step: at + F.when((at + step <= len(cuts)) & (F.get(held, at + step - 1) <= value), step).otherwise(0),
+    )
+    return F.coalesce(found, F.lit(0))
 
 
 def with_piece(df: DataFrame, column: str, cuts: list[float], name: str = _PIECE) -> DataFrame:
@@ -91,6 +126,10 @@ def with_piece(df: DataFrame, column: str, cuts: list[float], name: str = _PIECE
 
 
 def with_pieces(df: DataFrame, cuts: dict[str, list[float]], names: dict[str, str]) -> DataFrame:
+    texts = {c: points for c, points in cuts.items() if points and isinstance(df.schema[c].dataType, T.StringType)}
+    if texts:
+        df = df.withColumns({names[c]: text_piece(F.col(c), points) for c, points in texts.items()})
+        cuts = {c: points for c, points in cuts.items() if c not in texts}
     placed = {f"{_PLACE}_{i}": place(df, c) for i, c in enumerate(cuts) if cuts[c]}
     whole = {names[c]: F.lit(0) for c in cuts if not cuts[c]}
     df = df.withColumns(whole) if whole else df
@@ -251,7 +290,7 @@ def order_statistics(
         starts = df.sparkSession.createDataFrame(
             [(i, p, start) for (i, p), start in offsets.items()], "which int, piece int, start long"
         )
-        # At most MAX_PIECES rows for each requested column.
+        # At most one row for each requested rank.
         ranked = ranked.join(F.broadcast(starts), ["which", "piece"]).withColumn(
             "before", F.col("before") + F.col("start")
         )
@@ -291,15 +330,6 @@ def quantiles(
     present = doubled.agg(
         *[F.count(F.when(~F.isnan(c), F.col(c))).alias(c) for c in columns]
     ).first()
-    if rows_per_piece is None and sum(present) <= SMALL_CELLS:
-        # Few enough values for the built-in exact aggregate, which keeps them all in one buffer.
-        exact = [
-            F.percentile(F.when(~F.isnan(c), F.col(c)), F.array(*map(F.lit, map(float, shares[c])))).alias(c)
-            for c in columns
-        ]
-        small = doubled.agg(*exact).first()
-        return {c: list(small[c] or [None] * len(shares[c])) for c in columns}
-
     positions = {c: [(present[c] - 1) * q for q in shares[c]] for c in columns if present[c]}
     ranks = {
         c: {math.floor(p) + 1 for p in ps} | {math.ceil(p) + 1 for p in ps}
@@ -332,12 +362,22 @@ class Cut:
     def inside(self) -> Column:
         predicate = F.lit(True)
         for (name, descending), value in reversed(list(zip(self.order, self.values, strict=True))):
-            here, bound = F.col(name), F.lit(value)
+            here, held = F.col(name), _held(name)
+            if value is None:
+                predicate = held | predicate
+                continue
+            bound = F.lit(value)
             nearer = here > bound if descending else here < bound
-            predicate = nearer | ((here == bound) & predicate)
+            predicate = held & (nearer | ((here == bound) & predicate))
         return F.coalesce(predicate, F.lit(False))
 
 
+def _held(column: str) -> Column:
+    """Whether a value takes part in the order; null and NaN come after all that do."""
+    value = F.col(column)
+    return value.isNotNull() & F.coalesce(~(value.cast("string") == "NaN"), F.lit(False))
+
+
 def leading_rows(
     df: DataFrame,
     order: Sequence[tuple[str, bool]],
@@ -345,26 +385,47 @@ def leading_rows(
     rows: int,
     rows_per_piece: int | None = None,
 ) -> list[Cut]:
-    """Cuts holding exactly the first k rows for each k, by (column, descending) order.
+    """Cuts holding the first k rows for each k, by (column, descending) order, null and NaN last.
 
     Works down the order columns: find the value at the rank, and only if that
     value is shared by more rows than are still wanted look at the next column
     among the sharing rows. No row is moved; the caller filters with the cut. If
-    rows tie on every column the whole last group is inside.
+    rows tie on every column the whole last group is inside, and the cut's size says so.
     """
     first, descending = order[0]
     reach = {k: min(k, rows) for k in sizes}
-    found = order_statistics(
-        df, {first: reach.values()}, rows, descending=descending, rows_per_piece=rows_per_piece
-    )[first]
+    there = df.agg(F.count(F.when(_held(first), 1))).first()[0]
+    inner = [k for k in reach.values() if k <= there]
+    found = order_statistics(df, {first: inner}, rows, descending=descending, rows_per_piece=rows_per_piece)[first]
     cuts = []
     for k in sizes:
-        value, before, count = found[reach[k]]
+        value, before, count = found[reach[k]] if reach[k] <= there else (None, there, rows - there)
         left = reach[k] - before
         if left == count or len(order) == 1:
             cuts.append(Cut(order, [value], before + count))
             continue
-        tied = df.where(F.col(first) == F.lit(value))
+        tied = df.where(~_held(first) if value is None else _held(first) & (F.col(first) == F.lit(value)))
         deeper = leading_rows(tied, order[1:], [left], count, rows_per_piece)[0]
         cuts.append(Cut(order, [value, *deeper.values], before + deeper.size))
     return cuts
+
+
+def exact_rows(
+    df: DataFrame,
+    order: Sequence[tuple[str, bool]],
+    sizes: Sequence[int],
+    rows: int,
+    rows_per_piece: int | None = None,
+) -> tuple[DataFrame, list[Cut]]:
+    """The table and cuts that hold exactly the first k of its rows for each k.
+
+    Where a cut would fall among rows that tie on every column, the table is stored with row
+    numbers and these break the tie; it then has the further column ``__row``.
+    """
+    # Finding cuts takes some passes, so what the order needs is stored once.
+    narrow = materialize(df.select(*dict.fromkeys(c for c, _ in order)), "ordered-rows")
+    cuts = leading_rows(narrow, order, sizes, rows, rows_per_piece)
+    if all(cut.size == min(k, rows) for cut, k in zip(cuts, sizes, strict=True)):
+        return df, cuts
+    numbered = materialize(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered-rows")
+    return numbered, leading_rows(numbered, [*order, (ROW, False)], sizes, rows, rows_per_piece)

@@ -164,8 +164,8 @@ def train_risk_model(
         return _stored_scores(fitted, part, columns, name).withColumn(SCORE, curve.apply(F.col(RAW_SCORE)))
 
     checked = calibrated(model, calibrator, validation, [], "validation-scores")
-    cut = alerts.alert_cuts(checked, [rate], tie_break, SCORE)[0]
-    threshold = alerts.alert_threshold(cut)
+    _, cuts = alerts.alert_cuts(checked, [rate], tie_break, SCORE)
+    threshold = alerts.alert_threshold(cuts[0])
     grid = quantiles(checked, {SCORE: [float(q) for q in np.linspace(0, 1, 1001)]})[SCORE]
 
     tested = calibrated(model, calibrator, test, [S.TYPOLOGY] if S.TYPOLOGY in df.columns else [], "test-scores")
