@@ -31,10 +31,11 @@ REPEATED_PERCENT = 50
 ENTROPY_TOKENS = 50
 #: Half the width of a band: so many robust spreads, and at least this share of the median.
 SPREADS, LEAST = 8.0, 0.15
-CACHE = 200_000
+#: Words a task keeps the measures of.
+CACHE = 600_000
 
 
-def base_counts(words: Words) -> dict[str, np.ndarray]:
+def base_counts(words: Words, hashes: np.ndarray) -> dict[str, np.ndarray]:
     """Counts of every text: words, their characters, symbols, repeated lines, words in repeated windows."""
     n = len(words.first) - 1
     data, offsets = words.data, words.offsets
@@ -44,7 +45,6 @@ def base_counts(words: Words) -> dict[str, np.ndarray]:
     lengths = characters[words.ends] - characters[words.starts]
     n_words = np.diff(words.first)
     per_word = np.concatenate(([0], np.cumsum(lengths)))
-    hashes = words.hashes()
     window = np.zeros(max(0, len(hashes) - 2), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(3):
@@ -54,9 +54,11 @@ def base_counts(words: Words) -> dict[str, np.ndarray]:
     for i in range(n):
         a, b = words.first[i], words.first[i + 1]
         if b - a > 3:
-            _, which, count = np.unique(window[a : b - 2], return_inverse=True, return_counts=True)
-            again = np.flatnonzero(count[which] > 1)
-            if len(again):
+            held = window[a : b - 2]
+            order = np.argsort(held)
+            same = held[order[1:]] == held[order[:-1]]
+            if same.any():
+                again = np.concatenate((order[1:][same], order[:-1][same]))
                 seen = np.zeros(b - a, bool)
                 for k in range(3):
                     seen[again + k] = True
@@ -85,43 +87,59 @@ class Fertility:
         with open(byte_path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.bytes = tiktoken.Encoding("own", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
+        self.spaced = np.zeros(max(ranks.values()) + 1, bool)
+        self.spaced[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         self.raw = np.array([self.pieces.is_byte(i) for i in range(self.pieces.vocab_size())])
-        self.known: dict[bytes, int] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.known.clear()
-        self.tokens: list[list[int]] = []
-        self.rows: list[tuple[int, int, int]] = []
+        self.known: dict[int, int] = {}
+        self.rows = np.zeros((0, 4), np.int64)  # tokens, pieces, raw bytes, where the tokens start
+        self.tokens = np.zeros(0, np.int64)
 
-    def learn(self, fresh: list[bytes]) -> None:
+    def learn(self, hashes: list[int], fresh: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in fresh]
-        for word, text, ids, pieces in zip(
-            fresh, texts, self.bytes.encode_ordinary_batch([" " + t for t in texts], num_threads=1), self.pieces.encode(texts, num_threads=1)
-        ):
-            self.known[word] = len(self.tokens)
-            self.tokens.append(ids)
-            self.rows.append((len(ids), len(pieces), int(self.raw[pieces].sum()) if pieces else 0))
-
-    def measure(self, words: Words) -> dict[str, np.ndarray]:
+        # Behind a space each, the words are encoded as one text; only a word's first token starts with the space.
+        stream = np.array(self.bytes.encode_ordinary(" " + " ".join(texts)), np.int64)
+        owner = np.cumsum(self.spaced[stream]) - 1
+        if owner[0] or owner[-1] != len(texts) - 1:
+            each = [self.bytes.encode_ordinary(" " + t) for t in texts]
+            stream, owner = np.concatenate([np.array(i, np.int64) for i in each]), np.repeat(np.arange(len(each)), [len(i) for i in each])
+        pieces = self.pieces.encode(texts, num_threads=1)
+        lengths = np.bincount(owner, minlength=len(texts))
+        spans = np.array([len(p) for p in pieces], np.int64)
+        raw = np.concatenate(([0], np.cumsum(self.raw[np.concatenate([np.array(p, np.int64) for p in pieces])])))
+        ends = np.cumsum(spans)
+        starts = len(self.tokens) + np.cumsum(lengths) - lengths
+        self.known.update(zip(hashes, range(len(self.rows), len(self.rows) + len(fresh))))
+        self.rows = np.concatenate((self.rows, np.column_stack((lengths, spans, raw[ends] - raw[ends - spans], starts))))
+        self.tokens = np.concatenate((self.tokens, stream))
+
+    def measure(self, words: Words, hashes: np.ndarray) -> dict[str, np.ndarray]:
+        n = len(words.first) - 1
         if len(self.known) > CACHE:
             self.clear()
-        text, known = words.data.tobytes(), self.known
-        spelled = [text[a:b] for a, b in zip(words.starts.tolist(), words.ends.tolist())]
-        if fresh := list({w for w in spelled if w not in known}):
-            self.learn(fresh)
-        index = np.fromiter((known[w] for w in spelled), np.int64, len(spelled))
-        rows = np.array(self.rows, np.int64).reshape(-1, 3)[index]
-        sums = np.concatenate((np.zeros((1, 3), np.int64), np.cumsum(rows, axis=0)))
+        kinds, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        keys = kinds.tolist()
+        unknown = [k for k, h in enumerate(keys) if h not in self.known]
+        if unknown:
+            text, at = words.data.tobytes(), first[unknown]
+            self.learn([keys[k] for k in unknown], [text[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist())])
+        index = np.fromiter((self.known[h] for h in keys), np.int64, len(keys))[which]
+        rows = self.rows[index]
+        sums = np.concatenate((np.zeros((1, 3), np.int64), np.cumsum(rows[:, :3], axis=0)))
         each = sums[words.first[1:]] - sums[words.first[:-1]]
-        entropy = np.zeros(len(words.first) - 1)
-        for i in range(len(entropy)):
-            a, b = words.first[i : i + 2]
-            if b > a:
-                ids = np.array([t for w in index[a:b].tolist() for t in self.tokens[w]])
-                share = np.unique(ids, return_counts=True)[1] / len(ids)
-                entropy[i] = -(share * np.log2(share)).sum()
+        lengths = rows[:, 0]
+        place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        ids = self.tokens[np.repeat(rows[:, 3], lengths) + place]
+        held = np.sort(np.repeat(words.doc, lengths) * np.int64(1 << 20) + ids)
+        new = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1]))) if len(held) else np.zeros(0, np.int64)
+        times = np.diff(np.concatenate((new, [len(held)])))
+        # Entropy of counts c that add up to t: log2(t) less the mean of log2(c).
+        spread = np.bincount(held[new] >> 20, weights=times * np.log2(times), minlength=n)
+        total = np.maximum(each[:, 0], 1)
+        entropy = np.where(each[:, 0] > 0, np.log2(total) - spread / total, 0.0)
         return {"n_tokens": each[:, 0], "n_pieces": each[:, 1], "n_raw": each[:, 2], "entropy": entropy}
 
 
@@ -136,7 +154,8 @@ def measures(docs: DataFrame, byte_path: str, piece_path: str, group: Column, ke
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             words = Words(batch.column(1), lower=False)
-            found = base_counts(words) | fertility.measure(words)
+            hashes = words.hashes()
+            found = base_counts(words, hashes) | fertility.measure(words, hashes)
             columns = [batch.column(0), *batch.columns[2:], *(pa.array(found[c].astype(np.int64)) for c in COUNTS), pa.array(found["entropy"])]
             return pa.RecordBatch.from_arrays(columns, [batch.schema.names[0], *batch.schema.names[2:], *COUNTS, "entropy"])
 
