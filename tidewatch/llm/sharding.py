@@ -101,7 +101,8 @@ def shards(
     held = placed.groupBy("range").agg(F.sum("size").alias("held"), F.min("key").alias("low"), F.max("key").alias("high"))
     fair = max(1.0, total / parts)
     held = held.withColumn("pieces", F.when(F.col("held") > 2 * fair, F.ceil(F.col("held") / fair)).otherwise(1))
-    held = materialize(held, "shard-ranges")  # some thousand rows; as a table, so that a hot range's records can be split
+    # At most a row for each range, a number that doesn't depend on the input, so a hot range's records needn't be brought together.
+    held = F.broadcast(materialize(held, "shard-ranges"))
     by_key = (F.col("key").cast("double") - F.col("low").cast("double")) / (
         F.col("high").cast("double") - F.col("low").cast("double")
     )
