@@ -261,7 +261,7 @@ def target_summary(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("low", "high", rounded("prevalence", 9))
 
 
-def _contract_rows(spark: SparkSession, folder: str) -> DataFrame:
+def contract_rows(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
     """Line items read as scorer input, with values that break the contract in places."""
     li = fixture.table(spark, folder, "lineitem")
     quantity, tax = F.col("l_quantity"), F.col("l_tax")
@@ -275,22 +275,23 @@ def _contract_rows(spark: SparkSession, folder: str) -> DataFrame:
         "sender_counterparty_hhi": F.col("l_discount") * 11,
         "Payment_type": F.when(quantity != 7, F.col("l_returnflag")),
     }
-    return li.select(*KEYS, *[v.alias(c) for c, v in values.items()])
+    return li.select(*KEYS, *extra, *[v.alias(c) for c, v in values.items()])
 
 
-@query(
-    "row_contract",
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+# Names of the columns that break the contract, in order.
+BROKEN_SQL = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
               concat_ws(',', CASE WHEN l_extendedprice - 2000 < 0 THEN 'Amount' END,
                   CASE WHEN l_tax * 20 - 0.2 < -1 OR l_tax * 20 - 0.2 > 1 THEN 'hour_sin' END,
                   CASE WHEN l_quantity > 3 OR l_quantity = 2 THEN 'is_weekend' END,
                   CASE WHEN l_quantity >= 48 THEN 'sender_txn_count_24h' END,
                   CASE WHEN l_discount * 11 > 1 THEN 'sender_counterparty_hhi' END,
                   CASE WHEN l_quantity = 7 THEN 'Payment_type' END) AS broken
-       FROM lineitem""",
-)
+       FROM lineitem"""
+
+
+@query("row_contract", BROKEN_SQL)
 def row_contract(spark: SparkSession, folder: str) -> DataFrame:
-    checked = quality.check_rows(_contract_rows(spark, folder), KEYS)
+    checked = quality.check_rows(contract_rows(spark, folder), KEYS)
     return checked.select(*KEYS, F.concat_ws(",", "violations").alias("broken"))
 
 
@@ -303,15 +304,13 @@ def row_contract(spark: SparkSession, folder: str) -> DataFrame:
        GROUP BY l_returnflag""",
 )
 def row_contract_split(spark: SparkSession, folder: str) -> DataFrame:
-    checked = quality.check_rows(_contract_rows(spark, folder).where(F.col("Payment_type").isNotNull()), KEYS)
-    lost = quality.check_rows(_contract_rows(spark, folder).where(F.col("Payment_type").isNull()), KEYS)
-    flags = fixture.table(spark, folder, "lineitem").select(*KEYS, F.col("l_returnflag").alias("flag"))
+    """Rows that honour the contract and rows set aside, for each flag."""
+    checked = quality.check_rows(contract_rows(spark, folder, "l_returnflag"), [*KEYS, "l_returnflag"])
     sides = (
-        quality.accepted(checked).select(*KEYS, F.lit(1).alias("ok"))
-        .unionByName(quality.quarantined(checked).select(*KEYS, F.lit(0).alias("ok")))
-        .unionByName(quality.quarantined(lost).select(*KEYS, F.lit(0).alias("ok")))
+        quality.accepted(checked).select("l_returnflag", F.lit(1).alias("ok"))
+        .unionByName(quality.quarantined(checked).select("l_returnflag", F.lit(0).alias("ok")))
     )
-    return flags.join(sides, KEYS).groupBy("flag").agg(
+    return sides.groupBy(F.col("l_returnflag").alias("flag")).agg(
         F.sum(F.col("ok").cast("long")).alias("good"), F.sum((1 - F.col("ok")).cast("long")).alias("quarantine")
     )
 

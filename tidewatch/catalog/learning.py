@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch import schema as S
 from tidewatch.catalog.base import KEYS, TXN_SQL, query, rounded
+from tidewatch.catalog.data import BROKEN_SQL, contract_rows
 from tidewatch.config import PreprocessingConfig, training_config
 from tidewatch.operators import attribution, models, preprocessing, splits
-from tidewatch.operators.scoring import score
+from tidewatch.operators.scoring import score, score_requests
 from tidewatch.plans import fixture, studies
 from tidewatch.plans.features import build_features
 from tidewatch.session import materialize, shared_folder
@@ -30,8 +31,9 @@ def features(spark: SparkSession, folder: str) -> DataFrame:
     """The feature table of the test transactions, built once per session."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _FEATURES:
-        stored = materialize(build_features(fixture.transactions(spark, folder), KEYS), "feature-table")
-        _FEATURES[key] = stored.inputFiles()[0].rsplit("/", 1)[0]
+        path = f"{shared_folder(spark)}/feature-table-{uuid4().hex}"
+        build_features(fixture.transactions(spark, folder), KEYS).write.parquet(path)
+        _FEATURES[key] = path
     return spark.read.parquet(_FEATURES[key])
 
 
@@ -146,7 +148,48 @@ def trained_model_metadata(spark: SparkSession, folder: str) -> DataFrame:
 @query("batch_scores")
 def batch_scores(spark: SparkSession, folder: str) -> DataFrame:
     model, _ = trained(spark, folder)
-    return score(features(spark, folder), model, KEYS)
+    return score_requests(_inputs(spark, folder), model, KEYS)[0]
+
+
+def _inputs(spark: SparkSession, folder: str) -> DataFrame:
+    return features(spark, folder).select(*KEYS, *S.MODEL_FEATURES)
+
+
+@query(
+    "score_contract",
+    f"""WITH checked AS ({BROKEN_SQL})
+    SELECT 'scored' AS reason, COUNT(*) AS n FROM checked WHERE broken = ''
+    UNION ALL
+    SELECT reason, COUNT(*) AS n FROM (SELECT unnest(string_split(broken, ',')) AS reason FROM checked WHERE broken <> '')
+    GROUP BY reason""",
+)
+def score_contract(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows scored, and rows set aside for each reason."""
+    model, _ = trained(spark, folder)
+    scored, aside = score_requests(contract_rows(spark, folder), model, KEYS)
+    proper = scored.where(F.col("risk_probability").between(0, 1))
+    return (
+        proper.agg(F.count(F.lit(1)).alias("n"))
+        .select(F.lit("scored").alias("reason"), "n")
+        .unionByName(aside.select(F.explode("violations").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n")))
+    )
+
+
+@query(
+    "batch_and_stream_scores",
+    "SELECT COUNT(*) AS rows, COUNT(*) AS scored, CAST(0 AS BIGINT) AS different FROM lineitem",
+)
+def batch_and_stream_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the table, rows with a score, and rows whose batch and stream scores differ."""
+    batch, stream = batch_scores(spark, folder), stream_scores(spark, folder)
+    names = ["risk_probability", "requires_review", "risk_percentile"]
+    other = stream.select(*KEYS, F.struct(*names).alias("streamed"))
+    both = batch.select(*KEYS, F.struct(*names).alias("batched")).join(other, KEYS, "full")
+    return both.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count(F.col("batched.risk_probability")).alias("scored"),
+        F.count_if(~F.col("batched").eqNullSafe(F.col("streamed"))).alias("different"),
+    )
 
 
 @query("stream_scores")
@@ -154,11 +197,11 @@ def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The feature table scored as a stream of files, run to its end."""
     model, _ = trained(spark, folder)
     source = features(spark, folder)
-    place = source.inputFiles()[0].rsplit("/", 1)[0]
-    rows = streams.feature_stream(spark, place, source.schema)
+    rows = streams.feature_stream(spark, _FEATURES[(spark.sparkContext.applicationId, folder)], source.schema)
+    rows = rows.select(*KEYS, *S.MODEL_FEATURES)
     output = f"{shared_folder(spark)}/stream-{uuid4().hex}"
-    scored = streams.score_stream(rows, model, KEYS)
-    streams.start_scoring(scored, f"{output}/scores", f"{output}/checkpoint").awaitTermination()
+    for started in streams.start_all(rows, model, KEYS, output, f"{output}/checkpoint"):
+        started.awaitTermination()
     return spark.read.parquet(f"{output}/scores")
 
 

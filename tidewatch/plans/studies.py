@@ -49,14 +49,16 @@ def fit_and_score(
 
 
 def _headline(scored: DataFrame, tie_break: Sequence[str], rate: float) -> dict:
-    areas = metrics.evaluate(scored, tie_break, SCORE, rates=[rate]).first().asDict()
-    prefix = metrics.metric_names(rate)
+    """Areas over clipped scores; alerts by the scores as they are, since clipping can make ties."""
+    clipped = metrics.clipped_scores(scored.select(SCORE, S.TARGET), SCORE)
+    areas = metrics.ranking_areas(metrics.score_steps(clipped, SCORE)).first()
+    at = alerts.at_alert_rate(scored, [rate], tie_break, SCORE).first()
     return {
         "pr_auc": areas["pr_auc"],
         "roc_auc": areas["roc_auc"],
-        "precision": areas[f"{prefix}_precision"],
-        "recall": areas[f"{prefix}_recall"],
-        "lift": areas[f"{prefix}_lift"],
+        "precision": at["precision"],
+        "recall": at["recall"],
+        "lift": at["lift"],
     }
 
 
