@@ -190,3 +190,29 @@ def test_ordinary_accounts_take_two_shuffles(spark, small):
     plain = spark.createDataFrame(stored.collect(), stored.schema)
     plan = H.add_history(plain, fixture.TIE_BREAK)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+@pytest.mark.parametrize("factor", [1.0, 1e-7, 1e9])
+@pytest.mark.parametrize("rows_per_key", [10_000, 1])
+def test_amounts_keep_their_digits_at_any_scale(spark, factor, rows_per_key):
+    rows = [(NOON + dt.timedelta(minutes=k), "p", "x", cents / 100 * factor, "USD", "USD") for k, cents in enumerate([200, 200, 1234567])]
+    rows = [(a, b, c, float(f"{x:.10g}"), *rest) for a, b, c, x, *rest in rows]
+    seen = collected(H.add_history(frame(spark, rows), ["id"], rows_per_key=rows_per_key))
+    assert seen[1]["sender_amount_sum_24h"] == pytest.approx(2 * factor, rel=1e-12)
+    assert seen[2]["sender_amount_sum_24h"] == pytest.approx(4 * factor, rel=1e-12)
+    assert seen[2]["sender_amount_std_30d"] == 0.0
+
+
+def test_amounts_with_too_many_digits_fail_loudly(spark):
+    df = frame(spark, [(NOON, "p", "x", 0.00002, "USD", "USD"), (NOON, "p", "x", 1e15, "USD", "USD")])
+    with pytest.raises(ValueError, match="digits"):
+        H.add_history(df, ["id"])
+
+
+@pytest.mark.parametrize("rows_per_key", [10_000, 1])
+def test_one_of_several_equal_rows_carries_the_gap(spark, rows_per_key):
+    later = NOON + dt.timedelta(minutes=1)
+    rows = [(NOON, "p", "x", 1.0, "USD", "USD"), (later, "p", "x", 1.0, "USD", "USD"), (later, "p", "x", 1.0, "USD", "USD")]
+    df = frame(spark, rows).withColumn("same", H.F.lit(1))
+    seen = H.add_history(df, ["same"], rows_per_key=rows_per_key).collect()
+    assert sorted(r["seconds_since_sender_txn"] for r in seen) == [-1, 0, 60]

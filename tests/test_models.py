@@ -75,11 +75,15 @@ def test_mode_takes_the_smallest_on_ties(spark):
     assert fitted.transform(train).count() == 5
 
 
-def test_too_many_categories_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(preprocessing, "MAX_CATEGORIES", 2)
-    train = spark.createDataFrame([("a",), ("b",), ("c",)], "Payment_type string")
-    with pytest.raises(ValueError, match="too many categories"):
-        preprocessing.category_statistics(train, ["Payment_type"])
+def test_many_categories_have_no_cap(spark):
+    many = spark.range(20_000).selectExpr("concat('c', id) AS Payment_type")
+    train = many.unionByName(spark.createDataFrame([("a",)] * 30 + [(None,)] * 5, "Payment_type string"))
+    stats = preprocessing.category_statistics(train, ["Payment_type"])["Payment_type"]
+    assert (stats.mode, stats.frequent, len(stats.rare)) == ("a", ["a"], 20_000)
+    fitted = preprocessing.fit_preprocessor(train, ["Payment_type"])
+    probes = spark.createDataFrame([("a",), ("c19999",), ("never",)], "Payment_type string")
+    found = [list(r[0]) for r in fitted.transform(probes).select(vector_to_array("features")).collect()]
+    assert found == [[1, 0], [0, 1], [0, 0]]
 
 
 def test_medians_are_those_of_numpy(spark):

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.plans import ordering
 from tidewatch.plans.ordering import (
     cut_points,
     leading_rows,
@@ -95,3 +96,31 @@ def test_pieces_bound_the_work(spark):
     cuts = cut_points(df, "v", 10)
     assert len(cuts) == 9
     assert all(math.isclose(c, (i + 1) * 1000, rel_tol=0.05) for i, c in enumerate(cuts))
+
+
+def test_pieces_are_cut_again_past_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "PIECES_PER_PASS", 4)
+    rng = random.Random(4)
+    rows = [(rng.random() ** 3, f"ACC-00{rng.randrange(10**6):07d}") for _ in range(3000)]
+    df = spark.createDataFrame(rows, "x double, t string")
+    cuts = ordering.cut_tables(df, ["x", "t"], 60)
+    for column, values in (("x", [r[0] for r in rows]), ("t", [r[1] for r in rows])):
+        assert len(cuts[column]) > 30
+        sizes = [0] * (len(cuts[column]) + 1)
+        for v in values:
+            sizes[sum(c <= v for c in cuts[column])] += 1
+        assert max(sizes) < 400  # texts with the same first letters don't fall into one piece
+    order = [("t", False)]
+    size, want = 1234, sorted(r[1] for r in rows)[:1234]
+    cut = leading_rows(df, order, [size], 3000, rows_per_piece=50)[0]
+    assert sorted(r["t"] for r in df.where(cut.inside()).collect())[:1234] == want
+
+
+def test_exactly_k_of_repeated_rows_and_nulls_last(spark):
+    rows = [(0.9, 1), (0.5, 1), (0.5, 1), (0.1, 1), (None, 1), (float("nan"), None)]
+    df = spark.createDataFrame(rows, "s double, t int")
+    for k in range(1, 7):
+        held, cuts = ordering.exact_rows(df, [("s", True), ("t", False)], [k], 6)
+        inside = [r["s"] for r in held.where(cuts[0].inside()).collect()]
+        assert len(inside) == k
+        assert sorted((x for x in inside if x is not None and x == x), reverse=True) == [0.9, 0.5, 0.5, 0.1][: min(k, 4)]

@@ -99,3 +99,18 @@ def test_json_report_keeps_nulls(spark, tmp_path):
     path = str(tmp_path / "j")
     reports.write_json(spark.createDataFrame([("a", None)], "k string, v double"), path)
     assert spark.read.text(path).first()[0] == '{"k":"a","v":null}'
+
+
+def test_times_are_read_in_several_forms_and_drops_are_counted(spark, tmp_path):
+    header = ",".join(S.RAW_COLUMNS)
+    times = [("12:00:00", "2026-01-02"), ("12:00", "2026-01-02"), ("12:00:00.250", "2026-01-02"), ("12:00", "01/02/2026"), ("noon", "2026-01-02")]
+    place = {"Amount": "1.5", "Is_laundering": "0"}
+    lines = []
+    for time, date in times:
+        row = place | {"Time": time, "Date": date}
+        lines.append(",".join(row.get(c, "x") for c in S.RAW_COLUMNS))
+    path = tmp_path / "times.csv"
+    path.write_text("\n".join([header, *lines]) + "\n")
+    found = sorted(str(r[0]) for r in transactions.read_transactions(spark, str(path)).select("timestamp").collect())
+    assert found == ["2026-01-02 12:00:00"] * 3 + ["2026-01-02 12:00:00.250000"]
+    assert transactions.dropped_rows(spark, str(path)).first().asDict() == {"rows": 5, "without_time": 1, "without_amount": 0, "dropped": 1}

@@ -15,8 +15,6 @@ from tidewatch.plans.ordering import quantiles
 
 FEATURES = "features"
 POOLED = "__pooled"
-# One-hot width is model width; a column past this is an identifier, not a category.
-MAX_CATEGORIES = 10_000
 
 
 @dataclass
@@ -49,23 +47,28 @@ def category_statistics(
     if not columns:
         return {}
     counts = category_counts(train, columns)
-    distinct = {r["column"]: r["count"] for r in counts.groupBy("column").count().collect()}
-    crowded = {c: n for c, n in distinct.items() if n > MAX_CATEGORIES}
-    if crowded:
-        raise ValueError(f"too many categories to encode: {crowded}")
-    tables: dict[str, dict[str | None, int]] = {c: {} for c in columns}
-    for r in counts.collect():
-        tables[r["column"]][r["category"]] = r["n"]
-    stats = {}
-    for c, table in tables.items():
-        missing = table.pop(None, 0)
-        if not table:
-            raise ValueError(f"{c} has no values to learn from")
-        mode = min(table, key=lambda v: (-table[v], v))
-        table[mode] += missing
-        kept = sorted(v for v, n in table.items() if n >= config.min_category_count)
-        stats[c] = CategoryStats(mode, kept, sorted(set(table) - set(kept)))
-    return stats
+    present = F.col("category").isNotNull()
+    typical = counts.groupBy("column").agg(
+        F.min_by("category", F.when(present, F.struct(F.negative("n").alias("n"), "category"))).alias("mode"),
+        F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0)).alias("missing"),
+    )
+    typical = {r["column"]: r for r in typical.collect()}
+    empty = sorted(c for c in columns if c not in typical or typical[c]["mode"] is None)
+    if empty:
+        raise ValueError(f"{', '.join(empty)} has no values to learn from")
+    # Missing values count as the mode. Only names come to the driver: they become part of the model, which
+    # has to tell rare categories from those never seen.
+    filled = F.col("n")
+    for c, r in typical.items():
+        filled = F.when((F.col("column") == c) & (F.col("category") == r["mode"]), F.col("n") + r["missing"]).otherwise(filled)
+    named = counts.where(present).select("column", "category", (filled >= config.min_category_count).alias("kept"))
+    stats = {c: CategoryStats(r["mode"]) for c, r in typical.items()}
+    for r in named.toLocalIterator():
+        (stats[r["column"]].frequent if r["kept"] else stats[r["column"]].rare).append(r["category"])
+    for s in stats.values():
+        s.frequent.sort()
+        s.rare.sort()
+    return {c: stats[c] for c in columns}
 
 
 def _quote(text: str) -> str:
