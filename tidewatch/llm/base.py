@@ -17,7 +17,7 @@ ORACLES: dict[str, str] = {}
 #: White space is exactly these bytes; every other run of characters is a word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are handed to array code in slices of about this many bytes (one longer text is a slice).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -32,7 +32,7 @@ ENTROPY_TOKENS = 50
 #: Half the width of a band: so many robust spreads, and at least this share of the median.
 SPREADS, LEAST = 8.0, 0.15
 #: Words a task keeps the measures of.
-CACHE = 600_000
+CACHE = 400_000
 
 
 def base_counts(words: Words, hashes: np.ndarray) -> dict[str, np.ndarray]:
