@@ -27,7 +27,7 @@ DEPTH = 4
 #: Byte runs and words that are broadcast; both tables have this size at any size of the corpus.
 FREQUENT_RUNS, FREQUENT_WORDS = 1 << 19, 1 << 18
 #: Distinct keys a counting task holds before it hands them on.
-HELD = 1 << 21
+HELD = 1 << 20
 FOLDS, HELD_OUT = 7, 2
 #: Ends every text, as a byte no UTF-8 text has, and as a word.
 END = 0xFF
