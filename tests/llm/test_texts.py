@@ -1,5 +1,6 @@
 import hashlib
 import math
+import statistics
 import zlib
 from collections import Counter, defaultdict
 
@@ -70,6 +71,30 @@ def test_quality_rules(spark, small):
     assert sum(r["kept"] for r in clean) >= 0.98 * len(clean)
 
 
+def test_quality_rules_part_noise_from_clean_texts(spark):
+    """Of labelled texts that pass the base rules; entropy is held against texts of the same length."""
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    out = QUERIES["op3_quality_rules"](spark, folder).join(labels, "doc_id").where("not base_failed").collect()
+    low, clean = [r for r in out if r["quality"] == 0], [r for r in out if r["quality"] == 1]
+    assert len(low) > 10 and sum(not r["kept"] for r in low) >= 0.9 * len(low)
+    assert sum(r["kept"] for r in clean) >= 0.98 * len(clean)
+    order = sorted(clean, key=lambda r: r["n_tokens"])
+    short, long = ([r["evenness"] for r in part] for part in (order[: len(order) // 4], order[-(len(order) // 4) :]))
+    assert abs(statistics.mean(short) - statistics.mean(long)) < statistics.stdev(short)
+
+
+def test_quality_rules_keep_texts_beside_many_copies(spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' and doc_id < 300").collect()]
+    data = [(i, t, "en") for i, t in enumerate(texts + texts[:1] * 500)]
+    paths = vocabulary_path(BYTE_VOCABULARY), vocabulary_path(PIECE_VOCABULARY)
+    alone, beside = (
+        {r["doc_id"] for r in quality_rules(spark.createDataFrame(d, "doc_id long, text string, lang string"), *paths).where("kept").collect()}
+        for d in (data[: len(texts)], data)
+    )
+    assert alone == {i for i in beside if i < len(texts)}
+
+
 def test_quality_rules_of_awkward_rows(spark):
     paths = vocabulary_path(BYTE_VOCABULARY), vocabulary_path(PIECE_VOCABULARY)
     out = quality_rules(frame(spark), *paths).collect()

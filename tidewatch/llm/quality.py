@@ -3,8 +3,8 @@
 Public vocabularies measure a text: characters per token, share of tokens that are raw bytes of a
 character the vocabulary doesn't know, and entropy of the token distribution. Natural text of one
 language lies in narrow bands of these; symbol noise, shouting and repetition don't. The bands
-are medians with robust spreads of the texts that pass the base rules, per language (or script),
-over all rows.
+are Tukey's outer fences of the texts that pass the base rules, per language (or script), over all
+rows. Entropy is taken less what its language's texts of that length have.
 """
 
 from __future__ import annotations
@@ -29,8 +29,9 @@ MIN_WORDS = 50
 REPEATED_PERCENT = 50
 #: Texts of this length in tokens at least are held against the entropy band: shorter ones have fewer kinds of tokens.
 ENTROPY_TOKENS = 50
-#: Half the width of a band: so many robust spreads, and at least this share of the median.
-SPREADS, LEAST = 8.0, 0.15
+#: A band ends so many quartile distances outside the quartiles (Tukey's outer fences, "far out"), and at least this
+#: share of the median away from it, so that a group of near copies, which has no spread, doesn't reject all else.
+FENCES, LEAST = 3.0, 0.05
 #: Words a task keeps the measures of.
 CACHE = 400_000
 
@@ -174,34 +175,48 @@ def fertility_columns() -> dict[str, Column]:
     return {
         "chars_per_token": F.try_divide(F.col("word_chars").cast("double"), F.col("n_tokens")),
         "raw_share": F.try_divide(F.col("n_raw").cast("double"), F.col("n_pieces")),
-        # Entropy grows with the number of tokens; what is left of it after its logarithm doesn't.
-        "evenness": F.try_divide(F.col("entropy"), F.log2(F.greatest(F.col("n_tokens"), F.lit(2)).cast("double"))),
+        # Entropy rises with the number of tokens towards a limit; what it differs by from the group's line doesn't.
+        "evenness": F.col("entropy") - F.col("level") - F.col("slope") * shortness(),
     }
 
 
-def bands(measured: DataFrame, spreads: float = SPREADS, least: float = LEAST) -> DataFrame:
-    """For each group, what each measure may be: ``group, <measure>_low, <measure>_high``.
+def shortness() -> Column:
+    """Entropy of a language's texts is close to a straight line in this, at any length."""
+    return 1 / F.sqrt(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"))
 
-    From the quartiles of all texts that pass the base rules; the share of raw bytes has no lower bound.
+
+def bands(measured: DataFrame, fences: float = FENCES, least: float = LEAST) -> DataFrame:
+    """For each group, its line of entropy and what each measure may be: ``group, level, slope, <measure>_low, <measure>_high``.
+
+    From all texts that pass the base rules, those with equal counts (copies) once; the share of raw bytes has no lower bound.
     """
     quarter = [0.25, 0.5, 0.75]
     names = list(fertility_columns())
+    texts = materialize(measured.where(~base_failed()).select("group", *COUNTS, "entropy").distinct(), "fertility-texts")
+    lines = texts.groupBy("group").agg(
+        F.avg("entropy").alias("mean"), F.avg(shortness()).alias("short"), F.regr_slope("entropy", shortness()).alias("slope")
+    )
+    # One length only gives no slope.
+    slope = F.coalesce(F.when(~F.isnan("slope"), F.col("slope")), F.lit(0.0))
+    lines = materialize(lines.select(F.col("group").alias("of"), (F.col("mean") - slope * F.col("short")).alias("level"), slope.alias("slope"), "mean"), "fertility-lines")
     found = (
-        measured.where(~base_failed())
+        texts.join(lines, F.col("group").eqNullSafe(F.col("of")))
         .withColumns(fertility_columns())
-        .groupBy("group")
+        .groupBy("group", "level", "slope", "mean")
         .agg(*(F.percentile_approx(n, quarter, 1000).alias(n) for n in names))
     )
-    out = [F.col("group")]
+    out = [F.col("group"), F.col("level"), F.col("slope")]
     for n in names:
         q = [F.get(F.col(n), i) for i in range(3)]
-        wide = F.greatest((q[2] - q[0]) / 1.349 * spreads, F.abs(q[1]) * least, F.lit(0.02))
-        out += [(F.lit(0.0) if n == "raw_share" else q[1] - wide).alias(f"{n}_low"), (q[1] + wide).alias(f"{n}_high")]
+        beyond = fences * (q[2] - q[0])
+        floor = F.greatest(F.abs(F.col("mean") if n == "evenness" else q[1]) * least, F.lit(0.02))
+        low = F.lit(0.0) if n == "raw_share" else F.least(q[0] - beyond, q[1] - floor)
+        out += [low.alias(f"{n}_low"), F.greatest(q[2] + beyond, q[1] + floor).alias(f"{n}_high")]
     return found.select(*out)
 
 
 def quality_rules(
-    docs: DataFrame, byte_path: str, piece_path: str, group: Column | None = None, spreads: float = SPREADS, least: float = LEAST
+    docs: DataFrame, byte_path: str, piece_path: str, group: Column | None = None, fences: float = FENCES, least: float = LEAST
 ) -> DataFrame:
     """``doc_id``, the base counts, the token measures, ``base_failed`` and ``kept`` of every row.
 
@@ -211,7 +226,7 @@ def quality_rules(
     id, the text and the group aren't read.
     """
     measured = materialize(measures(docs, byte_path, piece_path, F.col("lang") if group is None else group), "fertility")
-    limits = materialize(bands(measured, spreads, least), "fertility-bands").withColumnRenamed("group", "of")
+    limits = materialize(bands(measured, fences, least), "fertility-bands").withColumnRenamed("group", "of")
     inside = F.lit(True)
     for n in fertility_columns():
         fits = F.col(n).between(F.col(f"{n}_low"), F.col(f"{n}_high"))
@@ -219,9 +234,9 @@ def quality_rules(
             fits |= F.col("n_tokens") < ENTROPY_TOKENS
         inside &= F.coalesce(fits, F.lit(True))
     return (
-        measured.withColumns(fertility_columns())
-        .withColumn("base_failed", base_failed())
+        measured.withColumn("base_failed", base_failed())
         .join(limits, F.col("group").eqNullSafe(F.col("of")), "left")
+        .withColumns(fertility_columns())
         .withColumn("kept", ~F.col("base_failed") & inside)
         .select("doc_id", *COUNTS[:5], "base_failed", "kept", "group", "n_tokens", *fertility_columns())
     )
