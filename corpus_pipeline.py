@@ -21,46 +21,66 @@ SHINGLE, PERCENT = 5, 80
 ORACLE_SQL = None
 
 
-def without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
-    """Documents whose id isn't in ``dropped`` (``doc_id``). A null id is never dropped."""
-    ids = materialize(dropped.where("doc_id is not null").select("doc_id").distinct(), name)
-    return docs.join(ids, "doc_id", "left_anti")
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row_number``, which tells all rows apart and stays the same whenever it is read.
+
+    It is the row's place in its stored file, so a table read from files isn't copied; any other one is stored first.
+    """
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        docs = materialize(docs, "stage-rows")
+    paths = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+    files = docs.sparkSession.createDataFrame(list(enumerate(paths)), "file_number long, file_of_row string")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("file_of_row"), F.col("_metadata.row_index").alias("row_of_file"))
+    number = F.shiftleft("file_number", 40) + F.col("row_of_file")
+    return placed.join(F.broadcast(files), "file_of_row").select(*docs.columns, number.alias("row_number"))
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    """Rows of ``numbered`` with their number as the id, so that what an operator says of an id holds for one row."""
+    return rows.withColumn("doc_id", F.col("row_number"))
+
+
+def without(rows: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
+    """Documents of ``numbered`` rows whose number isn't in ``dropped`` (``doc_id``, as ``by_row`` gives it)."""
+    numbers = materialize(dropped.select(F.col("doc_id").alias("row_number")), name)
+    return rows.join(numbers, "row_number", "left_anti").drop("row_number")
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules. Rows that share an id go together if one of them fails; null ids stay."""
-    judged = quality_rules(docs, vocabulary_path(BYTE_VOCABULARY), vocabulary_path(PIECE_VOCABULARY))
-    return without(docs, judged.where("not kept"), "stage-rules")
+    """Documents that pass the quality rules. Each row is judged by itself, whatever its id."""
+    rows = numbered(docs)
+    judged = quality_rules(by_row(rows), vocabulary_path(BYTE_VOCABULARY), vocabulary_path(PIECE_VOCABULARY))
+    return without(rows, judged.where("not kept"), "stage-rules")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, fitted on the labelled ones among them, doesn't call toxic."""
-    chain = fit(docs, table(spark, sf_dir, "labels"))
-    return without(docs, classify(docs, chain).where("rejected"), "stage-toxicity")
+    rows, chain = numbered(docs), fit(docs, table(spark, sf_dir, "labels"))
+    return without(rows, classify(by_row(rows), chain).where("rejected"), "stage-toxicity")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id, in one of its rows."""
-    groups = near_duplicates(docs, SHINGLE, PERCENT)
-    kept = without(docs, groups.where("not kept"), "stage-near")
-    # Rows that share a kept id are one document; only ids that occur more than once are looked at.
-    twice = materialize(kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "stage-repeats")
-    if not twice.head(1):
-        return kept
-    once = kept.join(twice, "doc_id", "left_anti")
-    return once.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """One row of each group of near duplicates: that with the smallest id (a null one last), the first of its rows.
+
+    Each row is a document of its own: rows that share an id but not their text both stay.
+    """
+    rows = numbered(docs)
+    groups = near_duplicates(by_row(rows), SHINGLE, PERCENT).select(F.col("doc_id").alias("row_number"), "component_id")
+    groups = materialize(groups.join(rows.select("row_number", F.col("doc_id").alias("id")), "row_number"), "stage-groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row_number")).alias("first"))
+    others = groups.join(first.where("first.row_number is not null"), "component_id").where("row_number != first.row_number")
+    return without(rows, others.select(F.col("row_number").alias("doc_id")), "stage-near")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: whole passes, and one more if more than half of a further one is taken."""
-    parts = taken(mixture(docs, n_words(F.col("text"))))
+    rows = numbered(docs)
+    # Rows without an id are shuffled by their number.
+    named = rows.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.col("row_number").cast("string")))
+    parts = taken(mixture(named, n_words(F.col("text")), keep=("row_number",)), "row_number")
     times = F.floor(F.try_divide(F.col("taken"), F.col("size")) + 0.5).cast("int")
-    counts = materialize(
-        parts.select("doc_id", times.alias("times")).where("times > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("times").alias("times")), "stage-mix"
-    )
-    mixed = docs.join(counts, "doc_id").withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).drop("times")
-    # A document without an id can't be looked up in the mix; it is taken once.
-    return mixed.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    counts = materialize(parts.select("row_number", times.alias("times_taken")).where("times_taken > 0"), "stage-mix")
+    return rows.join(counts, "row_number").withColumn("times_taken", F.explode(F.sequence(F.lit(1), "times_taken"))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

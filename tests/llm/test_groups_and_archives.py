@@ -243,6 +243,29 @@ def test_pipeline_stage_by_stage(spark, small):
     check_bins(bins.collect(), sizes)
 
 
+def test_pipeline_decides_by_row(spark, small):
+    """Null ids don't save a row, and an id shared with a rejected row doesn't cost one."""
+    found = spark.read.parquet(f"{small}/documents.parquet").where("lang = 'en'").select("doc_id", "text").collect()
+    passed = {r["doc_id"] for r in QUERIES["op3_quality_rules"](spark, small).where("kept").collect()}
+    good = [r["text"] for r in found if r["doc_id"] in passed and 100 < len(words(r["text"])) < 400][:40]
+    assert len(good) > 10
+    frames = lambda data: spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    data = [(i, t, "en", "a") for i, t in enumerate(good)]
+    ruled = corpus_pipeline.rules(spark, frames(data + [(0, "too short", "en", "a"), (None, "short", "en", "a"), (None, good[1], "en", "a")]), small)
+    assert Counter(r["text"] for r in ruled.collect()) == Counter(good + good[1:2])
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(200)) for x in "abc")
+    near = corpus_pipeline.near_dedup(spark, frames([(i, t, "en", "a") for i, t in ((None, a), (None, a + " end"), (3, a), (3, b), (None, c), (2, c), (None, ""))]), small)
+    assert Counter((r["doc_id"], r["text"]) for r in near.collect()) == Counter([(3, a), (3, b), (2, c), (None, "")])
+
+    sources = [(None if k % 2 else k, f"{t} {k}", "en", "abc"[k % 3]) for k, t in enumerate([a, b, c] * 40)]
+    mixed = corpus_pipeline.mixing(spark, frames(sources), small)
+    size = {(x, n): 0 for x in "abc" for n in (True, False)}
+    for r in mixed.collect():
+        size[r["source"], r["doc_id"] is None] += 1
+    assert size["a", True] > 1.5 * 20 and size["c", True] < 20  # as the targets of the sources say
+
+
 def test_pipeline_of_awkward_and_no_rows(spark, small):
     for docs in (frame(spark), empty(spark)):
         for name, stage in corpus_pipeline.STAGES:

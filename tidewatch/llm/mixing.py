@@ -105,7 +105,7 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     )
 
 
-def streams(sizes: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
+def streams(sizes: DataFrame, sources: DataFrame, rows: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """Documents in their source's shuffled stream: adds ``sid, piece, place, start`` and the source's columns.
 
     ``start`` is the number of words before the document; ``(sid, piece, place)`` tells rows apart.
@@ -134,6 +134,7 @@ def streams(sizes: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
         "target",
         "sid",
         "piece",
+        *keep,
         F.row_number().over(within).alias("place"),
         (F.sum("size").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("size") + F.col("before")).alias("start"),
     )
@@ -157,7 +158,7 @@ def mixture(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, r
     block = max(1, min(MAX_BLOCK, total // max(1, n * SLOTS_PER_SOURCE)))
     slots = materialize(schedule(sources, total // block), "mix-schedule")
     filled = materialize(slots.groupBy("sid").agg(F.count(F.lit(1)).alias("n_blocks")), "mix-blocks")
-    placed = streams(sizes.drop(*keep), sources, rows) if not keep else streams(sizes, sources, rows)
+    placed = streams(sizes, sources, rows, keep)
     first = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
     parts = (
         placed.join(filled, "sid", "left")
