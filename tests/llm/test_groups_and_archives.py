@@ -94,6 +94,15 @@ def test_rows_that_share_an_id_are_one_document(spark):
     assert {r["component_id"] for r in out if r["doc_id"] == 7} <= {1, 5}
 
 
+def test_a_link_of_one_row_of_an_id_is_a_link_of_all(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    docs = spark.createDataFrame([(1, a), (5, a), (5, b), (5, ""), (7, b), (7, c), (8, c), (9, d), (6, ""), (None, b)], "doc_id long, text string")
+    out = near_duplicates(docs, 3, 85).collect()
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in out} == {
+        (1, 1, True), (5, 1, False), (7, 1, False), (8, 1, False), (9, 9, True), (6, 6, True), (None, 1, False)
+    }
+
+
 def test_signatures_estimate_likeness():
     rng = np.random.default_rng(1)
     common, own = rng.integers(0, 2**63, 600, dtype=np.uint64), rng.integers(0, 2**63, 400, dtype=np.uint64)

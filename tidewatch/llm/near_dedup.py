@@ -213,19 +213,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     )
     pairs = materialize(met.join(pivots, "key").where("node != b").select(F.col("node").alias("a"), "b").distinct(), "near-pairs")
     sets = materialize(sets_of(docs, materialize(weight.select("node"), "near-nodes"), shingle), "near-sets")
-    links = materialize(confirmed(pairs, sets, percent), "near-links")
+    # An id whose rows have several sets is one document: what its rows are in is linked through it.
+    kind = F.struct("high", "low", "n")
+    several = found.where("doc_id is not null").groupBy("doc_id").agg(F.min(kind).alias("one"), F.max(kind).alias("two")).where("one != two").select("doc_id")
+    several = materialize(several, "near-several")
+    held = materialize(found.join(several, "doc_id").join(classes.drop("keys"), ["high", "low", "n"]).select("doc_id", "node"), "near-held")
+    least = held.groupBy("doc_id").agg(F.min("node").alias("b"))
+    tied = held.join(least, "doc_id").select(F.col("node").alias("a"), "b").where("a != b").distinct()
+    links = materialize(confirmed(pairs, sets, percent).unionByName(tied), "near-links")
     groups = materialize(components(links), "near-groups")
     more = materialize(confirmed(materialize(by_differences(pairs, groups, sets, percent), "near-more-pairs"), sets, percent), "near-more")
     if more.head(1):
         groups = materialize(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "near-groups")
-    # Rows of one id may have several sets: the id is a node of its own, which all of them hang on.
     named = classes.select("high", "low", "n", "node").join(groups, "node", "left").select("high", "low", "n", F.coalesce("component", "node").alias("component"))
     named = materialize(named, "near-components")
     rows = found.select("doc_id", "high", "low", "n").join(named, ["high", "low", "n"], "left")
+    # A row without words is in its id's component, if the id has other rows.
+    whole = least.join(groups, F.col("b") == F.col("node"), "left").select("doc_id", F.coalesce("component", "b").alias("whole"))
+    rows = rows.join(materialize(whole, "near-whole"), "doc_id", "left")
     return rows.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("component")).otherwise(F.coalesce("whole", "doc_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
