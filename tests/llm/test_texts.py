@@ -14,7 +14,7 @@ from tidewatch.llm.context_trees import scored
 from tidewatch.llm.quality import BYTE_VOCABULARY, PIECE_VOCABULARY, quality_rules
 from tidewatch.llm.spotsigs import edited_fingerprints, fingerprints, similar
 from tidewatch.llm.token_counts import Vocabulary, token_counts, vocabulary_path
-from tidewatch.llm.toxicity import classify, fit
+from tidewatch.llm.toxicity import classify, fit, labelled_sample
 
 VOCABULARY = vocabulary_path("byte_bpe_50k.json")
 
@@ -163,6 +163,13 @@ def test_toxicity_held_out(spark):
     assert sum(out[i] for i in clean) <= 0.005 * len(clean)
 
 
+def test_labels_of_other_documents_take_no_places(spark):
+    docs = frame(spark, [(i, "some text", "en", "a", None, 7, "k", 1, 2, 3, "b") for i in range(6)])
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(600)], "doc_id long, toxic int")
+    found = {r["doc_id"]: r["toxic"] for r in labelled_sample(docs, labels, 3).collect()}
+    assert found == {i: int(i % 2 == 0) for i in range(6)}
+
+
 def test_toxicity_of_awkward_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (6, None), (None, 1), (7, 1), (7, 0)], "doc_id long, toxic int")
     out = classify(frame(spark), fit(frame(spark), labels)).collect()

@@ -145,14 +145,16 @@ def evidence(sample: DataFrame) -> DataFrame:
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
     """``doc_id, text, toxic`` of up to ``limit`` toxic and twice as many clean documents, chosen by a hash of the id.
 
-    Labels that aren't 0 or 1 are left out, and so are ids with both.
+    Labels that aren't 0 or 1 are left out, and so are ids with both, and those of no document in ``docs``.
     """
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     clear = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
         .agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
         .where("toxic = most")
         .drop("most")
+        .join(text.select("doc_id"), "doc_id", "left_semi")
         .withColumn("order", F.xxhash64("doc_id", F.lit(7)))
     )
     chosen = None
@@ -160,7 +162,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) ->
         part = clear.where(F.col("toxic") == value).orderBy("order", "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = materialize(chosen.drop("order"), "toxic-labels")  # three times ``limit`` rows at most, so broadcast
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = text.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     return materialize(found, "toxic-sample")
 
