@@ -11,7 +11,7 @@ import duckdb
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from tidewatch.catalog import ORACLES, QUERIES  # noqa: E402
+from __spark_entry__ import ORACLES, QUERIES  # noqa: E402
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
