@@ -54,6 +54,13 @@ def slices(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
         start = stop
 
 
+def by_length(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch by the length of a binary column, as vectors of one length."""
+    lengths = np.asarray(pc.binary_length(batch.column(column)))
+    for length in np.unique(lengths):
+        yield batch.take(pa.array(np.flatnonzero(lengths == length)))
+
+
 def map_texts(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str
 ) -> DataFrame:

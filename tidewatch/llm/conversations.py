@@ -14,9 +14,10 @@ once, for the digest, which one task takes along a conversation's sorted rows wi
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -60,7 +61,7 @@ def inserted(state: int) -> Iterator[int]:
             yield after
 
 
-def cheapest(rows: list[Row], start: int, ends: tuple[int, ...], closing: bool) -> tuple[int, str] | None:
+def cheapest(rows: Sequence[Row], start: int, ends: tuple[int, ...], closing: bool) -> tuple[int, str] | None:
     """Cost and audit of the cheapest way from state ``start`` past all rows to one of ``ends``; None if there is none.
 
     Of equally cheap ways the one with the least audit. ``closing`` allows insertions after the last row.
@@ -232,14 +233,19 @@ def counts(rows: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+# Short conversations repeat each other's lattices.
+_known = functools.lru_cache(1 << 14)(cheapest)
+
+
 def _solved(rows: list[dict], piece: int, whole: bool) -> pa.RecordBatch:
-    lattice = [(r["initial"], r["blank"] or r["again"] or r["chunk"] > 0, r["cut"], r["run"]) for r in rows]
+    lattice = tuple((r["initial"], r["blank"] or r["again"] or r["chunk"] > 0, r["cut"], r["run"]) for r in rows)
+    search = _known if len(lattice) <= 16 else cheapest
     initials = [r["initial"] for r in rows]
     illegal = sum(r["run"] - 1 for r in rows) + sum(a + b not in LEGAL for a, b in zip(initials, initials[1:], strict=False))
     ways = []
     for start in (START,) if whole else range(len(STATES)):
         for ends in (ENDS,) if whole else ((q,) for q in range(len(STATES))):
-            found = cheapest(lattice, start, ends, whole)
+            found = search(lattice, start, ends, whole)
             if found:
                 ways.append({"start": start, "end": ends[0], "cost": found[0], "audit": found[1]})
     ranks = {a: k for k, a in enumerate(sorted({w["audit"] for w in ways}))}
