@@ -12,7 +12,7 @@ from tidewatch.functions import columns as C
 from tidewatch.operators import drift, quality
 from tidewatch.operators.row_features import add_row_features, exposure
 from tidewatch.plans import fixture
-from tidewatch.session import shared_folder
+from tidewatch.session import materialize, shared_folder
 from tidewatch.sources import transactions as source
 
 _SUMMARY_SQL = f"""{TXN_SQL}
@@ -421,3 +421,69 @@ def prediction_drift(spark: SparkSession, folder: str) -> DataFrame:
     found = drift.prediction_drift(after, grid)
     flags = [c for c in found.columns if c.endswith("_detected")]
     return found.select(*[rounded(c) for c in found.columns if c not in flags], *flags)
+
+
+_WEEKS_SQL = f"{_HALF_SQL}, weeks AS (SELECT *, CAST(date_diff('day', TIMESTAMP '2024-01-01', ts) // 7 AS BIGINT) AS week FROM ev)"
+
+
+def _weekly_moments(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored moments of every day, with the week the day is in."""
+    ev = fixture.table(spark, folder, "events").withColumn("doubled", F.col("value") * 2 + F.col("user_id"))
+    daily = materialize(drift.daily_moments(ev.withColumn("day", F.to_date("ts")), ["value", "doubled"], ["day"]), "daily-moments")
+    return daily.withColumn("week", F.expr("datediff(day, DATE'2024-01-01') div 7"))
+
+
+@query(
+    "statistics_of_merged_days",
+    _WEEKS_SQL
+    + " UNION ALL ".join(
+        f""" SELECT week, '{c}' AS feature, ROUND(AVG({c}), 6) AS mean, ROUND(STDDEV_SAMP({c}), 6) AS std,
+             CAST(MIN({c}) AS DOUBLE) AS min, CAST(MAX({c}) AS DOUBLE) AS max FROM weeks GROUP BY week"""
+        for c in ("value", "doubled")
+    ),
+)
+def statistics_of_merged_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of weeks, merged from the moments of days."""
+    found = drift.merged_statistics(_weekly_moments(spark, folder), ["week"])
+    return found.select("week", "feature", rounded("mean"), rounded("std"), "min", "max")
+
+
+@query(
+    "feature_drift_by_week",
+    _WEEKS_SQL
+    + " UNION ALL ".join(
+        f""" SELECT week, '{c}' AS feature, ROUND(b.m, 6) AS baseline_mean, ROUND(n.m, 6) AS current_mean,
+             ROUND(ABS(n.m - b.m) / GREATEST(ABS(b.m), 1e-8) * 100, 6) AS mean_change_pct,
+             ROUND(b.s, 6) AS baseline_std, ROUND(n.s, 6) AS current_std,
+             ROUND(ABS(n.s - b.s) / GREATEST(b.s, 1e-8) * 100, 6) AS std_change_pct,
+             COALESCE(ABS(n.m - b.m) / GREATEST(ABS(b.m), 1e-8) > 0.01 OR ABS(n.s - b.s) / GREATEST(b.s, 1e-8) > 0.01, FALSE)
+                 AS drift_detected
+             FROM (SELECT AVG({c}) AS m, STDDEV_SAMP({c}) AS s FROM weeks WHERE week < 2) b,
+                  (SELECT week, AVG({c}) AS m, STDDEV_SAMP({c}) AS s FROM weeks WHERE week >= 2 GROUP BY week) n"""
+        for c in ("value", "doubled")
+    ),
+)
+def feature_drift_by_week(spark: SparkSession, folder: str) -> DataFrame:
+    """Every later week against the first two, all from stored moments."""
+    moments = _weekly_moments(spark, folder)
+    baseline = drift.merged_statistics(moments.where("week < 2"))
+    found = drift.drift_by(moments.where("week >= 2"), baseline, ["week"], threshold=0.01)
+    numbers = [c for c in found.columns if c not in ("week", "feature", "drift_detected")]
+    return found.select("week", "feature", *[rounded(c) for c in numbers], "drift_detected")
+
+
+@query(
+    "merged_score_sketches",
+    f"""SELECT COUNT(DISTINCT CAST(ts AS DATE)) AS days, COUNT(*) AS n, CAST(101 AS BIGINT) AS quantiles,
+        ROUND({drift.rank_error()}, 9) AS stated_error, TRUE AS within FROM events""",
+)
+def merged_score_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches of days merged into one: whether all its quantiles have ranks within the stated error."""
+    ev = fixture.table(spark, folder, "events").select(F.to_date("ts").alias("day"), (F.col("value") / (F.col("value") + 50)).alias("score"))
+    daily = materialize(drift.score_sketches(ev, ["day"]), "daily-sketches")
+    shares = [i / 100.0 for i in range(101)]
+    merged = drift.sketch_quantiles(drift.merged_sketch(daily), shares).first()
+    days = daily.count()
+    largest = max(drift.rank_errors(ev, "score", merged["quantiles"], shares, merged["n"]))
+    found = [(days, merged["n"], len(shares), round(drift.rank_error(), 9), largest <= drift.rank_error())]
+    return spark.createDataFrame(found, "days long, n long, quantiles long, stated_error double, within boolean")

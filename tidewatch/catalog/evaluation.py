@@ -13,7 +13,7 @@ from tidewatch.operators import accounts, alerts, metrics, splits
 from tidewatch.operators.scoring import with_percentile
 from tidewatch.plans import fixture
 from tidewatch.plans.ordering import quantiles
-from tidewatch.session import shared_folder
+from tidewatch.session import materialize, shared_folder
 from tidewatch.sources import reports
 
 
@@ -27,7 +27,7 @@ def _scored(spark: SparkSession, folder: str, score: str) -> DataFrame:
 
 # --- splits ----------------------------------------------------------------
 
-_CUTS_SQL = f"""{TXN_SQL}, moments AS (
+CUTS_SQL = f"""{TXN_SQL}, moments AS (
     SELECT ts, ROW_NUMBER() OVER (ORDER BY ts) - 1 AS i, COUNT(*) OVER () AS n
     FROM (SELECT DISTINCT ts FROM txn)
 ), cuts AS (
@@ -42,14 +42,14 @@ _CUTS_SQL = f"""{TXN_SQL}, moments AS (
 )"""
 
 
-@query("temporal_split", f"{_CUTS_SQL} SELECT {KEY_SQL}, split FROM split")
+@query("temporal_split", f"{CUTS_SQL} SELECT {KEY_SQL}, split FROM split")
 def temporal_split(spark: SparkSession, folder: str) -> DataFrame:
     return splits.temporal_split(_txn(spark, folder)).select(*KEYS, "split")
 
 
 @query(
     "split_statistics",
-    f"""{_CUTS_SQL} SELECT split, COUNT(*) AS rows, CAST(SUM(y) AS BIGINT) AS positives,
+    f"""{CUTS_SQL} SELECT split, COUNT(*) AS rows, CAST(SUM(y) AS BIGINT) AS positives,
         ROUND(AVG(y), 9) AS prevalence, MIN(ts) AS first_timestamp, MAX(ts) AS last_timestamp
         FROM split GROUP BY split""",
 )
@@ -250,9 +250,11 @@ def _register_alerts(score: str) -> None:
         f"roc_points_{score}",
         f"""{TXN_SQL}, steps AS (SELECT {score} AS s, SUM(y) AS pos, COUNT(*) AS n FROM txn GROUP BY 1),
         run AS (SELECT s, SUM(pos) OVER w AS tp, SUM(n - pos) OVER w AS fp,
-                       SUM(pos) OVER () AS p, SUM(n - pos) OVER () AS q
+                       SUM(pos) OVER () AS p, SUM(n - pos) OVER () AS q,
+                       s < MAX(s) OVER () AND LEAD(pos) OVER w = pos AND LEAD(n) OVER w = n AS straight
                 FROM steps WINDOW w AS (ORDER BY s DESC))
         SELECT ROUND(s, 9) AS threshold, ROUND(fp / q, 9) AS fpr, ROUND(tp / p, 9) AS tpr FROM run
+        WHERE straight IS NOT TRUE
         UNION ALL SELECT 'inf'::DOUBLE, 0, 0""",
     )
     def roc(spark: SparkSession, folder: str) -> DataFrame:
@@ -346,7 +348,7 @@ def typology_report(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "split_report",
-    f"""{_CUTS_SQL} SELECT split, COUNT(*) AS rows, CAST(SUM(y) AS BIGINT) AS positives,
+    f"""{CUTS_SQL} SELECT split, COUNT(*) AS rows, CAST(SUM(y) AS BIGINT) AS positives,
         ROUND(AVG(y), 9) AS prevalence FROM split GROUP BY split""",
 )
 def split_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -485,7 +487,7 @@ def score_logits(spark: SparkSession, folder: str) -> DataFrame:
 
 def _unseen_sql(held_out: str | None) -> str:
     known = "split = 'train'" + (f" AND paid_in <> '{held_out}'" if held_out else "")
-    return f"""{_CUTS_SQL}, seen AS (
+    return f"""{CUTS_SQL}, seen AS (
     SELECT DISTINCT account FROM (
         SELECT sender AS account FROM split WHERE {known}
         UNION SELECT receiver FROM split WHERE {known})
@@ -561,6 +563,17 @@ def _register_unseen(suffix: str, held_out: str | None) -> None:
         flagged = accounts.flag_unseen(test, accounts.known_accounts(train))
         return flagged.select(*KEYS, "sender_seen", "receiver_seen", "both_seen", "unseen_entity")
 
+    @query(
+        f"unseen_flags_filtered{suffix}",
+        f"""{base} SELECT {KEY_SQL}, sender_seen, receiver_seen, sender_seen AND receiver_seen AS both_seen,
+        NOT (sender_seen AND receiver_seen) AS unseen_entity FROM flagged""",
+    )
+    def unseen_flags_filtered(spark: SparkSession, folder: str) -> DataFrame:
+        """The same flags with a Bloom filter in front of the join."""
+        train, test = _train_and_test(spark, folder, held_out)
+        flagged = accounts.flag_unseen_filtered(materialize(test, "test-rows"), accounts.known_accounts(train))
+        return flagged.select(*KEYS, "sender_seen", "receiver_seen", "both_seen", "unseen_entity")
+
     @query(f"unseen_subgroups{suffix}", base + _SUBGROUP_SQL)
     def unseen_subgroups(spark: SparkSession, folder: str) -> DataFrame:
         from tidewatch.plans.studies import unseen_entities

@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidewatch import schema as S
-from tidewatch.catalog.base import KEYS, TXN_SQL, query, rounded
+from tidewatch.catalog.base import KEY_SQL, KEYS, TXN_SQL, query, rounded
 from tidewatch.catalog.data import BROKEN_SQL, contract_rows
+from tidewatch.catalog.evaluation import CUTS_SQL as _CUTS_SQL
 from tidewatch.config import PreprocessingConfig, training_config
 from tidewatch.operators import attribution, models, preprocessing, splits
 from tidewatch.operators.scoring import score, score_requests
@@ -100,13 +102,11 @@ def category_statistics(spark: SparkSession, folder: str) -> DataFrame:
     txn = fixture.transactions(spark, folder)
     sizes = txn.groupBy("Sender_bank_location").count()
     limit = math.ceil(sizes.agg(F.avg("count")).first()[0])
-    found = preprocessing.category_statistics(
-        txn, list(_CATEGORY_COLUMNS), PreprocessingConfig(min_category_count=limit)
-    )
-    return spark.createDataFrame(
-        [(c, s.mode, ",".join(s.frequent), ",".join(s.rare)) for c, s in found.items()],
-        "column string, mode string, frequent string, rare string",
-    )
+    dictionary, codes = preprocessing.fit_dictionary(txn, list(_CATEGORY_COLUMNS), PreprocessingConfig(min_category_count=limit))
+    modes = spark.createDataFrame([(c, k.mode) for c, k in codes.items()], "column string, mode string")
+    names = lambda kept: F.array_join(F.sort_array(F.collect_list(F.when(F.col("kept") == kept, F.col("category")))), ",")
+    lists = dictionary.groupBy("column").agg(names(True).alias("frequent"), names(False).alias("rare"))
+    return modes.join(lists, "column")
 
 
 @query(
@@ -118,15 +118,162 @@ def class_weight(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(weight,)], "positive_weight double").select(rounded("positive_weight", 9))
 
 
-@query("encoded_features")
+_ENCODED = {**_CATEGORY_COLUMNS, "Received_currency": "received_in", "Receiver_bank_location": "receiver_place"}
+_COUNTS_SQL = " UNION ALL ".join(f"SELECT {i} AS place, {c} AS category, COUNT(*) AS n FROM train GROUP BY {c}" for i, c in enumerate(_ENCODED.values()))
+
+
+@query(
+    "encoded_features",
+    f"""{_CUTS_SQL}, spoilt AS (
+        SELECT *, CASE WHEN l_linenumber <> 2 THEN payment_type END AS kind,
+               CASE WHEN l_linenumber = 3 THEN NULL ELSE amount END AS known FROM split
+    ), train AS (
+        SELECT * REPLACE (kind AS payment_type) FROM spoilt WHERE split = 'train' AND receiver_place <> 'PERU'
+    ), counted AS ({_COUNTS_SQL}), modes AS (
+        SELECT place, arg_min(category, (-n, category)) FILTER (category IS NOT NULL) AS mode,
+               COALESCE(SUM(n) FILTER (category IS NULL), 0) AS missing FROM counted GROUP BY place
+    ), filled AS (
+        SELECT place, category, n + CASE WHEN category = mode THEN missing ELSE 0 END AS n
+        FROM counted JOIN modes USING (place) WHERE category IS NOT NULL
+    ), limits AS (
+        SELECT CAST(AVG(n) AS BIGINT) AS least FROM filled WHERE place = 2
+    ), coded AS (
+        SELECT place, category, n >= least AS kept,
+               CASE WHEN n >= least THEN row_number() OVER (PARTITION BY place, n >= least ORDER BY category) - 1
+                    ELSE COUNT(*) FILTER (n >= least) OVER (PARTITION BY place) END AS slot
+        FROM filled, limits
+    ), widths AS (
+        SELECT place, COUNT(*) FILTER (kept) + CAST(bool_or(NOT kept) AS INT) AS width FROM coded GROUP BY place
+    ), starts AS (
+        SELECT place, CAST(1 + COALESCE(SUM(width) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+        FROM widths
+    ), middle AS (SELECT quantile_cont(known, 0.5) AS m FROM train)
+    SELECT {KEY_SQL}, split, ROUND(COALESCE(known, m), 6) AS amount, """
+    + ", ".join(f"s{i}.start + c{i}.slot AS slot_{i}" for i in range(len(_ENCODED)))
+    + " FROM spoilt, middle "
+    + " ".join(
+        f"JOIN starts s{i} ON s{i}.place = {i} JOIN modes m{i} ON m{i}.place = {i} "
+        f"LEFT JOIN coded c{i} ON c{i}.place = {i} AND c{i}.category = COALESCE({'kind' if c == 'payment_type' else c}, m{i}.mode)"
+        for i, c in enumerate(_ENCODED.values())
+    ),
+)
 def encoded_features(spark: SparkSession, folder: str) -> DataFrame:
-    """Imputed, pooled and one-hot encoded feature vectors."""
+    """The amount and the place of each category's one in the vector; null where training never saw the category.
+
+    One payment type in some is missing, and a country is left out of training.
+    """
+    parts = splits.temporal_split(fixture.transactions(spark, folder)).withColumns(
+        {
+            "Payment_type": F.when(F.col("l_linenumber") != 2, F.col("Payment_type")),
+            S.AMOUNT: F.when(F.col("l_linenumber") != 3, F.col(S.AMOUNT)),
+        }
+    )
+    train = parts.where((F.col("split") == "train") & (F.col("Receiver_bank_location") != "PERU"))
+    least = round(train.groupBy("Sender_bank_location").count().agg(F.avg("count")).first()[0])
+    columns = list(_ENCODED)
+    fitted = preprocessing.fit_preprocessor(train, [S.AMOUNT, *columns], PreprocessingConfig(min_category_count=least))
+    widths = fitted.stages[1].getOrDefault("slots")
+    value = vector_to_array(preprocessing.FEATURES)
+    encoded = fitted.transform(parts).withColumn("values", value)
+    start, slots = 1, []
+    for i, width in enumerate(widths):
+        at = F.array_position(F.slice("values", start + 1, width), 1.0) + (start - 1)
+        slots.append(F.when(F.array_contains(F.slice("values", start + 1, width), 1.0), at).alias(f"slot_{i}"))
+        start += width
+    return encoded.select(*KEYS, "split", F.round(F.get("values", F.lit(0)), 6).alias("amount"), *slots)
+
+
+@query("encoded_feature_table")
+def encoded_feature_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Imputed, pooled and one-hot encoded vectors of the whole feature table."""
     parts = splits.temporal_split(features(spark, folder))
     fitted = preprocessing.fit_preprocessor(parts.where(F.col("split") == "train"))
     encoded = fitted.transform(parts)
     return encoded.select(*KEYS, "split", F.col(preprocessing.FEATURES).cast("string").alias("features"))
 
 
+# --- curves by Newton steps ------------------------------------------------
+
+_STEPS = 25
+
+
+def _newton_sql(points: str, n: int, ridge: str, scale: str) -> str:
+    """Newton steps as CTEs over ``points`` (x0.., y, w); n slopes and an intercept, solved by elimination in a list."""
+    size = n + 1
+    xs = [f"x{i}" for i in range(n)] + ["1"]
+    parts = [f"start AS (SELECT {', '.join(f'0.0::DOUBLE AS b{i}' for i in range(size))})", f"s0 AS (SELECT * FROM start)"]
+    for k in range(_STEPS):
+        margin = " + ".join(f"b{i} * {x}" for i, x in enumerate(xs))
+        sums = ", ".join(
+            [f"SUM(w * (q - y) * {x}) / {scale} AS g{i}" for i, x in enumerate(xs)]
+            + [f"SUM(w * q * (1 - q) * {xs[i]} * {xs[j]}) / {scale} AS h{i}{j}" for i in range(size) for j in range(i, size)]
+        )
+        g = [f"(g{i} + {ridge} * b{i})" if i < n else f"g{i}" for i in range(size)]
+        h = [[f"(h{min(i, j)}{max(i, j)}{f' + {ridge}' if i == j < n else ''})" for j in range(size)] for i in range(size)]
+        parts.append(
+            f"t{k} AS (SELECT {sums}, {', '.join(f'any_value(b{i}) AS b{i}' for i in range(size))} "
+            f"FROM (SELECT *, 1 / (1 + exp(-({margin}))) AS q FROM {points}, s{k}))"
+        )
+        if size == 2:
+            det = f"({h[0][0]} * {h[1][1]} - {h[0][1]} * {h[0][1]})"
+            moved = [f"({h[1][1]} * {g[0]} - {h[0][1]} * {g[1]}) / {det}", f"({h[0][0]} * {g[1]} - {h[0][1]} * {g[0]}) / {det}"]
+        else:
+            minor = lambda a, b, c, d: f"({a} * {d} - {b} * {c})"
+            det3 = lambda m: (
+                f"({m[0][0]} * {minor(m[1][1], m[1][2], m[2][1], m[2][2])} - {m[0][1]} * {minor(m[1][0], m[1][2], m[2][0], m[2][2])} "
+                f"+ {m[0][2]} * {minor(m[1][0], m[1][1], m[2][0], m[2][1])})"
+            )
+            swapped = lambda j: [[g[r] if c == j else h[r][c] for c in range(3)] for r in range(3)]
+            moved = [f"{det3(swapped(j))} / {det3(h)}" for j in range(3)]
+        parts.append(f"s{k + 1} AS (SELECT {', '.join(f'b{i} - {m} AS b{i}' for i, m in enumerate(moved))} FROM t{k})")
+    return ", ".join(parts)
+
+
+_CALIBRATION_SQL = f"""{TXN_SQL}, points AS (
+    SELECT *, ln(p / (1 - p)) AS x0, 1 AS w FROM (SELECT *, LEAST(GREATEST(fine_score, 1e-6), 1 - 1e-6) AS p FROM txn)
+), {_newton_sql('points', 1, '1', '1')}"""
+
+
+@query("calibration_fit", f"{_CALIBRATION_SQL} SELECT ROUND(b0, 6) AS slope, ROUND(b1, 6) AS intercept FROM s{_STEPS}")
+def calibration_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """Slope and intercept of the calibration curve of a score."""
+    curve = models.fit_calibrator(fixture.transactions(spark, folder), "fine_score")
+    return spark.createDataFrame([(curve.slope, curve.intercept)], "slope double, intercept double").select(rounded("slope"), rounded("intercept"))
+
+
+@query(
+    "calibrated_scores",
+    f"""{_CALIBRATION_SQL} SELECT {KEY_SQL}, ROUND(1 / (1 + exp(-(b0 * x0 + b1))), 9) AS probability FROM points, s{_STEPS}""",
+)
+def calibrated_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every score through its calibration curve."""
+    txn = fixture.transactions(spark, folder)
+    curve = models.fit_calibrator(txn, "fine_score")
+    return txn.select(*KEYS, F.round(curve.apply(F.col("fine_score")), 9).alias("probability"))
+
+
+@query(
+    "baseline_fit",
+    f"""{TXN_SQL}, raw AS (
+        SELECT ln(1 + amount) AS a, CAST(sender_place <> receiver_place AS DOUBLE) AS c, y FROM txn
+    ), spread AS (
+        SELECT STDDEV_SAMP(a) AS sa, STDDEV_SAMP(c) AS sc, COUNT(*) AS n, SUM(y) AS p FROM raw
+    ), points AS (
+        SELECT a / sa AS x0, c / sc AS x1, y, CASE WHEN y = 1 THEN n / (2 * p) ELSE n / (2 * (n - p)) END AS w FROM raw, spread
+    ), {_newton_sql('points', 2, '1e-4', 'SUM(w)')}
+    SELECT ROUND(b0, 6) AS log_amount, ROUND(b1, 6) AS cross_border, ROUND(b2, 6) AS intercept FROM s{_STEPS}""",
+)
+def baseline_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """The logistic baseline on two scaled features with balanced classes, by Newton steps."""
+    txn = fixture.transactions(spark, folder).select(
+        F.log1p(S.AMOUNT).alias("log_amount"),
+        (F.col("Sender_bank_location") != F.col("Receiver_bank_location")).cast("double").alias("cross_border"),
+        S.TARGET,
+    )
+    fitted = models.newton_baseline(txn, ["log_amount", "cross_border"])
+    return spark.createDataFrame([tuple(fitted.values())], ", ".join(f"{c} double" for c in fitted)).select(*[rounded(c) for c in fitted])
+
+
 def _report(name: str):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         _, path = trained(spark, folder)
@@ -208,8 +355,21 @@ def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query("model_importances")
 def model_importances(spark: SparkSession, folder: str) -> DataFrame:
     model, _ = trained(spark, folder)
-    encoded = preprocessing_only(model).transform(features(spark, folder))
-    return attribution.model_importances(spark, model.pipeline, preprocessing.encoded_names(encoded))
+    return attribution.model_importances(spark, model.pipeline)
+
+
+@query("importance_totals", "SELECT 1.0::DOUBLE AS total, CAST(0 AS BIGINT) AS out_of_order, CAST(0 AS BIGINT) AS negative FROM (SELECT COUNT(*) FROM lineitem)")
+def importance_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """What holds of the importances of any model: they add up to 1, come in order and aren't negative."""
+    model, _ = trained(spark, folder)
+    found = attribution.model_importances(spark, model.pipeline, top=None)
+    placed = found.coalesce(1).withColumn("place", F.monotonically_increasing_id())
+    before = F.lag("importance").over(Window.partitionBy(F.lit(0)).orderBy("place"))
+    return placed.withColumn("before", before).agg(
+        F.round(F.sum("importance"), 9).alias("total"),
+        F.count_if(F.col("importance") > F.col("before")).alias("out_of_order"),
+        F.count_if(F.col("importance") < 0).alias("negative"),
+    )
 
 
 def preprocessing_only(model: RiskModel):
@@ -218,24 +378,39 @@ def preprocessing_only(model: RiskModel):
     return PipelineModel(model.pipeline.stages[:-1])
 
 
+def _explainer(spark: SparkSession, folder: str, model: RiskModel) -> attribution.PathExplainer:
+    train = splits.temporal_split(features(spark, folder)).where(F.col("split") == "train")
+    return attribution.PathExplainer.of(spark, model.pipeline, preprocessing_only(model).transform(train))
+
+
 @query("attribution_summary")
 def attribution_summary(spark: SparkSession, folder: str) -> DataFrame:
     model, _ = trained(spark, folder)
-    encoded = preprocessing_only(model).transform(features(spark, folder))
-    explainer = attribution.TreeExplainer.of(spark, model.pipeline)
-    names = preprocessing.encoded_names(encoded)
-    return attribution.attribution_summary(explainer.attribute(encoded, KEYS), names)
+    explainer, rows = _explainer(spark, folder, model), features(spark, folder)
+    attributed = explainer.attribute(preprocessing_only(model).transform(rows), KEYS)
+    return attribution.attribution_summary(attributed, explainer.names, rows.count())
 
 
 @query("alert_attributions")
 def alert_attributions(spark: SparkSession, folder: str) -> DataFrame:
-    """Every feature's contribution for the transactions under review."""
+    """Every contribution to the margins of the transactions under review."""
     model, _ = trained(spark, folder)
     scored = score(features(spark, folder), model, [*KEYS, *S.MODEL_FEATURES]).where("requires_review")
-    encoded = preprocessing_only(model).transform(scored)
-    explainer = attribution.TreeExplainer.of(spark, model.pipeline)
-    attributed = explainer.attribute(encoded, KEYS)
-    return attribution.explain_rows(attributed, preprocessing.encoded_names(encoded), KEYS)
+    attributed = _explainer(spark, folder, model).attribute(preprocessing_only(model).transform(scored), KEYS)
+    return attribution.explain_rows(attributed, KEYS)
+
+
+@query("attribution_totals", "SELECT COUNT(*) AS rows, CAST(0 AS BIGINT) AS apart FROM lineitem")
+def attribution_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, and those whose contributions and the model's mean don't add up to the model's own margin."""
+    model, _ = trained(spark, folder)
+    explainer = _explainer(spark, folder, model)
+    encoded = preprocessing_only(model).transform(features(spark, folder))
+    summed = explainer.attribute(encoded, KEYS).groupBy(*KEYS).agg(F.sum("contribution").alias("total"))
+    margin = 2 * vector_to_array("rawPrediction")[1]
+    own = explainer.model.transform(encoded).select(*KEYS, margin.alias("margin"))
+    apart = F.abs(F.coalesce("total", F.lit(0.0)) + explainer.base - F.col("margin")) > 1e-6
+    return own.join(summed, KEYS, "left").agg(F.count(F.lit(1)).alias("rows"), F.count_if(apart).alias("apart"))
 
 
 @query("walk_forward_backtest")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch import schema as S
 from tidewatch.functions.columns import ratio
+from tidewatch.plans.grouped import first_rows
 from tidewatch.plans.ordering import ROW, Cut, exact_rows
 
 IS_ALERT = "is_alert"
@@ -112,6 +113,52 @@ def at_alert_rate(
     return _rates(stacked.select("at.*"))
 
 
+def at_alert_rate_by(
+    df: DataFrame,
+    by: Sequence[str],
+    rates: Sequence[float],
+    tie_break: Sequence[str],
+    score: str = "score",
+    target: str = S.TARGET,
+    rows: int | None = None,
+    rows_per_piece: int | None = None,
+    steps: DataFrame | None = None,
+) -> DataFrame:
+    """The same figures for every group at once: ``by`` and one row per rate, each group with a budget of its own.
+
+    ``df`` is a stored table whose column ``__row`` tells rows apart that tie on everything else. ``steps`` are its
+    ``score_steps`` by group, if the caller has them. No group is looked at by itself, so the
+    number of jobs doesn't grow with the number of groups.
+    """
+    if any(not 0 < rate <= 1 for rate in rates):
+        raise ValueError(f"alert rates {rates} aren't all in (0, 1]")
+    rows = df.count() if rows is None else rows
+    event = F.col(target) == 1
+    shares = F.explode(F.array(*[F.lit(float(rate)) for rate in rates]))
+    totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(event.cast("long")), F.lit(0)).alias("positives"))
+    wanted = totals.select("*", shares.alias("alert_rate")).withColumn(
+        "rank", F.greatest(F.lit(1), F.ceil(F.col("rows").cast("double") * F.col("alert_rate")))
+    )
+    order = [(score, True), *[(c, False) for c in tie_break], (ROW, False)]
+    if steps is not None:
+        steps = steps.select(
+            *by, F.col("score").alias(score), F.col("pos").alias("tally"), "n", F.col("pos_above").alias("tally_before"), F.col("n_above").alias("n_before")
+        )
+    found = first_rows(df, by, wanted, order, event, rows, rows_per_piece, steps)
+    counted = found.select(
+        *by,
+        "alert_rate",
+        F.col("first").cast("double").alias("threshold"),
+        F.col("tally").alias("tp"),
+        (F.col("inside") - F.col("tally")).alias("fp"),
+        (F.col("positives") - F.col("tally")).alias("fn"),
+        F.col("inside").alias("alerts"),
+        "rows",
+        "positives",
+    )
+    return _rates(counted, by)
+
+
 def at_threshold(
     df: DataFrame,
     threshold: float,

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewatch.plans.ordering import quantiles
+from tidewatch.plans.ordering import lookup, quantiles, with_piece
 
 FLOOR = 1e-8
 
@@ -34,13 +34,77 @@ def baseline_statistics(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*[F.col(f"`{c}`") for c in names])).alias("cell")).select("cell.*")
 
 
+def daily_moments(df: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """``by``, ``feature``, ``n``, ``mean``, ``apart`` (squared deviations from the mean), ``min``, ``max``: one row per group and feature.
+
+    These rows are kept instead of the data: merged, they give the statistics of any set of groups without reading it again.
+    """
+    names = [c for c in features if c in df.columns]
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), _present(c).alias("value")) for c in names]))
+    return (
+        df.select(*by, cells.alias("cell"))
+        .groupBy(*by, "cell.feature")
+        .agg(
+            F.count("cell.value").alias("n"),
+            F.avg("cell.value").alias("mean"),
+            (F.var_pop("cell.value") * F.count("cell.value")).alias("apart"),
+            F.min("cell.value").alias("min"),
+            F.max("cell.value").alias("max"),
+        )
+    )
+
+
+def merged_statistics(moments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """mean, std, min and max per feature (and ``by``) from rows of ``daily_moments``, merged pair by pair.
+
+    Two groups of n and m values with means a and b have (a n + b m) / (n + m) as their mean, and their squared deviations
+    are those of each plus (a - b)^2 n m / (n + m), in which nothing cancels. Groups without a value add nothing.
+    """
+    parts = moments.where("n > 0").groupBy(*by, "feature").agg(
+        # Sorted, so that the last digits don't depend on the order of arrival.
+        F.sort_array(F.collect_list(F.struct("mean", "n", "apart"))).alias("parts"),
+        F.min("min").alias("min"),
+        F.max("max").alias("max"),
+    )
+
+    def pair(left: Column, right: Column) -> Column:
+        n = left["n"] + right["n"]
+        gap = right["mean"] - left["mean"]
+        share = right["n"].cast("double") / n
+        return F.struct(
+            (left["mean"] + gap * share).alias("mean"),
+            n.alias("n"),
+            (left["apart"] + right["apart"] + gap * gap * left["n"] * share).alias("apart"),
+        )
+
+    zero = F.struct(F.lit(0.0).alias("mean"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("apart"))
+    whole = parts.withColumn("whole", F.aggregate("parts", zero, pair))
+    everything = moments.select(*by, "feature").distinct()
+    found = whole.select(
+        *by,
+        "feature",
+        F.col("whole.mean").alias("mean"),
+        F.when(F.col("whole.n") > 1, F.sqrt(F.col("whole.apart") / (F.col("whole.n") - 1))).alias("std"),
+        "min",
+        "max",
+    )
+    return lookup(everything, found, [*by, "feature"])
+
+
+def drift_by(moments: DataFrame, baseline: DataFrame, by: Sequence[str], threshold: float = 0.1) -> DataFrame:
+    """``feature_drift`` of every group of stored moments against one baseline, in one pass over the moments."""
+    return _compared(merged_statistics(moments, by), baseline, by, threshold)
+
+
 def feature_drift(
     df: DataFrame, baseline: DataFrame, features: Sequence[str], threshold: float = 0.1
 ) -> DataFrame:
     """Relative change of mean and deviation; features without a baseline are skipped."""
-    current = baseline_statistics(df, features).select(
-        "feature", F.col("mean").alias("current_mean"), F.col("std").alias("current_std")
-    )
+    return _compared(baseline_statistics(df, features), baseline, [], threshold)
+
+
+def _compared(current: DataFrame, baseline: DataFrame, by: Sequence[str], threshold: float) -> DataFrame:
+    current = current.select(*by, "feature", F.col("mean").alias("current_mean"), F.col("std").alias("current_std"))
     before = baseline.select(
         "feature", F.col("mean").alias("baseline_mean"), F.col("std").alias("baseline_std")
     )
@@ -51,6 +115,7 @@ def feature_drift(
     mean_change = change("current_mean", "baseline_mean", F.abs(F.col("baseline_mean")))
     std_change = change("current_std", "baseline_std", F.col("baseline_std"))
     return current.join(before, "feature").select(
+        *by,
         "feature",
         "baseline_mean",
         "current_mean",
@@ -91,3 +156,44 @@ def prediction_drift(
         widened.alias("variance_drift_detected"),
         (moved | widened).alias("drift_detected"),
     )
+
+
+#: Size of a score sketch, and the normalised rank error it has with 99 % confidence (stated by the sketch's authors as 2.296 / k^0.9021).
+SKETCH_K = 4096
+
+
+def rank_error(k: int = SKETCH_K) -> float:
+    """Largest difference between the rank a sketch's quantile has and the rank asked for, with 99 % confidence."""
+    return 2.296 / k**0.9021
+
+
+def score_sketches(df: DataFrame, by: Sequence[str], score: str = "score", k: int = SKETCH_K) -> DataFrame:
+    """``by``, ``n`` and a mergeable quantile sketch of the scores of each group; null and NaN left out."""
+    present = df.select(*by, _present(score).alias("value")).where(F.col("value").isNotNull())
+    return present.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double("value", F.lit(k)).alias("sketch"))
+
+
+def merged_sketch(sketches: DataFrame, by: Sequence[str] = (), k: int = SKETCH_K) -> DataFrame:
+    """``by``, ``n`` and the sketch of all scores whose sketches are merged; its error is that of one sketch."""
+    return sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, shares: Sequence[float], sketch: str = "sketch") -> DataFrame:
+    """Appends ``quantiles``, one for each share; every one has a rank within ``rank_error`` of its share."""
+    wanted = F.array(*[F.lit(float(q)) for q in shares])
+    return sketches.withColumn("quantiles", F.kll_sketch_get_quantile_double(sketch, wanted))
+
+
+def rank_errors(df: DataFrame, score: str, values: Sequence[float], shares: Sequence[float], n: int) -> list[float]:
+    """How far the exact rank of each value is from its share: 0 if the rows equal to it span the share. One counting pass."""
+    steps = sorted(set(values))
+    placed = with_piece(df.select(_present(score).alias("value")).where(F.col("value").isNotNull()), "value", steps, "piece")
+    start = F.element_at(F.array(F.lit(None).cast("double"), *map(F.lit, steps)), F.col("piece") + 1)
+    counted = placed.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") == start).alias("at"))
+    rows = {r["piece"]: r for r in counted.collect()}
+    below, upto, before = {}, {}, rows[0]["n"] if 0 in rows else 0
+    for k, step in enumerate(steps, start=1):
+        r = rows.get(k)
+        below[step], upto[step] = before, before + (r["at"] if r else 0)
+        before += r["n"] if r else 0
+    return [max(0.0, below[v] / n - q, q - upto[v] / n) for v, q in zip(values, shares, strict=True)]

@@ -4,22 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from tidewatch import schema as S
 from tidewatch.config import AlertConfig
 from tidewatch.functions.columns import SCORE_CLIP, clip, ratio
-from tidewatch.operators.alerts import at_alert_rate
-from tidewatch.plans.ordering import cut_points, pieces_for, quantiles, running_before
+from tidewatch.operators.alerts import at_alert_rate_by
+from tidewatch.plans.ordering import ROW, cut_points, next_along, pieces_for, quantiles, running_before
 from tidewatch.session import materialize
 
+#: Whole tables are a single group of this column.
+ALL = "__all"
+
 
 def clipped_scores(df: DataFrame, score: str = "score", target: str = S.TARGET) -> DataFrame:
     """Scores away from 0 and 1; fails unless both classes are present."""
-    span = df.agg(F.min(target).alias("low"), F.max(target).alias("high")).first()
+    _both_classes(df.agg(F.min(target).alias("low"), F.max(target).alias("high")).first(), target)
+    return df.withColumn(score, clip(F.col(score), SCORE_CLIP))
+
+
+def _both_classes(span: Row, target: str) -> None:
     if span["low"] == span["high"]:
         raise ValueError(f"column {target} holds {span['low']} alone, not both target classes")
-    return df.withColumn(score, clip(F.col(score), SCORE_CLIP))
 
 
 def score_steps(
@@ -76,8 +82,11 @@ def proper_scores(
     df: DataFrame, score: str = "score", target: str = S.TARGET, by: Sequence[str] = ()
 ) -> DataFrame:
     """Brier score and log loss."""
-    p, y = F.col(score), F.col(target).cast("double")
-    return df.groupBy(*by).agg(
+    return df.groupBy(*by).agg(*_proper(F.col(score), F.col(target).cast("double")))
+
+
+def _proper(p: Column, y: Column) -> tuple[Column, Column]:
+    return (
         F.avg((p - y) * (p - y)).alias("brier_score"),
         F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"),
     )
@@ -96,39 +105,48 @@ def evaluate(
 ) -> DataFrame:
     """All headline figures as one row.
 
-    The columns it needs are stored once, and each pass reads them from there.
+    The columns it needs are stored once; one aggregate gives counts and proper scores, and one table of
+    score steps both the areas and the cuts of all rates.
     """
-    df = materialize(clipped_scores(df.select(score, target, *tie_break), score, target), "evaluated")
-    rows = df.count()
-    areas = ranking_areas(score_steps(df, score, target, rows=rows)).drop("pr_trapezoid_area")
-    proper = proper_scores(df, score, target)
-    at = at_alert_rate(df, rates, tie_break, score, target, rows)
-    flat = at.agg(
-        *[
-            F.max(F.when(F.col("alert_rate") == F.lit(float(r)), F.col(m))).alias(f"{metric_names(r)}_{m}")
-            for r in rates
-            for m in ("precision", "recall", "lift")
-        ]
-    )
-    # Three aggregates of one row each, side by side.
-    figures = {k: v for part in (areas, proper, flat) for k, v in part.first().asDict().items()}
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for part in (areas, proper, flat) for f in part.schema)
-    return df.sparkSession.createDataFrame([tuple(figures.values())], schema)
-
-
-def roc_points(steps: DataFrame) -> DataFrame:
-    """(false positive rate, true positive rate) at each distinct score, plus the origin."""
-    totals = steps.agg(F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
-    counted = steps.select(
+    p, y = F.col(score), F.col(target).cast("double")
+    narrow = df.select(score, target, *tie_break).withColumn(score, clip(F.col(score), SCORE_CLIP))
+    stored = materialize(narrow.withColumns({ROW: F.monotonically_increasing_id(), ALL: F.lit(0)}), "evaluated")
+    seen = stored.agg(F.min(target).alias("low"), F.max(target).alias("high"), F.count(F.lit(1)).alias("rows"), *_proper(p, y)).first()
+    _both_classes(seen, target)
+    steps = materialize(score_steps(stored, score, target, [ALL], seen["rows"]), "evaluated-steps")
+    areas = ranking_areas(steps).first()
+    at = at_alert_rate_by(stored, [ALL], rates, tie_break, score, target, seen["rows"], steps=steps)
+    at = {r["alert_rate"]: r for r in at.collect()}
+    figures = {c: areas[c] for c in ("pr_auc", "roc_auc")} | {c: seen[c] for c in ("brier_score", "log_loss")}
+    for rate in rates:
+        figures |= {f"{metric_names(rate)}_{m}": at[float(rate)][m] for m in ("precision", "recall", "lift")}
+    return df.sparkSession.createDataFrame([tuple(figures.values())], ", ".join(f"`{c}` double" for c in figures))
+
+
+def roc_points(steps: DataFrame, corners: bool = True, rows_per_piece: int | None = None) -> DataFrame:
+    """(false positive rate, true positive rate) at each distinct score, plus the origin.
+
+    With ``corners`` the points between which the curve goes straight on are left out: a score is dropped if the next lower one
+    adds as many rows of each class as it does itself. The highest and the lowest score always stay. The
+    comparison runs piece by piece, and the first score of a piece is handed to the end of the one before.
+    """
+    totals = steps.agg(
+        F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"), F.max("score").alias("highest"), F.count(F.lit(1)).alias("steps")
+    ).first()
+    points = steps
+    if corners:
+        cuts = cut_points(steps, "score", pieces_for(totals["steps"], rows_per_piece))
+        points = next_along(steps, "score", {"next_pos": "pos", "next_n": "n"}, cuts, descending=True)
+        straight = (F.col("next_pos") == F.col("pos")) & (F.col("next_n") == F.col("n")) & (F.col("score") != F.lit(totals["highest"]))
+        points = points.where(~F.coalesce(straight, F.lit(False)))
+    counted = points.select(
         F.col("score").alias("threshold"),
         (F.col("n_above") + F.col("n") - F.col("pos_above") - F.col("pos")).alias("fp"),
         (F.col("pos_above") + F.col("pos")).alias("tp"),
     )
-    origin = totals.select(
-        F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("tp")
-    )
-    return _over_totals(counted.unionByName(origin), totals).select(
-        "threshold", ratio(F.col("fp"), F.col("q")).alias("fpr"), ratio(F.col("tp"), F.col("p")).alias("tpr")
+    origin = steps.sparkSession.createDataFrame([(float("inf"), 0, 0)], "threshold double, fp long, tp long")
+    return counted.unionByName(origin).select(
+        "threshold", ratio(F.col("fp"), F.lit(totals["q"])).alias("fpr"), ratio(F.col("tp"), F.lit(totals["p"])).alias("tpr")
     )
 
 

@@ -7,15 +7,16 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch import schema as S
 from tidewatch.config import BoosterConfig, TrainingConfig
 from tidewatch.functions.columns import logit
+from tidewatch.operators.newton import logistic
 from tidewatch.operators.preprocessing import FEATURES, fit_preprocessor
-from tidewatch.session import shared_folder
+from tidewatch.session import materialize, shared_folder
 
 WEIGHT = "__class_weight"
 RAW_SCORE = "raw_probability"
@@ -102,6 +103,22 @@ def fit_baseline(train: DataFrame, prepared: Sequence) -> PipelineModel:
     return PipelineModel([*prepared, *fitted.stages])
 
 
+def newton_baseline(df: DataFrame, columns: Sequence[str], target: str = S.TARGET) -> dict[str, float]:
+    """The baseline on a few numeric columns, solved by Newton steps: coefficients of the scaled columns, and ``intercept``.
+
+    The same problem as ``fit_baseline``: columns divided by their deviation, balanced classes, the mean weighted loss and a ridge of
+    1e-4. Every step is one aggregate with a number for each pair of columns, so it is meant for tens of
+    columns; encoded categories go the other way.
+    """
+    negatives, positives = class_counts(df, target)
+    rows = negatives + positives
+    spread = df.agg(*[F.stddev_samp(c).alias(c) for c in columns]).first()
+    scaled = df.select(*[(F.col(c) / F.lit(spread[c] or 1.0)).alias(c) for c in columns], target)
+    weight = F.when(F.col(target) == 1, F.lit(rows / (2 * max(positives, 1)))).otherwise(F.lit(rows / (2 * max(negatives, 1))))
+    slopes, intercept = logistic(materialize(scaled, "baseline-points"), columns, target, weight, ridge=1e-4, mean=True)
+    return dict(zip(columns, slopes, strict=True)) | {"intercept": intercept}
+
+
 def raw_scores(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     """``keep`` plus the model's probability of the positive class."""
     return model.transform(df).select(*keep, vector_to_array("probability")[1].alias(RAW_SCORE))
@@ -123,15 +140,7 @@ def fit_calibrator(scored: DataFrame, score: str = RAW_SCORE, target: str = S.TA
     negatives, positives = class_counts(scored, target)
     if not negatives or not positives:
         raise ValueError("a calibration curve can't be fitted without both target classes")
-    points = scored.select(logit(F.col(score)).alias("x"), F.col(target).cast("double").alias("y"))
-    points = VectorAssembler(inputCols=["x"], outputCol="v").transform(points)
-    fitted = LogisticRegression(
-        featuresCol="v",
-        labelCol="y",
-        regParam=1.0 / (negatives + positives),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=200,
-        tol=1e-10,
-    ).fit(points.select("v", "y"))
-    return Calibrator(float(fitted.coefficients[0]), float(fitted.intercept))
+    # Read once; the steps read the two numbers of each row from here.
+    points = materialize(scored.select(logit(F.col(score)).alias("x"), F.col(target).cast("int").alias("y")), "calibration-points")
+    slope, intercept = logistic(points, ["x"], "y", ridge=1.0)
+    return Calibrator(slope[0], intercept)

@@ -23,7 +23,7 @@ def distinct_instants(df: DataFrame) -> DataFrame:
     return df.select(F.col(S.TIMESTAMP)).distinct()
 
 
-def _nth_instants(df: DataFrame, positions: Sequence[int], count: int) -> list[int]:
+def nth_instants(df: DataFrame, positions: Sequence[int], count: int) -> list[int]:
     """Microseconds of the distinct timestamps at 0-based positions."""
     found = order_statistics(_instants(df), {_US: [p + 1 for p in positions]}, count, distinct=True)
     return [found[_US][p + 1][0] for p in positions]
@@ -50,7 +50,7 @@ def temporal_boundaries(df: DataFrame, config: SplitConfig = SplitConfig()) -> l
     third = max(second + 1, int(count * (config.train + config.calibration + config.validation)))
     if third >= count:
         raise ValueError(f"{count} distinct timestamps can't fill four periods")
-    return _nth_instants(df, [first, second, third], count)
+    return nth_instants(df, [first, second, third], count)
 
 
 def split_label(boundaries: Sequence[int]) -> Column:
@@ -120,7 +120,7 @@ def window_boundaries(
             continue
         plans.append([train_end, train_end + 2, train_end + 4])
     needed = sorted({block_start(b) for plan in plans for b in plan if b < block_count})
-    times = dict(zip(needed, _nth_instants(df, needed, count), strict=True))
+    times = dict(zip(needed, nth_instants(df, needed, count), strict=True))
     return [
         (
             times[block_start(a)],

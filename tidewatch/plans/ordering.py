@@ -212,6 +212,34 @@ def running_before(
     )
 
 
+def next_along(
+    table: DataFrame, order: str, columns: dict[str, str], cuts: list[float] | None = None, descending: bool = False
+) -> DataFrame:
+    """Append what the next row along ``order`` has in some columns, null at the end; ``order`` is distinct in ``table``.
+
+    With cut points the rows of a piece are looked at in a task of their own, and a table of each piece's first row
+    serves the last row of the piece before.
+    """
+
+    def direction(name: str) -> Column:
+        return F.col(name).desc() if descending else F.col(name).asc()
+
+    held = F.struct(*[F.col(c).alias(o) for o, c in columns.items()])
+    if not cuts:
+        window = Window.partitionBy(F.lit(0)).orderBy(direction(order))
+        found = table.withColumn("__next", F.lead(held).over(window))
+    else:
+        pieced = with_piece(table, order, cuts)
+        pick = F.max_by if descending else F.min_by
+        firsts = pieced.groupBy(_PIECE).agg(pick(held, F.col(order)).alias("__first"))
+        across = Window.partitionBy(F.lit(0)).orderBy(direction(_PIECE))
+        after = firsts.select(_PIECE, F.lead("__first").over(across).alias("__after"))
+        inside = Window.partitionBy(_PIECE).orderBy(direction(order))
+        found = lookup(pieced.withColumn("__in", F.lead(held).over(inside)), after, [_PIECE])
+        found = found.withColumn("__next", F.coalesce("__in", "__after")).drop(_PIECE, "__in", "__after")
+    return found.select(*table.columns, *[F.col(f"__next.{o}").alias(o) for o in columns])
+
+
 def _addend(df: DataFrame, column: str) -> Column:
     """Null as 0, and decimals one digit below the maximum so that adding keeps the scale."""
     dtype = df.schema[column].dataType
@@ -405,11 +433,22 @@ def leading_rows(
             cuts.append(Cut(order, [value], before + count))
             continue
         tied = df.where(~_held(first) if value is None else _held(first) & (F.col(first) == F.lit(value)))
-        deeper = leading_rows(tied, order[1:], [left], count, rows_per_piece)[0]
+        few = count <= (rows_per_piece or ROWS_PER_PIECE)
+        deeper = _tied_cut(tied, order[1:], left) if few else leading_rows(tied, order[1:], [left], count, rows_per_piece)[0]
         cuts.append(Cut(order, [value, *deeper.values], before + deeper.size))
     return cuts
 
 
+def _tied_cut(tied: DataFrame, order: Sequence[tuple[str, bool]], size: int) -> Cut:
+    """The cut of a table that a task can hold, over all its columns at once."""
+    names = [c for c, _ in order]
+    values = tied.select(*[F.when(_held(c), F.col(c)).alias(c) for c in names]).groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+    along = Window.partitionBy(F.lit(0)).orderBy(*[F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in order])
+    upto = F.sum("__n").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    r = values.withColumn("__upto", upto).where((F.col("__upto") >= size) & (F.col("__upto") - F.col("__n") < size)).first()
+    return Cut(order, [r[c] for c in names], r["__upto"])
+
+
 def exact_rows(
     df: DataFrame,
     order: Sequence[tuple[str, bool]],

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewatch import schema as S
 from tidewatch.config import TrainingConfig
+from tidewatch.functions.columns import SCORE_CLIP, clip
 from tidewatch.operators import accounts, alerts, metrics, splits
 from tidewatch.operators.models import (
     RAW_SCORE,
@@ -19,7 +20,7 @@ from tidewatch.operators.models import (
     fit_calibrator,
     raw_scores,
 )
-from tidewatch.plans.ordering import quantiles
+from tidewatch.plans.ordering import ROW, quantiles
 from tidewatch.session import materialize
 from tidewatch.sources.artifacts import RiskModel
 
@@ -113,28 +114,30 @@ def unseen_entities(
     does to it. Subgroups with one class keep their counts and no metrics.
     """
     flagged = accounts.flag_unseen(scored, accounts.known_accounts(train))
-    grouped = materialize(accounts.subgroups(flagged), "subgroup-scores")
-    counts = grouped.groupBy("subgroup").agg(
-        F.count(F.lit(1)).alias("transactions"),
-        F.sum(F.col(S.TARGET).cast("long")).alias("positives"),
-        F.avg(F.col(S.TARGET).cast("double")).alias("prevalence"),
+    grouped = accounts.subgroups(flagged.select(SCORE, S.TARGET, *tie_break, "both_seen")).drop("both_seen")
+    grouped = materialize(grouped.withColumn(ROW, F.monotonically_increasing_id()), "subgroup-scores")
+    by = ["subgroup"]
+    counts = materialize(
+        grouped.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("transactions"),
+            F.sum(F.col(S.TARGET).cast("long")).alias("positives"),
+            F.avg(F.col(S.TARGET).cast("double")).alias("prevalence"),
+            (F.min(S.TARGET) != F.max(S.TARGET)).alias("both_classes"),
+        ),
+        "subgroup-counts",
     )
-    usable = splits.two_class_groups(grouped, "subgroup").select("subgroup").collect()
-    found = []
-    for r in usable:
-        own = grouped.where(F.col("subgroup") == r["subgroup"])
-        h = _headline(own, tie_break, rate)
-        found.append((r["subgroup"], h["pr_auc"], h["roc_auc"], h["precision"], h["recall"], h["lift"]))
-    ranked = scored.sparkSession.createDataFrame(
-        found,
-        "subgroup string, pr_auc double, roc_auc double, precision_at_alert_rate double, "
-        "recall_at_alert_rate double, lift_at_alert_rate double",
+    rows = counts.agg(F.sum("transactions")).first()[0] or 0
+    # Areas over clipped scores; alerts by the scores as they are, since clipping can make ties.
+    clipped = grouped.withColumn(SCORE, clip(F.col(SCORE), SCORE_CLIP))
+    areas = metrics.ranking_areas(metrics.score_steps(clipped, SCORE, by=by, rows=rows), by).select(*by, "pr_auc", "roc_auc")
+    at = alerts.at_alert_rate_by(grouped, by, [rate], tie_break, SCORE, rows=rows).select(
+        *by, *[F.col(c).alias(f"{c}_at_alert_rate") for c in ("precision", "recall", "lift")]
     )
     names = scored.sparkSession.createDataFrame([(n,) for n in accounts.SUBGROUPS], "subgroup string")
-    report = (
-        names.join(counts, "subgroup", "left")
-        .fillna(0, ["transactions", "positives"])
-        .join(ranked, "subgroup", "left")
+    found = names.join(counts, "subgroup", "left").fillna(0, ["transactions", "positives"])
+    found = found.join(areas, "subgroup", "left").join(at, "subgroup", "left")
+    report = found.select(
+        "subgroup", "transactions", "positives", "prevalence", *[F.when(F.col("both_classes"), F.col(c)).alias(c) for c in (*areas.columns[1:], *at.columns[1:])]
     )
     if threshold is None:
         return report

@@ -9,6 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.operators.models import Calibrator
+from tidewatch.operators.preprocessing import DictionaryEncoder
 
 # Fixed value: the published version of the model layout.
 MODEL_VERSION = "2.1.0"
@@ -45,12 +46,17 @@ class RiskModel:
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        for stage in self._encoders():
+            stage.dictionary(spark).write.mode("overwrite").parquet(f"{path}/dictionary")
         self.metadata(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
 
+    def _encoders(self) -> list[DictionaryEncoder]:
+        return [s for s in self.pipeline.stages if isinstance(s, DictionaryEncoder)]
+
     @staticmethod
     def load(spark: SparkSession, path: str) -> RiskModel:
         row = spark.read.schema(_SCHEMA).parquet(f"{path}/metadata").first()
-        return RiskModel(
+        model = RiskModel(
             pipeline=PipelineModel.load(f"{path}/pipeline"),
             calibrator=Calibrator(row["slope"], row["intercept"]),
             features=list(row["features"]),
@@ -60,3 +66,7 @@ class RiskModel:
             details=json.loads(row["details"]),
             version=row["model_version"],
         )
+        # The dictionary is wherever the model is now.
+        for stage in model._encoders():
+            stage.set(stage.folder, f"{path}/dictionary")
+        return model
