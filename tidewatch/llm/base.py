@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,7 +63,7 @@ def by_length(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 
 
 def map_texts(
-    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType
 ) -> DataFrame:
     """Run array code over slices of ``df``, whose second column is the text.
 

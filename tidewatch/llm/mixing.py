@@ -105,13 +105,20 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     )
 
 
+def stream_order(keep: tuple[str, ...]) -> list[str]:
+    """The order of a source's stream; columns that tell rows apart take the place of the size."""
+    return ["digest", "doc_id", *(keep or ["size"])]
+
+
 def streams(sizes: DataFrame, sources: DataFrame, rows: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """Documents in their source's shuffled stream: adds ``sid, piece, place, start`` and the source's columns.
 
     ``start`` is the number of words before the document; ``(sid, piece, place)`` tells rows apart.
     """
     per_piece = max(64, math.isqrt(rows) // 2)
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    # A row without an id is shuffled by its place in the stored table.
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(" "), F.col("mix_row").cast("string")))
+    digest = F.md5(name.cast("binary"))
     keyed = (
         sizes.withColumn("digest", digest)
         .join(sources.withColumnRenamed("source", "from"), F.col("source").eqNullSafe(F.col("from")))
@@ -125,7 +132,7 @@ def streams(sizes: DataFrame, sources: DataFrame, rows: int, keep: tuple[str, ..
         "piece",
         (F.sum("words").over(W.partitionBy("sid").orderBy("piece").rowsBetween(W.unboundedPreceding, 0)) - F.col("words")).alias("before"),
     )
-    within = W.partitionBy("sid", "piece").orderBy("digest", "doc_id", "size")
+    within = W.partitionBy("sid", "piece").orderBy(*stream_order(keep))
     return keyed.join(before, ["sid", "piece"]).select(
         "doc_id",
         "source",
@@ -134,31 +141,61 @@ def streams(sizes: DataFrame, sources: DataFrame, rows: int, keep: tuple[str, ..
         "target",
         "sid",
         "piece",
+        "digest",
         *keep,
         F.row_number().over(within).alias("place"),
         (F.sum("size").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("size") + F.col("before")).alias("start"),
     )
 
 
-def mixture(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, keep: tuple[str, ...] = ()):
-    """The mix as segments, one row for each part of a document that a slot takes.
-
-    ``doc_id, source, size, source_size, target, sid, piece, place, slot, offset, words`` and the
-    columns named in ``keep``; ``offset`` and ``words`` say which words of the document the slot takes.
-    A document that no slot takes has one row with null slot and 0 words. A null source is a
-    source of its own (the last), a null size counts as 0, a null id is an id like any other;
-    repeated rows are separate rows of the stream; an empty table gives an empty mix. Columns of
-    ``docs`` other than the id, the source and those in ``keep`` aren't read.
-    """
+def prepared(docs: DataFrame, size: Column, weights: tuple[int, ...], repeats: int, keep: tuple[str, ...]):
+    """The streams, the sources with the blocks their slots take, the schedule, and the words of a block."""
     columns = [F.col("doc_id"), F.col("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), *map(F.col, keep)]
-    sizes = materialize(docs.select(*columns), "mix-sizes")
+    sizes = materialize(docs.select(*columns).withColumn("mix_row", F.monotonically_increasing_id()), "mix-sizes")
     sources = materialize(shares(sizes, weights, repeats), "mix-sources")
     total, rows, n = sources.agg(F.sum("source_size"), F.sum("n_rows"), F.count(F.lit(1))).first()
     total, rows = total or 0, rows or 0
     block = max(1, min(MAX_BLOCK, total // max(1, n * SLOTS_PER_SOURCE)))
     slots = materialize(schedule(sources, total // block), "mix-schedule")
     filled = materialize(slots.groupBy("sid").agg(F.count(F.lit(1)).alias("n_blocks")), "mix-blocks")
-    placed = streams(sizes, sources, rows, keep)
+    return streams(sizes, sources, rows, keep), sources, filled, slots, block
+
+
+def passes(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``source, passes, last``: how often the mix takes a source's whole stream, and the last row of which it takes half or more once again.
+
+    ``last`` holds that row's columns of ``stream_order`` (null if there is none), so whoever has a row knows by itself how often
+    the mix takes it. ``keep`` must tell rows apart. Nulls and empty tables as in ``mixture``; rows without words are never taken.
+    """
+    placed, sources, filled, _, block = prepared(docs, size, weights, repeats, keep)
+    words = F.least(F.coalesce(F.col("n_blocks"), F.lit(0)) * block, F.col("source_size") * repeats)
+    each = sources.join(filled, "sid", "left").select(
+        "sid",
+        "source",
+        words.alias("words"),
+        "source_size",
+    )
+    # A source without words has nothing to pass through.
+    each = each.select(
+        "sid", "source", F.expr("if(source_size = 0, 0, words div greatest(source_size, 1))").alias("passes"), F.expr("words % greatest(source_size, 1)").alias("rest")
+    )
+    order = F.struct(*stream_order(keep))
+    half = placed.join(each.select("sid", "rest"), "sid").where((F.col("size") > 0) & (2 * (F.col("rest") - F.col("start")) >= F.col("size")))
+    lasts = half.groupBy("sid").agg(F.max(order).alias("last"))
+    return materialize(each.join(lasts, "sid", "left").select("source", "passes", "last"), "mix-passes")
+
+
+def mixture(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, keep: tuple[str, ...] = ()):
+    """The mix as segments, one row for each part of a document that a slot takes.
+
+    ``doc_id, source, size, source_size, target, sid, piece, place, slot, offset, words`` and the
+    columns named in ``keep``; ``offset`` and ``words`` say which words of the document the slot takes.
+    A document that no slot takes has one row with null slot and 0 words. A null source is a
+    source of its own (the last), a null size counts as 0, rows without an id are shuffled by their place in the
+    stored table; repeated rows are separate rows of the stream, very long texts are cut into as many parts as it takes; an
+    empty table gives an empty mix. Columns of ``docs`` other than the id, the source and those in ``keep`` aren't read.
+    """
+    placed, _, filled, slots, block = prepared(docs, size, weights, repeats, keep)
     first = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
     parts = (
         placed.join(filled, "sid", "left")
@@ -228,7 +265,7 @@ WITH sized AS (
     SELECT sid, count(*) * any_value(block) AS words FROM points JOIN cuts ON point >= lo AND point < hi GROUP BY sid
 ), placed AS (
     SELECT doc_id, s.source, size, source_size, target, sid,
-           CAST(sum(size) OVER (PARTITION BY sid ORDER BY md5(COALESCE(CAST(doc_id AS VARCHAR), '')), doc_id, size
+           CAST(sum(size) OVER (PARTITION BY sid ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, size
                                 ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start
     FROM sized s JOIN aimed ON s.source IS NOT DISTINCT FROM aimed.source
 )

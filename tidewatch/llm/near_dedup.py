@@ -29,7 +29,7 @@ SHINGLE, PERCENT = 5, 80
 #: A pair of the wanted likeness may fail to meet in any bucket with this probability at most.
 MISS = 1e-7
 MAX_SLOTS = 256
-#: Elements whose permutations a task holds at a time (one longer text is taken whole).
+#: Elements whose permutations a task holds at a time.
 ELEMENTS = 1 << 16
 EMPTY = np.iinfo(np.int64).max
 #: Classes by size of difference are this share of the pivot's size wide.
@@ -43,7 +43,7 @@ def layout(percent: int, miss: float = MISS, most: int = MAX_SLOTS) -> tuple[int
         bands = math.ceil(math.log(miss) / math.log1p(-(likeness**rows)))
         if rows * bands <= most:
             return rows, bands
-    return 1, most
+    raise ValueError(f"{most} slots are too few for a likeness of {percent} percent to be missed with a probability of {miss} at most")
 
 
 def signatures(elements: np.ndarray, bounds: np.ndarray, slots: int) -> np.ndarray:
@@ -52,7 +52,10 @@ def signatures(elements: np.ndarray, bounds: np.ndarray, slots: int) -> np.ndarr
     start = 0
     while start < len(out):
         stop = max(start + 1, int(np.searchsorted(bounds, bounds[start] + ELEMENTS, side="right")) - 1)
-        _fill(elements[bounds[start] : bounds[stop]], np.repeat(np.arange(stop - start), np.diff(bounds[start : stop + 1])), out[start:stop])
+        owner = np.repeat(np.arange(stop - start), np.diff(bounds[start : stop + 1]))
+        # One long text is taken a part at a time; a later part ends as soon as its step can't lower any slot.
+        for at in range(0, len(owner), ELEMENTS):
+            _fill(elements[bounds[start] + at : min(bounds[start] + at + ELEMENTS, bounds[stop])], owner[at : at + ELEMENTS], out[start:stop])
         start = stop
     return out
 
@@ -69,7 +72,8 @@ def _fill(elements: np.ndarray, owner: np.ndarray, values: np.ndarray) -> None:
         slot = order[at]
         order[at] = order[base + step]
         np.minimum.at(flat, owner * slots + slot, (drawn & np.uint64(0xFFFFFFFF)).astype(np.int64) + (step << 32))
-        going = (values == EMPTY).any(axis=1)[owner]
+        # A slot that holds a value of this step or an earlier one can't get a smaller one later.
+        going = (values.max(axis=1) >> 32 > step)[owner]
         if not going.any():
             return
         if not going.all():

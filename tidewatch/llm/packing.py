@@ -74,7 +74,8 @@ def packed(
     lengths = tuple(sorted(set(lengths)))
     longest = lengths[-1]
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
-    total = sized.agg(F.sum("size")).first()[0] or 0
+    # A row counts as one at least, so that rows without size are spread as well.
+    total = sized.agg(F.sum(F.greatest("size", F.lit(1)))).first()[0] or 0
     groups = max(1, total // group_size)
     # Parts of one document are dealt apart, and so are repeated rows, by where they stand in their task.
     parts = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"(size - 1) div {longest}"))))).select(

@@ -13,11 +13,12 @@ import base64
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidewatch.llm.arrays import Words
 from tidewatch.llm.base import map_texts, query, table
 from tidewatch.llm.token_counts import PRE_TOKEN, vocabulary_path
+from tidewatch.plans.grouped import grouped_quantiles
 from tidewatch.session import materialize
 
 BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -32,6 +33,8 @@ ENTROPY_TOKENS = 50
 #: A band ends so many quartile distances outside the quartiles (Tukey's outer fences, "far out"), and at least this
 #: share of the median away from it, so that a group of near copies, which has no spread, doesn't reject all else.
 FENCES, LEAST = 3.0, 0.05
+#: Sums are taken over whole numbers of this fraction.
+GRAIN = 1 << 20
 #: Words a task keeps the measures of.
 CACHE = 400_000
 
@@ -150,6 +153,9 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 def measures(docs: DataFrame, byte_path: str, piece_path: str, group: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """Base counts and token measures of every whole text, with ``doc_id``, ``group`` and the columns in ``keep``."""
 
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), group.cast("string").alias("group"), *[c for c in keep if c != "text"])
+    kept = [f for f in rows.schema if f.name != "text" or "text" in keep]
+
     def make():
         fertility = Fertility(byte_path, piece_path)
 
@@ -157,14 +163,13 @@ def measures(docs: DataFrame, byte_path: str, piece_path: str, group: Column, ke
             words = Words(batch.column(1), lower=False)
             hashes = words.hashes()
             found = base_counts(words, hashes) | fertility.measure(words, hashes)
-            columns = [batch.column(0), *batch.columns[2:], *(pa.array(found[c].astype(np.int64)) for c in COUNTS), pa.array(found["entropy"])]
-            return pa.RecordBatch.from_arrays(columns, [batch.schema.names[0], *batch.schema.names[2:], *COUNTS, "entropy"])
+            columns = [*(batch.column(f.name) for f in kept), *(pa.array(found[c].astype(np.int64)) for c in COUNTS), pa.array(found["entropy"])]
+            return pa.RecordBatch.from_arrays(columns, [*(f.name for f in kept), *COUNTS, "entropy"])
 
         return each
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), group.cast("string").alias("group"), *keep)
-    kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name != "text")
-    return map_texts(rows, make, kept + "".join(f"{c} long, " for c in COUNTS) + "entropy double")
+    counts = [T.StructField(c, T.LongType()) for c in COUNTS]
+    return map_texts(rows, make, T.StructType([*kept, *counts, T.StructField("entropy", T.DoubleType())]))
 
 
 def base_failed(column=F.col) -> Column:
@@ -193,18 +198,21 @@ def bands(measured: DataFrame, fences: float = FENCES, least: float = LEAST) ->
     quarter = [0.25, 0.5, 0.75]
     names = list(fertility_columns())
     texts = materialize(measured.where(~base_failed()).select("group", *COUNTS, "entropy").distinct(), "fertility-texts")
-    lines = texts.groupBy("group").agg(
-        F.avg("entropy").alias("mean"), F.avg(shortness()).alias("short"), F.regr_slope("entropy", shortness()).alias("slope")
-    )
-    # One length only gives no slope.
-    slope = F.coalesce(F.when(~F.isnan("slope"), F.col("slope")), F.lit(0.0))
-    lines = materialize(lines.select(F.col("group").alias("of"), (F.col("mean") - slope * F.col("short")).alias("level"), slope.alias("slope"), "mean"), "fertility-lines")
-    found = (
-        texts.join(lines, F.col("group").eqNullSafe(F.col("of")))
-        .withColumns(fertility_columns())
-        .groupBy("group", "level", "slope", "mean")
-        .agg(*(F.percentile_approx(n, quarter, 1000).alias(n) for n in names))
-    )
+    # Sums of whole numbers: the line is the same in whatever order rows arrive.
+    whole = texts.select("group", F.round(shortness() * GRAIN).cast("decimal(20,0)").alias("x"), F.round(F.col("entropy") * GRAIN).cast("decimal(20,0)").alias("y"))
+    total = lambda c: F.sum(c.cast("decimal(22,0)")).cast("decimal(34,0)")
+    x, y = F.col("x").cast("decimal(11,0)"), F.col("y").cast("decimal(11,0)")
+    sums = whole.groupBy("group").agg(F.count(F.lit(1)).alias("n"), total(x).alias("sx"), total(y).alias("sy"), total(x * x).alias("sxx"), total(x * y).alias("sxy"))
+    n, sx, sy = (F.col(c).cast("double") for c in ("n", "sx", "sy"))
+    # Deviations from the means, so that one length only gives a spread of 0 and no slope.
+    across = F.col("sxy").cast("double") - sx * sy / n
+    along = F.col("sxx").cast("double") - sx * sx / n
+    slope = F.when(along > F.col("sxx").cast("double") * 1e-9, across / along).otherwise(F.lit(0.0))
+    lines = sums.select(F.col("group").alias("of"), ((sy - slope * sx) / n / GRAIN).alias("level"), slope.alias("slope"), (sy / n / GRAIN).alias("mean"))
+    lines = materialize(lines, "fertility-lines")
+    placed = materialize(texts.join(lines, F.col("group").eqNullSafe(F.col("of"))).withColumns(fertility_columns()).select("group", *names), "fertility-placed")
+    found = grouped_quantiles(placed, ["group"], {m: quarter for m in names})
+    found = found.join(lines, F.col("group").eqNullSafe(F.col("of"))).drop("of")
     out = [F.col("group"), F.col("level"), F.col("slope")]
     for n in names:
         q = [F.get(F.col(n), i) for i in range(3)]
@@ -216,16 +224,22 @@ def bands(measured: DataFrame, fences: float = FENCES, least: float = LEAST) ->
 
 
 def quality_rules(
-    docs: DataFrame, byte_path: str, piece_path: str, group: Column | None = None, fences: float = FENCES, least: float = LEAST
+    docs: DataFrame,
+    byte_path: str,
+    piece_path: str,
+    group: Column | None = None,
+    fences: float = FENCES,
+    least: float = LEAST,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """``doc_id``, the base counts, the token measures, ``base_failed`` and ``kept`` of every row.
 
     ``group`` is the language by default (a null one is a group of its own). A null or empty text
     has counts of 0 and fails the base rules; a group in which every text fails them has no bands,
-    and needs none. Repeated rows each give a row; an empty table gives none. Columns other than the
-    id, the text and the group aren't read.
+    and needs none. Whole texts are measured however long they are. Repeated rows each give a row; an empty table gives
+    none. Columns other than the id, the text, the group and those in ``keep``, which are handed on, aren't read.
     """
-    measured = materialize(measures(docs, byte_path, piece_path, F.col("lang") if group is None else group), "fertility")
+    measured = materialize(measures(docs, byte_path, piece_path, F.col("lang") if group is None else group, keep), "fertility")
     limits = materialize(bands(measured, fences, least), "fertility-bands").withColumnRenamed("group", "of")
     inside = F.lit(True)
     for n in fertility_columns():
@@ -238,7 +252,7 @@ def quality_rules(
         .join(limits, F.col("group").eqNullSafe(F.col("of")), "left")
         .withColumns(fertility_columns())
         .withColumn("kept", ~F.col("base_failed") & inside)
-        .select("doc_id", *COUNTS[:5], "base_failed", "kept", "group", "n_tokens", *fertility_columns())
+        .select("doc_id", *COUNTS[:5], "base_failed", "kept", "group", "n_tokens", *fertility_columns(), *keep)
     )
 
 

@@ -10,13 +10,17 @@ wherever no single record is larger than that.
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from tidewatch.llm.base import query, table
 from tidewatch.session import materialize
 
 SHARDS = 16
-#: Ranges for each shard, and sampled keys for each range: the sample's size doesn't depend on the input.
+#: Ranges for each shard at least, and sampled keys for each range. All ranges together are a quarter of the square root of
+#: the number of records or more, so the records of a range grow with the root only.
 RANGES = 64
 SAMPLED = 8
 SPREAD = 1 << 62
@@ -58,7 +62,7 @@ def range_of(key: Column, cuts: list[int]) -> Column:
     """Number of cuts at or below the key, by bisection."""
     if not cuts:
         return F.lit(0)
-    held = F.array(*map(F.lit, cuts))
+    held = F.from_json(F.lit(json.dumps(cuts)), "array<bigint>")
     steps = [1 << b for b in reversed(range(len(cuts).bit_length()))]
     return F.aggregate(
         F.array(*map(F.lit, steps)),
@@ -70,7 +74,7 @@ def range_of(key: Column, cuts: list[int]) -> Column:
 def shards(
     docs: DataFrame,
     n_shards: int = SHARDS,
-    ranges: int = RANGES,
+    ranges: int | None = None,
     sampled: int = SAMPLED,
     text: Column | None = None,
 ) -> DataFrame:
@@ -93,15 +97,16 @@ def shards(
         ),
         "shard-records",
     )
-    total = records.agg(F.sum("size")).first()[0] or 0
-    parts = n_shards * ranges
+    total, rows = records.agg(F.sum("size"), F.count(F.lit(1))).first()
+    total = total or 0
+    parts = n_shards * max(RANGES, math.isqrt(rows) // (4 * n_shards)) if ranges is None else n_shards * ranges
     cuts = splitters(records, total, parts, sampled)
     placed = records.withColumn("range", range_of(F.col("key"), cuts))
     # Overfull ranges are divided, by key where they have several keys and by row where they have one.
     held = placed.groupBy("range").agg(F.sum("size").alias("held"), F.min("key").alias("low"), F.max("key").alias("high"))
     fair = max(1.0, total / parts)
     held = held.withColumn("pieces", F.when(F.col("held") > 2 * fair, F.ceil(F.col("held") / fair)).otherwise(1))
-    # At most a row for each range, a number that doesn't depend on the input, so a hot range's records needn't be brought together.
+    # At most a row for each range, 80,000 for 1e11 records, so a hot range's records needn't be brought together.
     held = F.broadcast(materialize(held, "shard-ranges"))
     by_key = (F.col("key").cast("double") - F.col("low").cast("double")) / (
         F.col("high").cast("double") - F.col("low").cast("double")
@@ -112,7 +117,7 @@ def shards(
     )
     totals = divided.groupBy("range", "piece").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     totals = materialize(totals, "shard-pieces")
-    in_order = W.orderBy("range", "piece").rowsBetween(W.unboundedPreceding, 0)  # some thousand rows at any size
+    in_order = W.orderBy("range", "piece").rowsBetween(W.unboundedPreceding, 0)  # a few rows for each range
     middle = F.sum("bytes").over(in_order) - F.col("bytes") / 2
     dealt = totals.withColumn("shard", F.least(F.floor(middle * n_shards / float(max(total, 1))), F.lit(n_shards - 1)).cast("int"))
     before = F.sum("rows").over(W.partitionBy("shard").orderBy("range", "piece").rowsBetween(W.unboundedPreceding, 0)) - F.col("rows")

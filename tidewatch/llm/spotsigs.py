@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tidewatch.llm.arrays import Words, mix
 from tidewatch.llm.base import map_texts, query, slices, table
-from tidewatch.llm.sharding import range_of
+from tidewatch.plans.ordering import cut_points, with_piece
 from tidewatch.session import materialize
 
 ANCHORS = {
@@ -28,9 +29,12 @@ ANCHORS = {
 }
 CHAIN = 3
 SPACING = 1
+#: Likeness of near duplicates.
+LIKENESS = 0.8
+#: More than what rounding a logarithm can move a size.
+EDGE = 1e-9
 #: Rows a neighbouring range of documents holds about.
 RANGE_ROWS = 256
-MAX_RANGES = 4096
 
 
 class Spots:
@@ -92,32 +96,41 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
 def with_neighbours(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Documents in ranges of ascending id; the first of each range stands once more at the end of the range before.
 
-    ``doc_id, text, range, guest``, each partition sorted by range, guests last, then id and text (null
-    first). The first document of all is the guest of the last range.
+    ``doc_id, text, range, guest``, each partition sorted by range, guests last, then id (null first), the text's hash and
+    the text. The first document of all is the guest of the last range. A range holds about the square root of the number of
+    rows, and ``range_rows`` at least, so ranges and their sizes grow alike; an id with more rows than two ranges hold
+    is a range of its own, divided along the hashes.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = rows.select("doc_id").count()
-    wanted = min(MAX_RANGES, max(1, n // range_rows))
-    shares = [i / wanted for i in range(1, wanted)]
-    found = rows.agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0] if shares else None
-    cuts = sorted(set(found or []))
-    placed = rows.withColumn("range", F.coalesce(range_of(F.col("doc_id"), cuts), F.lit(0)).cast("int"))
-    # The smallest id of each range (at most MAX_RANGES rows); a null id is below any other.
-    low = -(1 << 63)
-    key = F.coalesce("doc_id", F.lit(low))
-    heads = sorted((r[0], r[1]) for r in placed.groupBy("range").agg(F.min(key)).collect())
-    before = [heads[i - 1][0] for i in range(len(heads))]
-    if not heads:
-        return placed.withColumn("guest", F.lit(False))
-    head = F.element_at(F.map_from_arrays(F.array(*(F.lit(r) for r, _ in heads)), F.array(*(F.lit(k) for _, k in heads))), F.col("range"))
-    host = F.element_at(F.map_from_arrays(F.array(*(F.lit(r) for r, _ in heads)), F.array(*map(F.lit, before))), F.col("range"))
-    own = F.struct(F.col("range"), F.lit(False).alias("guest"))
-    guest = F.struct(host.alias("range"), F.lit(True).alias("guest"))
-    dealt = placed.withColumn("place", F.explode(F.when(key == head, F.array(own, guest)).otherwise(F.array(own))))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    n = rows.count()
+    size = max(range_rows, math.isqrt(n))
+    held = F.col("held")
+    often = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("held")).where(held > 2 * size)
+    # At most half the square root of the number of rows.
+    often = {r["doc_id"]: r["held"] // size + 1 for r in often.collect()}
+    cuts = {float(c) for c in cut_points(rows, "doc_id", max(1, n // size))}
+    cuts |= {float(i + k) for i in often if i is not None for k in (0, 1)}
+    parts = rows.sparkSession.createDataFrame(list(often.items()), "often long, parts long")
+    unit = F.shiftrightunsigned(F.col("hash").bitwiseXOR(F.lit(-(1 << 63))), 11).cast("double") / float(1 << 53)
+    part = F.coalesce(F.least(F.floor(unit * F.col("parts")), F.col("parts") - 1), F.lit(0)).cast("long")
+    piece = F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("piece")).cast("long")
+    placed = with_piece(rows, "doc_id", sorted(cuts), "piece").join(parts, F.col("doc_id").eqNullSafe(F.col("often")), "left")
+    placed = placed.select("doc_id", "text", "hash", (F.shiftleft(piece, 32) + part).alias("range"))
+    first = F.struct(F.col("doc_id").isNotNull().alias("named"), F.col("doc_id").alias("id"), F.col("hash").alias("first_hash"))
+    heads = materialize(placed.groupBy("range").agg(F.min(first).alias("head")), "spot-heads")
+    along = W.orderBy("range")
+    last = F.lit((heads.agg(F.max("range")).first() or [None])[0]).cast("long")
+    hosts = materialize(heads.select(F.col("range").alias("at"), "head.id", "head.first_hash", F.coalesce(F.lag("range").over(along), last).alias("host")), "spot-hosts")
+    at_head = (F.col("range") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("id")) & F.col("hash").eqNullSafe(F.col("first_hash"))
+    guests = placed.join(hosts, at_head).groupBy("host", "doc_id", "hash").agg(F.min("text").alias("text"))
+    guests = guests.select("doc_id", "text", "hash", F.col("host").alias("range"), F.lit(True).alias("guest"))
     return (
-        dealt.select("doc_id", "text", "place.range", "place.guest")
-        .repartition(max(len(heads), 1), "range")
-        .sortWithinPartitions("range", "guest", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+        placed.withColumn("guest", F.lit(False))
+        .unionByName(guests)
+        .repartition("range")
+        .sortWithinPartitions("range", "guest", F.col("doc_id").asc_nulls_first(), "hash", F.col("text").asc_nulls_first())
+        .select("doc_id", "text", "range", "guest")
     )
 
 
@@ -125,9 +138,9 @@ def edited_fingerprints(docs: DataFrame, chain: int = CHAIN, spacing: int = SPAC
     """Fingerprints of every whole text and of its edited text, and their likenesses.
 
     The edited text of a row is its text with the last half (rounded down) of the code points replaced by as
-    many first ones of the next row's text, or all there are; next is by ascending id, then text, after the
+    many first ones of the next row's text, or all there are; next is by ascending id, then by the text's hash, after the
     last row the first. A null text counts as empty, a null id is below any other; of rows equal in
-    id and text each is the next of the one before. A single row is its own next. An empty table
+    id and text each is the next of the one before. Whole texts are taken however long they are. A single row is its own next. An empty table
     gives no rows. Other columns aren't read.
     """
 
@@ -192,40 +205,48 @@ def similar(prints: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     Rows with equal fingerprints are one class, named by its smallest id; pairs are between classes, the
     smaller name first, and complete. Sizes are cut into parts so that a pair within
     reach lies in one part or in two neighbouring ones; within them a pair is met only if it shares
-    one of the rarest signatures of both. Empty fingerprints are a class without pairs.
+    one of the rarest signatures of both. ``least`` is taken as the fraction it is written as, and all thresholds are
+    compared as whole numbers, so a pair exactly at it is found. Empty fingerprints are a class without pairs.
     """
+    share = Fraction(str(least)).limit_denominator(1_000_000)
+    if not 0 < share <= 1:
+        raise ValueError(f"a likeness of {least} is outside (0, 1]")
+    top, bottom = share.numerator, share.denominator
     prints = materialize(prints, "spots")
     members = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
     classes = materialize(prints.join(members, "fingerprint").select("doc_id", "class_id"), "spot-classes")
-    sets = materialize(members.where(F.size("fingerprint") > 0).withColumn("n", F.size("fingerprint")), "spot-sets")
+    sets = materialize(members.where(F.size("fingerprint") > 0).withColumn("n", F.size("fingerprint").cast("long")), "spot-sets")
     each = sets.select("class_id", "n", F.explode("fingerprint").alias("signature"))
     rare = each.join(each.groupBy("signature").agg(F.count(F.lit(1)).alias("held")), "signature").where("held > 1 or n = 1")
     rank = F.row_number().over(W.partitionBy("class_id").orderBy("held", "signature"))
     # Signatures no other class has stand before these in the order, so each row's rank is short of their number.
     alone = rare.groupBy("class_id").agg(F.count(F.lit(1)).alias("shared"))
+    kept = F.expr(f"n - (n * {top} + {bottom - 1}) div {bottom} + 1")
+    size = F.log(F.col("n").cast("double")) / -math.log(share) if share < 1 else F.col("n").cast("double")
     prefix = (
         rare.withColumn("rank", rank)
         .join(alone, "class_id")
-        .where(F.col("rank") + F.col("n") - F.col("shared") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-        .withColumn("part", F.floor(F.log(F.col("n").cast("double")) / -math.log(least)).cast("int") if least < 1 else F.col("n"))
-        .select("class_id", "n", "signature", "part")
-    )
-    other = prefix.select(
-        F.col("class_id").alias("other"), F.col("n").alias("m"), "signature", F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1)).alias("part")
+        .where(F.col("rank") + F.col("n") - F.col("shared") <= kept)
+        .withColumn("size", size)
+        .withColumn("part", F.floor("size"))
+        .select("class_id", "n", "signature", "size", "part")
     )
+    # A part to either side, and one more where rounding may have moved a size across an edge.
+    reach = F.sequence(F.floor(F.col("size") - 1 - EDGE), F.floor(F.col("size") + 1 + EDGE))
+    other = prefix.select(F.col("class_id").alias("other"), F.col("n").alias("m"), "signature", F.explode(reach).alias("part"))
     pairs = (
         prefix.join(other, ["part", "signature"])
-        .where((F.col("class_id") < F.col("other")) & (F.least("n", "m") >= F.greatest("n", "m") * least))
+        .where((F.col("class_id") < F.col("other")) & (F.least("n", "m") * bottom >= F.greatest("n", "m") * top))
         .select("class_id", "other")
         .distinct()
     )
     one, two = sets.select("class_id", F.col("fingerprint").alias("a")), sets.select(F.col("class_id").alias("other"), F.col("fingerprint").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
+    both, union = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b") - F.size(F.array_intersect("a", "b"))
     found = (
         pairs.join(one, "class_id")
         .join(two, "other")
-        .select("class_id", "other", (both / (F.size("a") + F.size("b") - both)).alias("likeness"))
-        .where(F.col("likeness") >= least)
+        .where(both.cast("long") * bottom >= union.cast("long") * top)
+        .select("class_id", "other", (both / union).alias("likeness"))
     )
     return classes, found
 
@@ -233,3 +254,13 @@ def similar(prints: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
 @query("op5_spotsigs")
 def fingerprint_query(spark: SparkSession, folder: str) -> DataFrame:
     return edited_fingerprints(table(spark, folder, "documents"))
+
+
+@query("op5_spotsigs_similar")
+def similar_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Near duplicates by SpotSigs: each document's class, and how many other classes have a likeness of 0.8 or more with it."""
+    classes, pairs = similar(fingerprints(table(spark, folder, "documents")), LIKENESS)
+    pairs = materialize(pairs, "spot-pairs")
+    ends = pairs.select("class_id").unionByName(pairs.select(F.col("other").alias("class_id")))
+    links = ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+    return classes.join(links, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidewatch.llm.arrays import BYTE, Words, mix, powers
 from tidewatch.llm.base import map_texts, query, table
@@ -219,11 +219,12 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, folds: int = FO
     return Chain(strength, entries, weights)
 
 
-def classify(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id``, a probability for each category and the verdict ``rejected`` of every row.
+def classify(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, a probability for each category and the verdict ``rejected`` of every row, and the columns in ``keep``.
 
     Null and empty texts hold no evidence and are kept; null ids stay null; repeated rows each
-    give a row; an empty table gives none. Other columns aren't read.
+    give a row, and equal texts equal verdicts; whole texts are read however long they are; an empty table gives no rows. Other
+    columns aren't read.
     """
     held = docs.sparkSession.sparkContext.broadcast(chain)  # its size is fixed by BUCKETS and ENTRIES
 
@@ -236,13 +237,15 @@ def classify(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> Dat
             found = model.predict(x) if model.weights else np.zeros((batch.num_rows, len(CATEGORIES)))
             columns = [pa.array(found[:, k]) for k in range(len(CATEGORIES))]
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), *columns, pa.array((found[:, -1] >= threshold) & (x[:, 4] > 0))], ["doc_id", *CATEGORIES, "rejected"]
+                [batch.column(0), *columns, pa.array((found[:, -1] >= threshold) & (x[:, 4] > 0)), *map(batch.column, keep)],
+                ["doc_id", *CATEGORIES, "rejected", *keep],
             )
 
         return each
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_texts(rows, make, "doc_id long, " + "".join(f"{c} double, " for c in CATEGORIES) + "rejected boolean")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c for c in keep if c != "text"])
+    own = [T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in CATEGORIES), T.StructField("rejected", T.BooleanType())]
+    return map_texts(rows, make, T.StructType([*own, *(rows.schema[c] for c in keep)]))
 
 
 @query("op8_toxicity")
