@@ -1,5 +1,6 @@
 """Alert selection, metrics and curves on hand-made scores."""
 
+import math
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import columns as C
 from tidewatch.operators import alerts, metrics
 from tidewatch.operators.scoring import with_percentile
+from tidewatch.plans.grouped import grouped_quantiles
 
 SCHEMA = "id int, score double, Is_laundering int, Laundering_type string"
 
@@ -126,6 +128,79 @@ def test_curves_start_and_end_where_they_should(spark):
     assert pr == {(0.5, 1.0), (1.0, 0.666667), (1.0, 0.5), (0.0, 1.0)}
 
 
+@pytest.mark.parametrize("rows_per_piece", [None, 40])
+def test_roc_corners_are_where_the_second_difference_is(spark, rows_per_piece):
+    """Kept points against the counts' second differences, over few distinct scores and many, in one piece and in several."""
+    pick = np.random.default_rng(5)
+    for digits in (1, 2, 6):
+        pairs = [(round(float(p), digits), int(q < p / 3)) for p, q in pick.uniform(size=(400, 2))]
+        values = sorted({p for p, _ in pairs}, reverse=True)
+        n = [sum(p == v for p, _ in pairs) for v in values]
+        pos = [sum(y for p, y in pairs if p == v) for v in values]
+        tps, fps = np.cumsum(pos), np.cumsum(n) - np.cumsum(pos)
+        bent = np.r_[True, (np.diff(fps, 2) != 0) | (np.diff(tps, 2) != 0), True]
+        want = {(v, fps[i] / fps[-1], tps[i] / tps[-1]) for i, v in enumerate(values) if bent[i]} | {(float("inf"), 0.0, 0.0)}
+        steps = metrics.score_steps(scored(spark, pairs))
+        got = sorted(tuple(r) for r in metrics.roc_points(steps, rows_per_piece=rows_per_piece).collect())
+        assert got == [pytest.approx(p) for p in sorted(want)]
+        assert metrics.roc_points(steps, corners=False).count() == len(values) + 1
+
+
+@pytest.mark.parametrize("rows_per_piece", [None, 30])
+def test_alert_rates_of_all_groups_at_once(spark, rows_per_piece):
+    """Groups of all sizes with repeated, null and NaN scores and ties on every column, against sorting each group."""
+    pick = random.Random(9)
+    data = []
+    for group, size in (("a", 300), ("b", 1), (None, 90), ("c", 40)):
+        for k in range(size):
+            score = pick.choice([None, float("nan"), 0.1, 0.5, 0.5, round(pick.random(), 2)])
+            data.append((group, score, pick.choice([None, k % 7, k % 7]), int(pick.random() < 0.3), len(data)))
+    df = spark.createDataFrame(data, "g string, score double, tie int, Is_laundering int, __row long")
+    rates = (0.01, 0.2, 0.7, 1.0)
+    got = alerts.at_alert_rate_by(df, ["g"], rates, ["tie"], rows_per_piece=rows_per_piece).collect()
+    assert len(got) == 4 * len(rates)
+    missing = lambda x: x is None or x != x
+    for r in got:
+        mine = [d for d in data if d[0] == r["g"]]
+        mine.sort(key=lambda d: (missing(d[1]), 0 if missing(d[1]) else -d[1], d[2] is None, d[2] or 0, d[4]))
+        k = max(1, math.ceil(len(mine) * r["alert_rate"]))
+        tp, positives = sum(d[3] for d in mine[:k]), sum(d[3] for d in mine)
+        assert r["alerts"] == k
+        assert r["precision"] == pytest.approx(tp / k)
+        assert r["recall"] == pytest.approx(tp / positives if positives else 0)
+        last = mine[k - 1][1]
+        assert r["threshold"] == (None if missing(last) else last)
+
+
+@pytest.mark.parametrize("rows_per_piece", [None, 25])
+def test_quantiles_of_all_groups(spark, rows_per_piece):
+    pick = random.Random(2)
+    data = [(pick.choice(["x", "y", None]), pick.choice([None, float("nan"), pick.gauss(0, 1), 0.5]), pick.randrange(4)) for _ in range(500)]
+    data.append(("empty", None, None))
+    df = spark.createDataFrame(data, "g string, v double, w int")
+    shares = [0.0, 0.1, 0.5, 0.75, 1.0]
+    got = {r["g"]: r for r in grouped_quantiles(df, ["g"], {"v": shares, "w": [0.5]}, rows_per_piece).collect()}
+    assert set(got) == {"x", "y", None, "empty"} and got["empty"]["v"] is None
+    for g in ("x", "y", None):
+        held = [v for a, v, _ in data if a == g and v is not None and v == v]
+        assert got[g]["v"] == pytest.approx(list(np.quantile(held, shares)))
+        assert got[g]["w"] == pytest.approx([np.median([w for a, _, w in data if a == g])])
+
+
+def test_evaluation_and_subgroups_take_few_jobs(spark, small):
+    """Neither grows with the number of rates or groups."""
+    from tidewatch.catalog import QUERIES
+
+    for name in ("evaluation_bundle", "unseen_subgroups"):
+        spark.sparkContext.setJobGroup(name, name)
+        found = QUERIES[name](spark, small)
+        found.collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        print(name, jobs)
+        assert jobs < (25 if name == "evaluation_bundle" else 45)
+
+
 def test_reliability_drops_empty_bins(spark):
     pairs = [(0.1, 0)] * 50 + [(0.9, 1)] * 50
     found = {r["bin"]: r for r in metrics.reliability(scored(spark, pairs)).collect()}

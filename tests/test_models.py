@@ -3,11 +3,12 @@
 import datetime as dt
 import random
 from dataclasses import replace
-from itertools import permutations
 
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -55,8 +56,9 @@ def test_imputation_and_pooling(spark):
     rows = [(1.0, "a")] * 30 + [(3.0, "b")] * 25 + [(None, "rare")] * 3 + [(float("nan"), None)] * 2
     train = spark.createDataFrame(rows, "Amount double, Payment_type string")
     features = ["Amount", "Payment_type"]
-    stats = preprocessing.category_statistics(train, ["Payment_type"])["Payment_type"]
-    assert (stats.mode, stats.frequent, stats.rare) == ("a", ["a", "b"], ["rare"])
+    dictionary, codes = preprocessing.fit_dictionary(train, ["Payment_type"])
+    assert codes["Payment_type"] == preprocessing.ColumnCodes("a", 2, 1)
+    assert {(r["category"], r["n"], r["kept"], r["slot"]) for r in dictionary.collect()} == {("a", 32, True, 0), ("b", 25, True, 1), ("rare", 3, False, 2)}
     fitted = preprocessing.fit_preprocessor(train, features)
     probes = spark.createDataFrame(
         [(None, "a"), (9.0, "b"), (9.0, "rare"), (9.0, "never seen"), (float("nan"), None)], train.schema
@@ -64,24 +66,32 @@ def test_imputation_and_pooling(spark):
     encoded = fitted.transform(probes)
     found = [list(r[0]) for r in encoded.select(vector_to_array("features")).collect()]
     assert found == [[1, 1, 0, 0], [9, 0, 1, 0], [9, 0, 0, 1], [9, 0, 0, 0], [1, 1, 0, 0]]
-    assert len(preprocessing.encoded_names(encoded)) == 4
+    names = {r["slot"]: r["feature"] for r in preprocessing.slot_names(spark, fitted).collect()}
+    assert names == {0: "Amount", 1: "Payment_type=a", 2: "Payment_type=b", 3: "Payment_type=__pooled"}
 
 
 def test_mode_takes_the_smallest_on_ties(spark):
     train = spark.createDataFrame([("b",), ("a",), ("a",), ("b",), ("c'\\",)], "Payment_type string")
-    stats = preprocessing.category_statistics(train, ["Payment_type"], PreprocessingConfig(1))["Payment_type"]
-    assert stats.mode == "a"
+    _, codes = preprocessing.fit_dictionary(train, ["Payment_type"], PreprocessingConfig(1))
+    assert codes["Payment_type"] == preprocessing.ColumnCodes("a", 3, 0)
     fitted = preprocessing.fit_preprocessor(train, ["Payment_type"], PreprocessingConfig(2))
     assert fitted.transform(train).count() == 5
 
 
-def test_many_categories_have_no_cap(spark):
-    many = spark.range(20_000).selectExpr("concat('c', id) AS Payment_type")
-    train = many.unionByName(spark.createDataFrame([("a",)] * 30 + [(None,)] * 5, "Payment_type string"))
-    stats = preprocessing.category_statistics(train, ["Payment_type"])["Payment_type"]
-    assert (stats.mode, stats.frequent, len(stats.rare)) == ("a", ["a"], 20_000)
+def test_a_million_categories(spark):
+    """Numbered in pieces along the names; the driver gets a few numbers for each column."""
+    many = spark.range(1_000_000).selectExpr("concat('c', id) AS Payment_type")
+    train = many.unionByName(many.where("Payment_type < 'c2'")).unionByName(spark.createDataFrame([("a",)] * 30 + [(None,)] * 5, "Payment_type string"))
+    dictionary, codes = preprocessing.fit_dictionary(train, ["Payment_type"], PreprocessingConfig(2), rows_per_piece=20_000)
+    twice = sorted(f"c{i}" for i in range(1_000_000) if f"c{i}" < "c2")
+    assert codes["Payment_type"] == preprocessing.ColumnCodes("a", len(twice) + 1, 1_000_000 - len(twice))
+    probes = dictionary.where(F.col("category").isin("a", twice[0], twice[777], twice[-1], "c5"))
+    assert {r["category"]: r["slot"] for r in probes.collect()} == {
+        "a": 0, twice[0]: 1, twice[777]: 778, twice[-1]: len(twice), "c5": len(twice) + 1
+    }
+    assert dictionary.where("kept").agg(F.count_distinct("slot")).first()[0] == len(twice) + 1
     fitted = preprocessing.fit_preprocessor(train, ["Payment_type"])
-    probes = spark.createDataFrame([("a",), ("c19999",), ("never",)], "Payment_type string")
+    probes = spark.createDataFrame([("a",), ("c999999",), ("never",)], "Payment_type string")
     found = [list(r[0]) for r in fitted.transform(probes).select(vector_to_array("features")).collect()]
     assert found == [[1, 0], [0, 1], [0, 0]]
 
@@ -160,38 +170,61 @@ def test_stream_scores_what_the_batch_scores(spark, table, trained, tmp_path):
 
 def test_contributions_add_up_to_the_margin(spark, table, trained):
     model, _ = trained
-    stages = model.pipeline.stages
-    encoded = PipelineModel(stages[:-1]).transform(table)
-    explainer = attribution.TreeExplainer.of(spark, model.pipeline)
+    encoded = PipelineModel(model.pipeline.stages[:-1]).transform(table)
+    explainer = attribution.PathExplainer.of(spark, model.pipeline, encoded)
     attributed = explainer.attribute(encoded, ["id"])
-    sums = {r["id"]: sum(r["contributions"]) + explainer.base for r in attributed.collect()}
-    for r in model.pipeline.transform(table).select("id", vector_to_array("rawPrediction")[1].alias("m")).collect():
+    sums = {r["id"]: r["s"] + explainer.base for r in attributed.groupBy("id").agg(F.sum("contribution").alias("s")).collect()}
+    margins = model.pipeline.transform(table).select("id", (2 * vector_to_array("rawPrediction")[1]).alias("m")).collect()
+    for r in margins:
         # Spark's raw prediction is half the log-odds margin of its own probability.
-        assert sums[r["id"]] == pytest.approx(2 * r["m"], abs=1e-9)
-    names = preprocessing.encoded_names(encoded)
-    summary = attribution.attribution_summary(attributed, names).collect()
-    assert summary[0]["feature"] in ("num_Amount", "num_log_amount")
-    one = attribution.explain_rows(attributed.where("id = 5"), names, ["id"]).collect()
-    assert sum(r["shap_value"] for r in one) + explainer.base == pytest.approx(sums[5])
-    top = attribution.model_importances(spark, model.pipeline, names).collect()
+        assert sums[r["id"]] == pytest.approx(r["m"], abs=1e-9)
+    # The weights of the leaves are those of the rows, so the base is the mean margin.
+    assert explainer.base == pytest.approx(np.mean([r["m"] for r in margins]), abs=1e-9)
+    summary = attribution.attribution_summary(attributed, explainer.names, table.count()).collect()
+    assert summary[0]["feature"] in ("Amount", "log_amount")
+    assert len(summary) == explainer.names.count()
+    one = attribution.explain_rows(attributed.where("id = 5"), ["id"]).orderBy("place").collect()
+    assert sum(r["contribution"] for r in one) + explainer.base == pytest.approx(sums[5])
+    assert [r["abs_contribution"] for r in one] == sorted((r["abs_contribution"] for r in one), reverse=True)
+    top = attribution.model_importances(spark, model.pipeline).collect()
     assert len(top) == 15 and top[0]["importance"] == max(r["importance"] for r in top)
+    whole = attribution.model_importances(spark, model.pipeline, top=None)
+    assert whole.agg(F.sum("importance")).first()[0] == pytest.approx(1)
 
 
-def test_leaf_tables_are_shapley_values():
-    value, shares = 3.0, [0.2, 0.7, 0.5]
-    table = attribution._shapley(value, shares)
-    for pattern in range(8):
-        follows = [(pattern >> j) & 1 for j in range(3)]
-
-        def worth(present, follows=follows):
-            return value * np.prod([follows[i] if i in present else shares[i] for i in range(3)])
-
-        for j in range(3):
-            gains = []
-            for order in permutations(range(3)):
-                before = set(order[: order.index(j)])
-                gains.append(worth(before | {j}) - worth(before))
-            assert table[pattern, j] == pytest.approx(np.mean(gains))
+def test_path_changes_by_walking_the_trees(spark):
+    """Two features, each row's way down written out by hand."""
+    rows = [(float(a), float(b), int(a > 2) * 2 + int(b > 1) + int(a > 2 and b > 1)) for a in range(5) for b in range(4)]
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(
+        spark.createDataFrame([(a, b, int(y > 1)) for a, b, y in rows], "a double, b double, label int")
+    )
+    model = GBTClassifier(maxIter=3, maxDepth=3, minInstancesPerNode=1, seed=1).fit(df)
+    paths = attribution.leaf_paths(spark, model).collect()
+    for number, tree in enumerate(model.trees):
+        mine = [r for r in paths if r["tree"] == number]
+        assert len({r["leaf"] for r in mine}) == (tree.numNodes + 1) // 2
+        assert max(r["depth"] for r in mine) == tree.depth
+    names = spark.createDataFrame([(0, "a"), (1, "b")], "slot long, feature string")
+    model.setLeafCol("__leaves")
+    leaves = {tuple(r["features"].toArray()): r["__leaves"].toArray().astype(int) for r in model.transform(df).collect()}
+    values = {(r["tree"], r["leaf"]): r["value"] for r in paths}
+    under = {}
+    for x, found in leaves.items():
+        for t, leaf in enumerate(found):
+            for r in paths:
+                if (r["tree"], r["leaf"]) == (t, leaf):
+                    under.setdefault((t, r["node"]), []).append(values[t, leaf])
+    mean = {k: np.mean(v) for k, v in under.items()}
+    want = {}
+    for x, found in leaves.items():
+        for t, leaf in enumerate(found):
+            way = sorted((r for r in paths if (r["tree"], r["leaf"]) == (t, leaf)), key=lambda r: r["depth"])
+            for here, there in zip(way, way[1:]):
+                want[x, here["feature"]] = want.get((x, here["feature"]), 0) + mean[t, there["node"]] - mean[t, here["node"]]
+    pipeline = PipelineModel([model])
+    weighed = attribution.PathExplainer.of(spark, pipeline, df, names)
+    got = {((r["a"], r["b"]), "ab".index(r["feature"])): r["contribution"] for r in weighed.attribute(df, ["a", "b"]).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
 
 
 def test_studies_return_the_published_columns(spark, table, trained):

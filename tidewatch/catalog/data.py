@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidewatch import schema as S
 from tidewatch.catalog.base import KEY_SQL, KEYS, TXN_SQL, query, rounded
@@ -344,6 +344,96 @@ def quality_issues(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("check", "column", "severity", rounded("value", 9))
 
 
+def _spoilt_features(spark: SparkSession, folder: str, target: Column) -> DataFrame:
+    """A table with every model input, the target and the time, with every kind of fault that isn't an absent column."""
+    line, amount = F.col("l_linenumber"), F.col(S.AMOUNT)
+    values: dict = {c: F.lit(0.0) for c in S.NUMERIC_FEATURES}
+    values |= {
+        S.AMOUNT: F.when(line != 2, amount),
+        "log_amount": F.when(line == 4, F.lit(float("inf"))).otherwise(F.log1p(amount)),
+        "hour_sin": F.when(line == 5, F.lit(1000.0)).otherwise(amount / 1e6),
+        "sender_amount_std_30d": F.when(line == 3, F.lit(float("nan"))).otherwise(amount),
+    }
+    txn = fixture.transactions(spark, folder)
+    kept = txn.withColumn("y", target.cast("int")).select("l_orderkey", S.TIMESTAMP, F.col("y").alias(S.TARGET), *S.CATEGORICAL_FEATURES, *[v.alias(c) for c, v in values.items()])
+    return materialize(kept, "spoilt-features")
+
+
+def _fault_sql(target: str) -> str:
+    share = "ROUND(AVG(CAST({0} AS INTEGER)), 9)"
+
+    def outliers(column: str, value: str) -> str:
+        return f"""UNION ALL SELECT 'extreme_outliers', '{column}', 'warning', {share.format(f"{value} > hi")}
+            FROM spoilt, (SELECT quantile_cont({value}, 0.75) + 10 * (quantile_cont({value}, 0.75) - quantile_cont({value}, 0.25)) AS hi FROM spoilt)
+            HAVING AVG(CAST({value} > hi AS INTEGER)) > 0.05 """
+
+    return f"""{TXN_SQL}, spoilt AS (
+        SELECT *, {target} AS t, CASE WHEN l_linenumber = 4 THEN 'inf'::DOUBLE ELSE ln(1 + amount) END AS la,
+               CASE WHEN l_linenumber = 5 THEN 1000.0 ELSE amount / 1e6 END AS hs FROM txn
+    ), steps AS (
+        SELECT l_orderkey, MIN(ts) AS earliest, MAX(ts) AS latest FROM txn GROUP BY l_orderkey
+    ), seen AS (
+        SELECT *, MAX(latest) OVER (ORDER BY l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS so_far FROM steps
+    )
+    SELECT 'null_fraction' AS "check", 'Amount' AS "column", 'issue' AS severity, {share.format('l_linenumber = 2')} AS value FROM spoilt
+        HAVING AVG(CAST(l_linenumber = 2 AS INTEGER)) > 0.05
+    UNION ALL SELECT 'null_fraction', 'sender_amount_std_30d', 'issue', {share.format('l_linenumber = 3')} FROM spoilt
+        HAVING AVG(CAST(l_linenumber = 3 AS INTEGER)) > 0.05
+    UNION ALL SELECT 'infinite_values', 'log_amount', 'issue', CAST(COUNT(*) FILTER (isinf(la)) AS DOUBLE) FROM spoilt HAVING COUNT(*) FILTER (isinf(la)) > 0
+    UNION ALL SELECT 'not_chronological', 'timestamp', 'issue', CAST(COUNT(*) FILTER (earliest < so_far OR earliest < latest) AS DOUBLE) FROM seen
+        HAVING COUNT(*) FILTER (earliest < so_far OR earliest < latest) > 0
+    UNION ALL SELECT 'fewer_than_two_classes', 'Is_laundering', 'issue', ROUND(AVG(t), 9) FROM spoilt HAVING MIN(t) = MAX(t)
+    UNION ALL SELECT 'extreme_prevalence', 'Is_laundering', 'warning', ROUND(AVG(t), 9) FROM spoilt HAVING AVG(t) < 0.0001 OR AVG(t) > 0.9999
+    {outliers('log_amount', 'la')} {outliers('hour_sin', 'hs')}"""
+
+
+@query("feature_table_issues", _fault_sql("CAST(l_orderkey % 30000 = 7 AS INTEGER)"))
+def feature_table_issues(spark: SparkSession, folder: str) -> DataFrame:
+    """Every kind of issue and warning that rows can cause; the rare target brings a warning where the table is large enough."""
+    found = quality.find_issues(_spoilt_features(spark, folder, F.col("l_orderkey") % 30000 == 7), sequence="l_orderkey")
+    return found.select("check", "column", "severity", rounded("value", 9))
+
+
+@query("feature_table_issues_one_class", _fault_sql("1"))
+def feature_table_issues_one_class(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with a target of one class: an issue, and a prevalence to warn of."""
+    found = quality.find_issues(_spoilt_features(spark, folder, F.lit(1)), sequence="l_orderkey")
+    return found.select("check", "column", "severity", rounded("value", 9))
+
+
+@query("missing_raw_columns", "SELECT c AS missing, COUNT(*) AS rows FROM lineitem, (VALUES ('Amount'), ('Payment_type')) names(c) GROUP BY c")
+def missing_raw_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw files without two of their columns: the columns the refusal names, and the rows that weren't read."""
+    txn = fixture.transactions(spark, folder)
+    path = f"{shared_folder(spark)}/short-csv-{uuid4().hex}"
+    left = [c for c in S.RAW_COLUMNS if c not in ("Amount", "Payment_type", "Date", "Time")]
+    txn.select(*left, F.date_format(S.TIMESTAMP, "yyyy-MM-dd").alias("Date"), F.lit("00:00:00").alias("Time")).write.option("header", True).csv(path)
+    rows = spark.read.option("header", True).csv(path).count()
+    try:
+        source.read_transactions(spark, path)
+        names = []
+    except ValueError as refusal:
+        names = [c for c in S.RAW_COLUMNS if c in str(refusal).rpartition(" named ")[2].split(", ")]
+    return spark.createDataFrame([(c, rows) for c in names], "missing string, rows long")
+
+
+@query(
+    "feature_file_order",
+    f"{TXN_SQL} SELECT COUNT(*) AS rows, CAST(0 AS BIGINT) AS out_of_order, COUNT(DISTINCT strftime(ts, '%Y-%m')) AS months FROM txn",
+)
+def feature_file_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the stored feature table, those that come before an earlier one in their file, and its months."""
+    path = f"{shared_folder(spark)}/features-{uuid4().hex}"
+    source.write_features(add_row_features(fixture.transactions(spark, folder)), path)
+    rows = source.read_features(spark, path).select(
+        S.TIMESTAMP, "event_month", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")
+    )
+    before = F.lag(S.TIMESTAMP).over(Window.partitionBy("file").orderBy("place"))
+    return rows.withColumn("before", before).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col(S.TIMESTAMP) < F.col("before")).alias("out_of_order"), F.count_distinct("event_month").alias("months")
+    )
+
+
 # --- drift -----------------------------------------------------------------
 
 

@@ -72,7 +72,7 @@ def chronological_split(spark: SparkSession, folder: str) -> DataFrame:
     return splits.chronological_split(_txn(spark, folder), KEYS).select(*KEYS, "split")
 
 
-_WINDOWS_SQL = f"""{TXN_SQL}, moments AS (
+WINDOWS_SQL = f"""{TXN_SQL}, moments AS (
     SELECT ts, ROW_NUMBER() OVER (ORDER BY ts) - 1 AS i, COUNT(*) OVER () AS n
     FROM (SELECT DISTINCT ts FROM txn)
 ), starts AS (
@@ -86,7 +86,7 @@ _WINDOWS_SQL = f"""{TXN_SQL}, moments AS (
 
 @query(
     "window_boundaries",
-    f"{_WINDOWS_SQL} SELECT CAST(number AS BIGINT) AS number, train_end, calibration_end, test_end FROM windows",
+    f"{WINDOWS_SQL} SELECT CAST(number AS BIGINT) AS number, train_end, calibration_end, test_end FROM windows",
 )
 def window_boundaries(spark: SparkSession, folder: str) -> DataFrame:
     bounds = splits.window_boundaries(_txn(spark, folder))
@@ -103,7 +103,7 @@ def window_boundaries(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "window_frames",
-    f"""{_WINDOWS_SQL}
+    f"""{WINDOWS_SQL}
     SELECT CAST(number AS BIGINT) AS number,
            COUNT(*) FILTER (ts < train_end) AS train_rows,
            COUNT(*) FILTER (ts >= train_end AND ts < calibration_end) AS calibration_rows,
@@ -346,6 +346,41 @@ def typology_report(spark: SparkSession, folder: str) -> DataFrame:
     return reports.read_report(spark, "typology", place, f"{place}/published")
 
 
+@query(
+    "report_sources",
+    f"""{WINDOWS_SQL}, counted AS (
+        SELECT concat('W', number) AS name, COUNT(*) FILTER (ts < train_end) AS a FROM txn, windows GROUP BY number
+    ), typed AS (SELECT payment_type, COUNT(*) AS n, CAST(SUM(y) AS BIGINT) AS p FROM txn GROUP BY payment_type)
+    SELECT 'walk_forward' AS kind, 'published' AS place, name, CAST(a AS DOUBLE) AS value FROM counted
+    UNION ALL SELECT 'typology', 'fresh', payment_type, CAST(n + p AS DOUBLE) FROM typed""",
+)
+def report_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """All three kinds of result files: one in the fresh folder and in the published one, one in the latter alone, one in neither."""
+    txn = _txn(spark, folder)
+    place = f"{shared_folder(spark)}/reports-{uuid4().hex}"
+    typed = txn.groupBy(F.col("Payment_type").alias("typology")).agg(
+        F.count(F.lit(1)).alias("transactions"), F.sum(F.col(S.TARGET).cast("long")).alias("positives"), F.lit(0.5).alias("recall_at_0.5%")
+    )
+    reports.write_csv(typed, f"{place}/fresh/typology_results")
+    reports.write_csv(typed.withColumn("positives", F.lit(-1)), f"{place}/published/typology_results")
+    zero = [F.lit(0.0).alias(c) for c in ("recall_at_0.5%", "precision_at_0.5%", "lift_at_0.5%")]
+    counted = studies_plan(txn).select("window", F.col("train_rows").cast("double").alias("pr_auc"), *zero)
+    reports.write_csv(counted, f"{place}/published/walk_forward_results")
+    found = {kind: reports.read_report(spark, kind, f"{place}/fresh", f"{place}/published") for kind in reports.REPORT_SCHEMAS}
+    named = [
+        found["walk_forward"].select(F.lit("walk_forward").alias("kind"), F.lit("published").alias("place"), F.col("window").alias("name"), F.col("pr_auc").alias("value")),
+        found["typology"].select(F.lit("typology"), F.lit("fresh"), "typology", (F.col("transactions") + F.col("positives")).cast("double")),
+        found["ablation"].select(F.lit("ablation"), F.lit("nowhere"), "model", "pr_auc"),
+    ]
+    return named[0].union(named[1]).union(named[2])
+
+
+def studies_plan(txn: DataFrame) -> DataFrame:
+    from tidewatch.plans.studies import backtest_plan
+
+    return backtest_plan(txn)
+
+
 @query(
     "split_report",
     f"""{CUTS_SQL} SELECT split, COUNT(*) AS rows, CAST(SUM(y) AS BIGINT) AS positives,

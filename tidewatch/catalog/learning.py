@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tidewatch import schema as S
 from tidewatch.catalog.base import KEY_SQL, KEYS, TXN_SQL, query, rounded
 from tidewatch.catalog.data import BROKEN_SQL, contract_rows
-from tidewatch.catalog.evaluation import CUTS_SQL as _CUTS_SQL
+from tidewatch.catalog.evaluation import CUTS_SQL as _CUTS_SQL, WINDOWS_SQL
 from tidewatch.config import PreprocessingConfig, training_config
-from tidewatch.operators import attribution, models, preprocessing, splits
+from tidewatch.operators import attribution, drift, models, preprocessing, splits
 from tidewatch.operators.scoring import score, score_requests
 from tidewatch.plans import fixture, studies
 from tidewatch.plans.features import build_features
@@ -438,3 +438,87 @@ def unseen_entity_study(spark: SparkSession, folder: str) -> DataFrame:
         KEYS,
         threshold=model.decision_threshold,
     )
+
+
+_Y = "CAST(COALESCE(SUM(y) FILTER ({0}), 0) AS BIGINT)"
+
+
+def _part_sql(name: str, inside: str, alerts: bool = False) -> str:
+    out = f"COUNT(*) FILTER ({inside}) AS {name}_rows, {_Y.format(inside)} AS {name}_positives"
+    return out + f", CAST(GREATEST(1, ceil(COUNT(*) FILTER ({inside}) * 0.005::DOUBLE)) AS BIGINT) AS alerts" if alerts else out
+
+
+@query(
+    "backtest_plan",
+    f"""{WINDOWS_SQL}, held AS (
+        SELECT concat('W', number) AS window, {_part_sql('train', 'ts < train_end')},
+               {_part_sql('calibration', 'ts >= train_end AND ts < calibration_end')},
+               {_part_sql('test', 'ts >= calibration_end AND (test_end IS NULL OR ts < test_end)', True)}
+        FROM txn, windows GROUP BY number
+    )
+    SELECT *, train_positives BETWEEN 1 AND train_rows - 1 AND calibration_positives BETWEEN 1 AND calibration_rows - 1
+              AND test_positives BETWEEN 1 AND test_rows - 1 AS usable FROM held""",
+)
+def backtest_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, positives and alerts of the windows the backtest fits."""
+    return studies.backtest_plan(fixture.transactions(spark, folder))
+
+
+_ABLATION_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS model, {sum(f in S.NUMERIC_FEATURES for f in fs)} AS numbers, {sum(f in S.CATEGORICAL_FEATURES for f in fs)} AS categories, * FROM held"
+    for name, fs in S.ABLATION_FEATURE_SETS.items()
+)
+
+
+@query(
+    "ablation_plan",
+    f"""{_CUTS_SQL}, held AS (
+        SELECT {_part_sql('train', "split = 'train'")}, {_part_sql('calibration', "split = 'calibration'")},
+               {_part_sql('test', "split = 'test'", True)} FROM split
+    ) {_ABLATION_SQL}""",
+)
+def ablation_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """Feature sets, rows, positives and alerts of the models the ablation fits."""
+    return studies.ablation_plan(fixture.transactions(spark, folder))
+
+
+@query(
+    "trained_model_spans",
+    f"""{_CUTS_SQL}, held AS (SELECT split, MIN(ts) AS first, MAX(ts) AS last, ROUND(AVG(y), 9) AS prevalence FROM split GROUP BY split)
+    SELECT '2.1.0' AS model_version, {len(S.MODEL_FEATURES)} AS features, 0.005::DOUBLE AS alert_rate, 1001 AS quantiles,
+           strftime(tr.first, '%Y-%m-%dT%H:%M:%S') AS training_start, strftime(tr.last, '%Y-%m-%dT%H:%M:%S') AS training_end,
+           strftime(te.first, '%Y-%m-%dT%H:%M:%S') AS test_start, strftime(te.last, '%Y-%m-%dT%H:%M:%S') AS test_end,
+           tr.prevalence AS training_prevalence, va.prevalence AS validation_prevalence, te.prevalence AS test_prevalence
+    FROM held tr, held va, held te WHERE tr.split = 'train' AND va.split = 'validation' AND te.split = 'test'""",
+)
+def trained_model_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """What the saved model says of itself and its data."""
+    model, _ = trained(spark, folder)
+    details = F.from_json("details", "map<string,string>")
+    text = [details[c].alias(c) for c in ("training_start", "training_end", "test_start", "test_end")]
+    shares = [F.round(details[c].cast("double"), 9).alias(c) for c in ("training_prevalence", "validation_prevalence", "test_prevalence")]
+    return model.metadata(spark).select("model_version", F.size("features").alias("features"), "alert_rate", F.size("quantiles").alias("quantiles"), *text, *shares)
+
+
+@query(
+    "stream_batch_figures",
+    f"""WITH checked AS ({BROKEN_SQL})
+    SELECT COUNT(*) AS rows, COUNT(*) FILTER (broken <> '') AS aside, COUNT(*) FILTER (broken = '') AS scored, TRUE AS same_statistics FROM checked""",
+)
+def stream_batch_figures(spark: SparkSession, folder: str) -> DataFrame:
+    """Figures of a stream's batches, observed while they are scored and merged, against those of the batch run."""
+    model, _ = trained(spark, folder)
+    place = f"{shared_folder(spark)}/observed-{uuid4().hex}"
+    contract_rows(spark, folder).repartition(4).write.parquet(f"{place}/in")
+    source = spark.read.parquet(f"{place}/in")
+    rows = streams.feature_stream(spark, f"{place}/in", source.schema, files_per_trigger=1)
+    started = streams.start_scoring(streams.observed(rows, model, KEYS), f"{place}/out", f"{place}/checkpoint")
+    started.awaitTermination()
+    batches = streams.batch_figures(started)
+    merged = drift.merged_statistics(batches.withColumn("feature", F.lit("risk_probability")))
+    scored = score_requests(source, model, KEYS)[0]
+    whole = drift.baseline_statistics(scored, ["risk_probability"])
+    near = lambda c: F.abs(F.col(f"m.{c}") - F.col(f"w.{c}")) < 1e-9
+    same = merged.alias("m").join(whole.alias("w"), "feature").select((near("mean") & near("std") & near("min") & near("max")).alias("same_statistics"))
+    totals = batches.agg(F.sum("rows").alias("rows"), F.sum("aside").alias("aside"), F.sum("n").alias("scored")).first()
+    return same.select(*[F.lit(totals[c]).alias(c) for c in ("rows", "aside", "scored")], "same_statistics")

@@ -20,12 +20,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from tidewatch import schema as S
 from tidewatch.functions.columns import finite_or_zero, micros
-from tidewatch.plans.ordering import cut_points, lookup, pieces_for, running_before
-from tidewatch.session import materialize
+from tidewatch.plans.ordering import cut_points, lookup, pieces_for, running_before, with_piece
+from tidewatch.session import materialize, stored
 
 DAY_24H = 86_400_000_000
 DAYS_30 = 30 * DAY_24H
@@ -34,22 +34,25 @@ MAX_HEAVY_KEYS = 100_000
 #: Digits an amount may have in units: squares of that many, summed over a billion rows, are exact.
 AMOUNT_DIGITS = 14
 
-_US, _X, _TIE, _ROW = "__us", "__x", "__tie", "__row"
+_US, _X, _TIE, _ROW, _PIECE = "__us", "__x", "__tie", "__row", "__piece"
+#: An instant before all others, far enough from the end of the range for a frame to end before it.
+_OPENING = -(1 << 62)
 _UNITS = f"decimal({AMOUNT_DIGITS},0)"
 _TOTAL, _SQUARES = "decimal(30,0)", "decimal(37,0)"
 
 
 @dataclass(frozen=True)
 class Side:
-    """Whose history is taken, in which currency, against which counterparty."""
+    """Whose history is taken, in which currency, against which counterparty, and whether its concentration is wanted."""
 
     account: str
     currency: str
     other: str
+    concentrated: bool
 
 
-PAYER = Side(S.SENDER, S.PAID_IN, S.RECEIVER)
-PAYEE = Side(S.RECEIVER, S.RECEIVED_IN, S.SENDER)
+PAYER = Side(S.SENDER, S.PAID_IN, S.RECEIVER, True)
+PAYEE = Side(S.RECEIVER, S.RECEIVED_IN, S.SENDER, False)
 
 # Internal outputs of one side.
 _OUT = [
@@ -85,8 +88,9 @@ def add_history(
     ``amount_scale`` is the number of decimals of the amounts, negative for multiples of
     a power of ten; if it isn't given, one pass over the amounts finds it.
     """
-    amount_scale = unit_scale(df) if amount_scale is None else amount_scale
-    heavy = heavy_accounts(df, [S.SENDER, S.RECEIVER], rows_per_key)
+    df = stored(df, "history-input")
+    found, heavy = _measured(df, [S.SENDER, S.RECEIVER], rows_per_key, amount_scale is None)
+    amount_scale = found if amount_scale is None else amount_scale
     df = add_sender_history(df, tie_break, heavy, rows_per_piece, amount_scale, full_hhi)
     df = add_receiver_history(df, heavy, rows_per_piece, amount_scale)
     return clean_history(df)
@@ -97,19 +101,20 @@ def unit_scale(df: DataFrame) -> int:
 
     Fails if the largest amount then has more digits than exact squares allow.
     """
-    written = F.abs(_finite_amount()).cast("decimal(38,18)")
+    return _scale_of(df.agg(*_amount_extent()).first())
+
+
+def _amount_extent() -> list[Column]:
+    """Largest amount, most decimals, and whether the decimals hold all amounts, as aggregates."""
+    amount = _finite_amount()
+    amount = F.when(F.abs(amount).between(0.0, 1e19) & (amount != 0), F.abs(amount))
+    written = amount.cast("decimal(38,18)")
     digits = F.translate(written.cast("string"), ".", "")
     decimals = 18 - (F.length(digits) - F.length(F.rtrim(digits, F.lit("0"))))
-    found = (
-        df.select(_finite_amount().alias(S.AMOUNT))
-        .where(F.abs(S.AMOUNT).between(0.0, 1e19) & (F.col(S.AMOUNT) != 0))
-        .agg(
-            F.max(F.abs(S.AMOUNT)).alias("largest"),
-            F.max(decimals).alias("decimals"),
-            F.bool_and(written.cast("double") == F.abs(S.AMOUNT)).alias("exact"),
-        )
-        .first()
-    )
+    return [F.max(amount).alias("largest"), F.max(decimals).alias("decimals"), F.bool_and(written.cast("double") == amount).alias("exact")]
+
+
+def _scale_of(found: Row) -> int:
     if found["largest"] is None:
         return 0
     scale = found["decimals"]
@@ -155,9 +160,8 @@ def add_sender_history(
 
     ``heavy`` is what ``heavy_accounts`` found, if the caller has it.
     """
-    amount_scale = unit_scale(df) if amount_scale is None else amount_scale
-    heavy = heavy_accounts(df, [S.SENDER]) if heavy is None else heavy
-    seen = _side_history(df, PAYER, tie_break, heavy.get(S.SENDER), rows_per_piece, amount_scale)
+    df, heavy, amount_scale = _prepared(df, S.SENDER, heavy, amount_scale)
+    seen = _side_history(df, PAYER, tie_break, heavy.get(S.SENDER), rows_per_piece, amount_scale, full_hhi)
     mean, deviation = moments(F.col("h_count_30d"), F.col("h_sum_30d"), F.col("h_squares_30d"), amount_scale)
     gap = F.unix_seconds(F.timestamp_micros(_US)) - F.unix_seconds(F.timestamp_micros("h_previous"))
     seen = seen.withColumns(
@@ -191,8 +195,7 @@ def add_receiver_history(
     rows_per_piece: int | None = None,
     amount_scale: int | None = None,
 ) -> DataFrame:
-    amount_scale = unit_scale(df) if amount_scale is None else amount_scale
-    heavy = heavy_accounts(df, [S.RECEIVER]) if heavy is None else heavy
+    df, heavy, amount_scale = _prepared(df, S.RECEIVER, heavy, amount_scale)
     seen = _side_history(df, PAYEE, [], heavy.get(S.RECEIVER), rows_per_piece, amount_scale)
     return seen.withColumns(
         {
@@ -204,6 +207,17 @@ def add_receiver_history(
     ).drop(_US, _X, _TIE, _ROW, *_OUT)
 
 
+def _prepared(
+    df: DataFrame, account: str, heavy: dict[str, DataFrame] | None, amount_scale: int | None
+) -> tuple[DataFrame, dict[str, DataFrame], int]:
+    """The input, stored if anything has to be found out about it first, with its heavy accounts and its unit."""
+    if heavy is not None and amount_scale is not None:
+        return df, heavy, amount_scale
+    df = stored(df, "history-input")
+    scale, found = _measured(df, [account], ROWS_PER_KEY, amount_scale is None)
+    return df, found if heavy is None else heavy, scale if amount_scale is None else amount_scale
+
+
 def moments(n: Column, total: Column, squares: Column, scale: int) -> tuple[Column, Column]:
     """Mean and sample deviation from exact sums of units; equal amounts give exactly 0.
 
@@ -229,23 +243,34 @@ def heavy_accounts(
     table so that at most MAX_HEAVY_KEYS accounts of a column can exceed it;
     that bound is what allows broadcasting them. Columns without any are absent.
     """
+    return _measured(df, accounts, rows_per_key, False)[1]
+
+
+def _measured(
+    df: DataFrame, accounts: Sequence[str], rows_per_key: int, amounts: bool
+) -> tuple[int | None, dict[str, DataFrame]]:
+    """The unit of the amounts, if wanted, and the heavy accounts, from one pass over the rows."""
     cells = [F.struct(F.lit(c).alias("which"), F.col(c).cast("string").alias("account")) for c in accounts]
+    extent = _amount_extent() if amounts else []
     counts = (
-        df.select(F.explode(F.array(*cells)).alias("cell"))
+        df.select(F.explode(F.array(*cells)).alias("cell"), *([S.AMOUNT] if amounts else []))
         .groupBy("cell.which", "cell.account")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), *extent)
     )
-    tops = counts.groupBy("which").agg(F.max("n").alias("largest"), F.sum("n").alias("rows")).collect()
+    counts = materialize(counts, "account-counts")
+    merged = [F.max("largest").alias("largest"), F.max("decimals").alias("decimals"), F.bool_and("exact").alias("exact")] if amounts else []
+    tops = counts.groupBy("which").agg(F.max("n").alias("most"), F.sum("n").alias("rows"), *merged).collect()
+    scale = _scale_of(tops[0]) if amounts and tops else 0 if amounts else None
     found = {}
     for top in tops:
         limit = max(rows_per_key, top["rows"] // MAX_HEAVY_KEYS)
-        if top["largest"] > limit:
+        if top["most"] > limit:
             keys = counts.where((F.col("which") == top["which"]) & (F.col("n") > limit))
             rows = [(r["account"],) for r in keys.select("account").collect()]
             column = top["which"]
             table = df.sparkSession.createDataFrame(rows, f"`{column}` string")
             found[column] = table.select(F.col(column).cast(df.schema[column].dataType).alias(column))
-    return found
+    return scale, found
 
 
 def _side_history(
@@ -255,6 +280,7 @@ def _side_history(
     heavy: DataFrame | None,
     rows_per_piece: int | None,
     scale: int,
+    full_hhi: bool = False,
 ) -> DataFrame:
     keyed = df.withColumns({_US: micros(F.col(S.TIMESTAMP)), _X: in_units(scale)})
     if heavy is None:
@@ -265,7 +291,7 @@ def _side_history(
     ordinary = lookup(keyed, F.broadcast(heavy), [side.account], "left_anti")
     crowded = lookup(keyed, F.broadcast(heavy), [side.account], "left_semi")
     cuts = cut_points(crowded, _US, pieces_for(crowded.count(), rows_per_piece))
-    return _by_account(ordinary, side, tie_break).unionByName(_by_instant(crowded, side, tie_break, cuts))
+    return _by_account(ordinary, side, tie_break).unionByName(_by_instant(crowded, side, tie_break, cuts, full_hhi))
 
 
 def pair_history(
@@ -392,12 +418,13 @@ def _concentration(known: Column, total: Column, squares: Column) -> Column:
     return F.when(known, F.coalesce(share, F.lit(0.0))).otherwise(0.0)
 
 
-def _by_instant(df: DataFrame, side: Side, tie_break: Sequence[str], cuts: list[float]) -> DataFrame:
+def _by_instant(df: DataFrame, side: Side, tie_break: Sequence[str], cuts: list[float], full_hhi: bool = False) -> DataFrame:
     """The same history for heavy accounts, over instants instead of rows.
 
-    No step groups by the account alone: totals are per (account, time piece)
-    and every lookup key contains the instant, where AQE can split a skewed
-    join side because the history side has one row per key.
+    Instants are cut into pieces of time. What earlier pieces hold of a counterparty, an account or a currency enters a piece as an
+    opening row before all others, and what leaves a moving frame as a row of its own, so each (account, piece) is
+    one sorted stretch in which every running total is a growing window, and all of them share one shuffle. No step groups by
+    the account alone.
     """
     account, currency, other = side.account, side.currency, side.other
     tie = F.struct(*tie_break, _ROW)
@@ -405,101 +432,112 @@ def _by_instant(df: DataFrame, side: Side, tie_break: Sequence[str], cuts: list[
     flows = df.groupBy(account, currency, other, _US).agg(
         F.count(F.lit(1)).alias("n"),
         F.count(_X).alias("n_x"),
-        F.sum(x).alias("x"),
-        F.sum(x * x).alias("xx"),
+        F.sum(x).cast(_TOTAL).alias("x"),
+        F.sum(x * x).cast(_SQUARES).alias("xx"),
         F.min(tie).alias(_TIE),
     )
-    flows = materialize(flows, "history-flows")
-
-    flow = running_before(flows, [account, currency, other], _US, {"prior": "x"}, cuts=cuts)
-
-    pairs = flows.groupBy(account, other, _US).agg(F.sum("n").alias("n"), F.min(_TIE).alias(_TIE))
-    pair = running_before(pairs, [account, other], _US, {"h_pair_count": "n"}, cuts=cuts)
-
-    fresh = (F.col("h_pair_count") == 0) & F.col(other).isNotNull()
-    lives = pair.groupBy(account, _US).agg(
-        F.sum("n").alias("n"), F.sum(fresh.cast("long")).alias("fresh"), F.min(_TIE).alias(_TIE)
+    flows = with_piece(materialize(flows, "history-flows"), _US, cuts, _PIECE)
+    earlier = lambda *keys: Window.partitionBy(*keys).orderBy(_PIECE).rowsBetween(Window.unboundedPreceding, -1)
+
+    pairs = flows.groupBy(account, other, _PIECE).agg(F.sum("n").alias("n"), F.max(_US).alias("last"))
+    pairs = pairs.withColumn("before", F.sum("n").over(earlier(account, other)))
+    pairs = materialize(pairs, "history-pairs")
+    new = F.sum((F.col("before").isNull() & F.col(other).isNotNull()).cast("long")).alias("new")
+    lives = pairs.groupBy(account, _PIECE).agg(F.sum("n").alias("n"), new, F.max("last").alias("last"))
+    moves = _arrivals_and_departures(
+        flows.groupBy(account, currency, _US).agg(
+            F.sum("n").alias("n"), F.sum("n_x").alias("n_x"), F.sum("x").cast(_TOTAL).alias("x"), F.sum("xx").cast(_SQUARES).alias("xx")
+        )
     )
-    life = running_before(
-        lives,
-        [account],
-        _US,
-        {"h_lifetime": "n", "h_degree": "fresh"},
-        latest={"h_previous": _US},
-        cuts=cuts,
+    moves = with_piece(moves, _US, cuts, _PIECE)
+    purses = moves.groupBy(account, currency, _PIECE).agg(*[F.sum(c).cast(t).alias(c) for c, t in _MOVES.items()])
+
+    def opening(totals: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:
+        """What earlier pieces of the keys hold, as rows before all others of a piece."""
+        return totals.select(*keys, _PIECE, F.lit(_OPENING).alias(_US), *[c.alias(n) for n, c in values.items()])
+
+    since = earlier(account)
+    openings = [
+        opening(pairs.where("before is not null"), [account, other], {"n_pair": F.col("before")}),
+        opening(
+            lives,
+            [account],
+            {"n_life": F.sum("n").over(since), "new": F.sum("new").over(since), "last": F.max("last").over(since)},
+        ),
+        opening(purses, [account, currency], {c: F.sum(c).over(earlier(account, currency)).cast(t) for c, t in _MOVES.items()}),
+        moves,
+    ]
+    if side.concentrated:
+        paid = flows.groupBy(account, currency, other, _PIECE).agg(F.sum("x").cast(_TOTAL).alias("x"))
+        openings.append(opening(paid, [account, currency, other], {"x_flow": F.sum("x").over(earlier(account, currency, other)).cast(_TOTAL)}))
+    stretch = flows.select(
+        account, currency, other, _US, _PIECE, _TIE, F.lit(True).alias("row"), F.col("n").alias("n_pair"), F.col("n").alias("n_life"), F.col(_US).alias("last"), F.col("x").alias("x_flow")
     )
-
-    held = F.col("prior").cast("double")
-    now = F.col("x").cast("double")
-    moments_at = flow.groupBy(account, currency, _US).agg(
-        F.sum("n").alias("n"),
-        F.sum("n_x").alias("n_x"),
-        F.sum("x").cast(_TOTAL).alias("x"),
-        F.sum("xx").cast(_SQUARES).alias("xx"),
-        F.sum(held).alias("m1"),
-        F.sum(held * held).alias("m2"),
-        F.sum(now).alias("s1"),
-        F.sum(2 * held * now + now * now).alias("s2"),
+    for rows in openings:
+        stretch = stretch.unionByName(rows, allowMissingColumns=True)
+
+    stretch = stretch.repartition(F.col(account), F.col(_PIECE))
+    grown = lambda *keys: Window.partitionBy(*keys, _PIECE).orderBy(_US).rangeBetween(Window.unboundedPreceding, -1)
+    total = lambda c, window, dtype="long": F.coalesce(F.sum(c).over(window), F.lit(0)).cast(dtype)
+    here = F.col("row").isNotNull()
+    life, purse = grown(account), grown(account, currency)
+    once = F.row_number().over(Window.partitionBy(account, other, _PIECE, _US, "row").orderBy(currency)) == 1
+    stretch = stretch.withColumn("h_pair_count", total("n_pair", grown(account, other))).withColumn(
+        "fresh", F.when(here, (once & (F.col("h_pair_count") == 0) & F.col(other).isNotNull()).cast("long")).otherwise(F.col("new"))
     )
-    purse = running_before(
-        _arrivals_and_departures(moments_at, account, currency),
-        [account, currency],
-        _US,
+    stretch = stretch.withColumns(
         {
-            "h_count_24h": "n_24h",
-            "h_sum_24h": "x_24h",
-            "h_count_30d": "n_30d",
-            "h_sum_30d": "x_30d",
-            "h_squares_30d": "xx_30d",
-            "__s1": "s1",
-            "__s2": "s2",
-        },
-        cuts=cuts,
-    ).where(F.col("arrived") > 0)
-    known = F.col(account).isNotNull() & F.col(currency).isNotNull()
-    purse = purse.select(
-        account,
-        currency,
-        _US,
-        "h_count_24h",
-        F.col("h_sum_24h").cast(_TOTAL).alias("h_sum_24h"),
-        "h_count_30d",
-        F.col("h_sum_30d").cast(_TOTAL).alias("h_sum_30d"),
-        F.col("h_squares_30d").cast(_SQUARES).alias("h_squares_30d"),
-        _concentration(known, F.col("m1"), F.col("m2")).alias("h_hhi"),
-        _concentration(known, F.col("__s1"), F.col("__s2")).alias("h_hhi_full"),
+            "h_lifetime": total("n_life", life),
+            "h_degree": total("fresh", life),
+            "h_previous": F.max("last").over(life),
+            _TIE: F.min(_TIE).over(Window.partitionBy(account, _PIECE, _US)),
+            "h_count_24h": total("n_24h", purse),
+            "h_sum_24h": total("x_24h", purse, _TOTAL),
+            "h_count_30d": total("n_30d", purse),
+            "h_sum_30d": total("x_30d", purse, _TOTAL),
+            "h_squares_30d": total("xx_30d", purse, _SQUARES),
+        }
     )
-
-    history = flow.select(account, currency, other, _US)
-    history = lookup(history, pair.drop("n", _TIE), [account, other, _US])
-    history = lookup(history, life.drop("n", "fresh"), [account, _US])
-    history = lookup(history, purse, [account, currency, _US])
-    rows = lookup(df, history, [account, currency, other, _US])
+    known = F.col(account).isNotNull() & F.col(currency).isNotNull()
+    if side.concentrated:
+        held = F.when(here, total("x_flow", grown(account, currency, other), _TOTAL).cast("double"))
+        moment = Window.partitionBy(account, currency, _PIECE, _US)
+        stretch = stretch.withColumn("held", held).withColumn("h_hhi", _concentration(known, F.sum("held").over(moment), F.sum(F.col("held") * F.col("held")).over(moment)))
+    else:
+        stretch = stretch.withColumns({"held": F.lit(0.0), "h_hhi": F.lit(0.0)})
+    kept = [account, currency, other, _US, _TIE, *[c for c in _OUT if c not in ("h_first_in_tie", "h_hhi_full")]]
+    history = stretch.where(here).select(*kept, "held", F.col("x_flow").cast("double").alias("now"))
+    if full_hhi:
+        history = materialize(history, "history-instants")
+        held, now = F.col("held"), F.col("now")
+        sums = history.groupBy(account, currency, _US).agg(F.sum(now).alias("s1"), F.sum(2 * held * now + now * now).alias("s2"))
+        past = running_before(sums, [account, currency], _US, {"__s1": "s1", "__s2": "s2"}, cuts=cuts)
+        whole = past.select(account, currency, _US, _concentration(known, F.col("__s1"), F.col("__s2")).alias("h_hhi_full"))
+        history = lookup(history, whole, [account, currency, _US])
+    else:
+        history = history.withColumn("h_hhi_full", F.lit(0.0))
+    rows = lookup(df, history.drop("held", "now"), [account, currency, other, _US])
     first = tie.eqNullSafe(F.col(_TIE)) if tie_break else F.lit(True)
     return rows.withColumn("h_first_in_tie", first).drop(_TIE)
 
 
-def _arrivals_and_departures(instants: DataFrame, account: str, currency: str) -> DataFrame:
+#: What enters and leaves the moving frames.
+_MOVES = {"n_24h": "long", "x_24h": _TOTAL, "n_30d": "long", "x_30d": _TOTAL, "xx_30d": _SQUARES}
+
+
+def _arrivals_and_departures(instants: DataFrame) -> DataFrame:
     """Each instant enters its frames at its time and leaves them when it is too old.
 
     The moving frame at t is then the running total of everything before t.
     """
 
     def change(at: int, day: int, month: int) -> Column:
-        here = 1 if at == 0 else 0
+        values = {"n_24h": ("n", day), "x_24h": ("x", day), "n_30d": ("n_x", month), "x_30d": ("x", month), "xx_30d": ("xx", month)}
         return F.struct(
-            (F.col(_US) + F.lit(at)).alias(_US),
-            F.lit(here).alias("arrived"),
-            (F.col("n") * day).alias("n_24h"),
-            (F.col("x") * day).alias("x_24h"),
-            (F.col("n_x") * month).alias("n_30d"),
-            (F.col("x") * month).alias("x_30d"),
-            (F.col("xx") * month).cast(instants.schema["xx"].dataType).alias("xx_30d"),
-            *[(F.col(c) * here).alias(c) for c in ("m1", "m2", "s1", "s2")],
+            (F.col(_US) + F.lit(at)).alias("at"),
+            *[(F.col(c) * sign).cast(_MOVES[name]).alias(name) for name, (c, sign) in values.items()],
         )
 
     moves = F.explode(F.array(change(0, 1, 1), change(DAY_24H, -1, 0), change(DAYS_30, 0, -1)))
-    moved = instants.select(account, currency, moves.alias("move")).select(account, currency, "move.*")
-    return moved.groupBy(account, currency, _US).agg(
-        *[F.sum(c).alias(c) for c in moved.columns if c not in (account, currency, _US)]
-    )
+    keys = [c for c in instants.columns if c not in (_US, "n", "n_x", "x", "xx")]
+    return instants.select(*keys, moves.alias("move")).select(*keys, F.col("move.at").alias(_US), *[f"move.{c}" for c in _MOVES])

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import platform
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 from importlib.metadata import version
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewatch import schema as S
-from tidewatch.config import TrainingConfig
+from tidewatch.config import AlertConfig, TrainingConfig
 from tidewatch.functions.columns import SCORE_CLIP, clip
 from tidewatch.operators import accounts, alerts, metrics, splits
 from tidewatch.operators.models import (
@@ -63,21 +66,64 @@ def _headline(scored: DataFrame, tie_break: Sequence[str], rate: float) -> dict:
     }
 
 
+def _at_once(spark: SparkSession, tasks: Sequence[Callable[[], tuple | None]], together: int) -> list[tuple]:
+    """Results of independent studies, some of them fitted at the same time: a small fit leaves most of a cluster idle."""
+    with ThreadPoolExecutor(max(1, together)) as pool:
+        waiting = [pool.submit(inheritable_thread_target(spark)(task)) for task in tasks]
+        return [found for w in waiting if (found := w.result()) is not None]
+
+
+def _tallied(parts: dict[str, Column], rate: float) -> list[Column]:
+    """Rows and positives of each part, whether it holds both classes, and the alert budget of the test part."""
+    y = F.col(S.TARGET).cast("long")
+    out = []
+    for name, inside in parts.items():
+        rows, positives = F.count(F.when(inside, 1)), F.coalesce(F.sum(F.when(inside, y)), F.lit(0))
+        out += [rows.alias(f"{name}_rows"), positives.alias(f"{name}_positives")]
+        if name == "test":
+            out.append(F.when(rows > 0, F.greatest(F.lit(1), F.ceil(rows.cast("double") * F.lit(rate)))).otherwise(0).alias("alerts"))
+    return out
+
+
+PLAN = ("train_rows", "train_positives", "calibration_rows", "calibration_positives", "test_rows", "test_positives", "alerts")
+
+
+def backtest_plan(df: DataFrame, rate: float = AlertConfig().rate) -> DataFrame:
+    """What each window of the backtest holds, in one pass: rows, positives, alerts, and whether every part has both classes."""
+    windows = splits.window_boundaries(df)
+    cells = []
+    for number, (train, calibration, test) in enumerate(windows, start=1):
+        parts = {"train": splits.between(None, train), "calibration": splits.between(train, calibration), "test": splits.between(calibration, test)}
+        cells.append(F.struct(F.lit(f"W{number}").alias("window"), *_tallied(parts, rate)).alias(f"w{number}"))
+    wide = df.agg(*cells)
+    tall = wide.select(F.explode(F.array(*wide.columns)).alias("w")).select("w.*")
+    return tall.withColumn("usable", _both_classes("train", "calibration", "test"))
+
+
+def _both_classes(*parts: str) -> Column:
+    whole = F.lit(True)
+    for p in parts:
+        whole = whole & (F.col(f"{p}_positives") > 0) & (F.col(f"{p}_positives") < F.col(f"{p}_rows"))
+    return whole
+
+
 def walk_forward(
-    df: DataFrame, tie_break: Sequence[str], config: TrainingConfig = TrainingConfig()
+    df: DataFrame, tie_break: Sequence[str], config: TrainingConfig = TrainingConfig(), together: int = 4
 ) -> DataFrame:
-    """Expanding-window backtest; windows with a one-class part are skipped.
+    """Expanding-window backtest; windows with a one-class part are skipped, ``together`` of the others are fitted at once.
 
     ``df`` should be a stored feature table: each window reads its time range.
     """
-    results = []
-    for number, bounds in enumerate(splits.window_boundaries(df), start=1):
+    usable = {r["window"] for r in backtest_plan(df, config.alert.rate).where("usable").collect()}
+
+    def fitted(name: str, bounds: tuple[int, int, int | None]) -> tuple:
         train, calibration, test = splits.window_frames(df, bounds)
-        if not all(splits.has_both_classes(part) for part in (calibration, train, test)):
-            continue
         scored = fit_and_score(train, calibration, test, tie_break, S.MODEL_FEATURES, config)
         r = _headline(scored, tie_break, config.alert.rate)
-        results.append((f"W{number}", r["pr_auc"], r["recall"], r["precision"], r["lift"]))
+        return (name, r["pr_auc"], r["recall"], r["precision"], r["lift"])
+
+    named = [(f"W{number}", bounds) for number, bounds in enumerate(splits.window_boundaries(df), start=1)]
+    results = _at_once(df.sparkSession, [partial(fitted, *each) for each in named if each[0] in usable], together)
     return df.sparkSession.createDataFrame(
         results,
         "window string, pr_auc double, `recall_at_0.5%` double, "
@@ -85,19 +131,33 @@ def walk_forward(
     )
 
 
+def ablation_plan(df: DataFrame, config: TrainingConfig = TrainingConfig()) -> DataFrame:
+    """What each model of the ablation is given: its feature sets, and the rows, positives and alerts all of them share."""
+    label = splits.split_label(splits.temporal_boundaries(df, config.split))
+    counts = df.agg(*_tallied({name: label == name for name in ("train", "calibration", "test")}, config.alert.rate)).first()
+    shared = tuple(counts[c] for c in PLAN)
+    sets = [
+        (name, sum(f in S.NUMERIC_FEATURES for f in features), sum(f in S.CATEGORICAL_FEATURES for f in features), *shared)
+        for name, features in S.ABLATION_FEATURE_SETS.items()
+    ]
+    return df.sparkSession.createDataFrame(sets, "model string, numbers int, categories int, " + ", ".join(f"{c} long" for c in PLAN))
+
+
 def feature_ablation(
-    df: DataFrame, tie_break: Sequence[str], config: TrainingConfig = TrainingConfig()
+    df: DataFrame, tie_break: Sequence[str], config: TrainingConfig = TrainingConfig(), together: int = 4
 ) -> DataFrame:
-    """The same model over the four feature sets."""
+    """The same model over the four feature sets, ``together`` of them fitted at once."""
     parts = splits.temporal_split(df, config.split)
     train, calibration, test = (
         parts.where(F.col(splits.SPLIT) == name) for name in ("train", "calibration", "test")
     )
-    results = []
-    for name, features in S.ABLATION_FEATURE_SETS.items():
+
+    def fitted(name: str, features: Sequence[str]) -> tuple:
         scored = fit_and_score(train, calibration, test, tie_break, features, config)
         r = _headline(scored, tie_break, config.alert.rate)
-        results.append((name, r["pr_auc"], r["recall"]))
+        return (name, r["pr_auc"], r["recall"])
+
+    results = _at_once(df.sparkSession, [partial(fitted, *each) for each in S.ABLATION_FEATURE_SETS.items()], together)
     return df.sparkSession.createDataFrame(results, "model string, pr_auc double, `recall_at_0.5%` double")
 
 

@@ -70,3 +70,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         _kept[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` itself if it does no more than read files, else its stored copy: for a table that several jobs will read."""
+    cheap = {"LogicalRelation", "Project", "Filter", "SubqueryAlias", "UnresolvedSubqueryColumnAliases"}
+    waiting = [df._jdf.queryExecution().analyzed()]
+    while waiting:
+        node = waiting.pop()
+        if node.nodeName() not in cheap:
+            return materialize(df, name)
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    return df
