@@ -1,18 +1,25 @@
 import hashlib
 import math
+import random
+import re
 import statistics
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import sentencepiece
+import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.common import LONG, LOWER, documents, empty, frame, rows, words
 from tidewatch.llm import QUERIES
 from tidewatch.llm.context_trees import scored
-from tidewatch.llm.quality import BYTE_VOCABULARY, PIECE_VOCABULARY, quality_rules
-from tidewatch.llm.spotsigs import edited_fingerprints, fingerprints, similar
+from tidewatch.llm.quality import BYTE_VOCABULARY, COUNTS, PIECE_VOCABULARY, Fertility, bands, measures, quality_rules
+from tidewatch.llm.spotsigs import ANCHORS, Spots, edited_fingerprints, fingerprints, similar, with_neighbours
 from tidewatch.llm.token_counts import Vocabulary, token_counts, vocabulary_path
 from tidewatch.llm.toxicity import classify, fit, labelled_sample
 
@@ -106,12 +113,127 @@ def test_quality_rules_of_awkward_rows(spark):
     assert quality_rules(empty(spark), *paths).count() == 0
 
 
+def spark_hash(text):
+    if text is None:
+        return 42
+    found = xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return found - (1 << 64) if found >> 63 else found
+
+
+def test_neighbours_across_many_ranges(spark):
+    """Ranges of three rows, an id and the null id that fill many of them, and ids far apart."""
+    rng = random.Random(8)
+    ids = [None] * 40 + [5] * 50 + [-(1 << 62), 1 << 62] + [rng.randrange(10**9) for _ in range(60)]
+    data = [(i, f"text {k} " + "the quick brown fox " * (k % 5)) for k, i in enumerate(ids)]
+    rng.shuffle(data)
+    out = with_neighbours(spark.createDataFrame(data, "doc_id long, text string"), range_rows=3).collect()
+    order = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, spark_hash(r[1]), r[1]))
+    found = sorted((r["range"], r["guest"], r["doc_id"] is not None, r["doc_id"] or 0, spark_hash(r["text"]), r["text"]) for r in out)
+    own = [r for r in found if not r[1]]
+    assert [r[5] for r in own] == [t for _, t in order]
+    for k, row in enumerate(own):
+        follows = found[found.index(row) + 1]
+        assert follows[0] == row[0] and follows[5] == order[(k + 1) % len(order)][1]
+    assert len({r[0] for r in own}) > 30
+
+
+def test_a_pair_exactly_at_the_likeness(spark):
+    """55 of 100, 4 of 5 and a third: thresholds that doubles miss by a digit."""
+    for least, n, both in ((0.55, 100, 55), (0.8, 5, 4), (0.3, 10, 3), (0.07, 100, 7), (1, 4, 4)):
+        prints = spark.createDataFrame([(1, list(range(n))), (2, list(range(both)))], "doc_id long, fingerprint array<long>")
+        _, pairs = similar(prints, least)
+        assert [(r["class_id"], r["other"]) for r in pairs.collect()] == ([(1, 2)] if both < n else [])
+        _, above = similar(prints, min(1, least + 0.001))
+        assert above.count() == 0
+
+
+def test_similar_query(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    sets = {r["doc_id"]: frozenset(r["fingerprint"]) for r in fingerprints(docs).collect()}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    links = Counter()
+    held = list(first)
+    for k, a in enumerate(held):
+        for b in held[k + 1 :]:
+            if a and b and 5 * len(a & b) >= 4 * len(a | b):
+                links[a] += 1
+                links[b] += 1
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in QUERIES["op5_spotsigs_similar"](spark, small).collect()}
+    assert got == {i: (first[s], links[s]) for i, s in sets.items()}
+
+
+def test_signatures_by_their_definition(spark):
+    """Anchors, chains of content words and the fallback, spelled out with lists."""
+    anchors = {w for line in ANCHORS.values() for w in line.split()}
+    texts = [r[1] or "" for r in rows()] + ["the big dog. And a cat of mine, was here in old town", "keine Anker hier nur Wörter"]
+    texts += [f"{a} one two three four" for a in sorted(anchors)[:20]]
+    spelled = lambda t: [w.lower() if w.isascii() else w.translate(LOWER) for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t)]
+    kinds = {}
+    for text, mine in zip(texts, Spots().of(pa.array(texts))):
+        found = spelled(text)
+        content = [k for k, w in enumerate(found) if w not in anchors]
+        want = set()
+        for k, w in enumerate(found):
+            after = [c for c in content if c > k]
+            if w in anchors and len(after) >= 3:
+                want.add((w, *(found[c] for c in after[:3])))
+        want = want or ({("all", *found)} if found else set())
+        assert len(mine) == len(want)
+        for chain in want:
+            kinds.setdefault(chain, set()).add(tuple(mine) if len(want) == 1 else None)
+    # The same chain has the same signature wherever it stands alone.
+    assert all(len(v - {None}) <= 1 for v in kinds.values())
+
+
+def test_token_measures_are_the_libraries(spark, small):
+    """Characters per token, byte share and entropy of whole texts, word by word with the libraries."""
+    paths = vocabulary_path(BYTE_VOCABULARY), vocabulary_path(PIECE_VOCABULARY)
+    pieces = sentencepiece.SentencePieceProcessor(model_file=paths[1])
+    bytes_ = Fertility(*paths).bytes
+    data = documents(spark, small)[:60] + [(r[0], r[1]) for r in rows() if r[0] not in (8, 9)]
+    docs = spark.createDataFrame([(k, t, "en") for k, (_, t) in enumerate(data)], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in measures(docs, *paths, F.col("lang")).collect()}
+    for k, (_, text) in enumerate(data):
+        own, r = words(text), found[k]
+        tokens = [t for w in own for t in bytes_.encode_ordinary(" " + w)]
+        split = [p for w in own for p in pieces.encode(w)]
+        assert (r["n_tokens"], r["n_pieces"], r["n_raw"]) == (len(tokens), len(split), sum(pieces.is_byte(p) for p in split))
+        assert r["word_chars"] == sum(map(len, own))
+        shares = [n / len(tokens) for n in Counter(tokens).values()]
+        assert r["entropy"] == pytest.approx(-sum(p * math.log2(p) for p in shares), abs=1e-9)
+
+
+def test_bands_by_their_definition(spark):
+    """Line of entropy and Tukey's outer fences of a group, with numpy."""
+    folder = "/root/testdata/sf0.01"
+    paths = vocabulary_path(BYTE_VOCABULARY), vocabulary_path(PIECE_VOCABULARY)
+    measured = measures(spark.read.parquet(f"{folder}/documents.parquet"), *paths, F.col("lang")).collect()
+    got = {r["group"]: r for r in bands(spark.createDataFrame(measured)).collect()}
+    for lang in ("en", "de", "fr", "es"):
+        mine = {tuple(r[c] for c in (*COUNTS, "entropy")) for r in measured if r["group"] == lang and r["n_words"] >= 50 and 2 * r["n_repeat_words"] <= r["n_words"]}
+        t = np.array(sorted(mine))
+        tokens, entropy = t[:, 5], t[:, 8]
+        short = 1 / np.sqrt(tokens)
+        slope, level = np.polyfit(short, entropy, 1)
+        assert (got[lang]["slope"], got[lang]["level"]) == (pytest.approx(slope, rel=1e-3), pytest.approx(level, rel=1e-3))
+        for name, values, middle in (
+            ("chars_per_token", t[:, 1] / tokens, None),
+            ("evenness", entropy - got[lang]["level"] - got[lang]["slope"] * short, entropy.mean()),
+        ):
+            low, mid, high = np.quantile(values, [0.25, 0.5, 0.75])
+            floor = max(abs(mid if middle is None else middle) * 0.05, 0.02)
+            assert got[lang][f"{name}_low"] == pytest.approx(min(low - 3 * (high - low), mid - floor), abs=1e-6)
+            assert got[lang][f"{name}_high"] == pytest.approx(max(high + 3 * (high - low), mid + floor), abs=1e-6)
+
+
 def test_edited_texts(spark, small):
     for out, texts in (
         (QUERIES["op5_spotsigs"](spark, small).collect(), documents(spark, small)),
         (edited_fingerprints(frame(spark)).collect(), [(r[0], r[1]) for r in rows()]),
     ):
-        order = sorted(((-(1 << 63) if i is None else i, t is not None, (t or "").encode()), i, t or "") for i, t in texts)
+        order = sorted(((-(1 << 63) if i is None else i, spark_hash(t), (t or "").encode()), i, t or "") for i, t in texts)
         want = []
         for k, (_, i, text) in enumerate(order):
             half = len(text) // 2
@@ -183,7 +305,7 @@ def tree_scores(texts, depth):
     """Context-tree weighting by its definition, with dictionaries."""
 
     def steps(text):
-        data = b"\0" * depth + (text or "").encode() + b"\xff"
+        data = b"\0" * depth + (text or "").translate(LOWER).encode() + b"\xff"
         for p in range(depth, len(data)):
             for i in range(8):
                 yield data[p - depth : p], (1 << i) | (data[p] >> (8 - i)), (data[p] >> (7 - i)) & 1

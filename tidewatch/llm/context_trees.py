@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidewatch.llm.arrays import Words, mix, utf8
+from tidewatch.llm.arrays import LOWER, Words, mix, utf8
 from tidewatch.llm.base import query, slices, table
 from tidewatch.session import materialize
 
@@ -99,7 +99,8 @@ def counted(docs: DataFrame, depth: int) -> DataFrame:
                     if not len(rows):
                         continue
                     texts = part.column(1).take(pa.array(rows))
-                    for kind, keys in ((0, runs(*utf8(texts), depth)), (1, words_of(texts)[0])):
+                    data, offsets = utf8(texts)
+                    for kind, keys in ((0, runs(LOWER[data], offsets, depth)), (1, words_of(texts)[0])):
                         held[kind].append(once(keys, trained))
                         size[kind] += len(held[kind][-1][0])
                         if size[kind] > HELD:
@@ -256,8 +257,8 @@ def scored(docs: DataFrame, depth: int = DEPTH, runs_held: int = FREQUENT_RUNS,
 
     Training texts are those whose crc32 of the id as text, modulo 7, isn't 2; a null id counts as empty text.
     A null text is an empty one: its end alone is scored. Repeated rows are texts of their own, in training too.
-    An empty table gives no rows; without training texts every decision has probability 1/2. Other
-    columns aren't read. ``score`` is log10 of the probability of the bytes and the end of the text,
+    An empty table gives no rows; without training texts every decision has probability 1/2. A to Z are lower-cased for
+    both scores. Other columns aren't read. ``score`` is log10 of the probability of the bytes and the end of the text,
     ``bits_per_byte`` its code length for each of them.
     """
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
@@ -290,7 +291,7 @@ def scored(docs: DataFrame, depth: int = DEPTH, runs_held: int = FREQUENT_RUNS,
                 n = part.num_rows
                 column = part.column(2)
                 data, offsets = utf8(column)
-                keys = runs(data, offsets, depth)
+                keys = runs(LOWER[data], offsets, depth)
                 at = byte_logs.find(keys)
                 lengths = np.diff(offsets) + 1
                 starts = np.cumsum(lengths) - lengths

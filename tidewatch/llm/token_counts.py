@@ -22,8 +22,8 @@ from tidewatch.llm.base import map_texts, query, table
 #: How byte-level vocabularies cut a text before merging.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKEN_LIMIT = 1024
-#: Counts of merged pre-tokens a task keeps before it starts anew.
-CACHE = 200_000
+#: Counts of merged pre-tokens a task keeps before it starts anew, and how long (in characters) such a pre-token may be.
+CACHE, CACHED = 200_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -98,8 +98,8 @@ def token_counts(
 
     Columns other than the two named ones are not read, so their names cannot clash. A null text
     counts as empty (0 bytes, 0 tokens), a null id stays null, repeated rows each give a row, an
-    empty table gives none. A special string inside a text is one token, as the vocabulary's
-    library has it by default.
+    empty table gives none. Whole texts are counted however long they are. A special string inside a text is one token, as the
+    vocabulary's library has it by default.
     """
     held = Vocabulary(vocabulary)
     whole = docs.sparkSession.sparkContext.broadcast((held.whole_tokens(), held))  # bounded by the vocabulary
@@ -120,9 +120,11 @@ def token_counts(
                     if piece not in ones:
                         n = known.get(piece)
                         if n is None:
-                            if len(known) >= CACHE:
-                                known.clear()
-                            n = known[piece] = own.count(piece)
+                            n = own.count(piece)
+                            if len(piece) <= CACHED:
+                                if len(known) >= CACHE:
+                                    known.clear()
+                                known[piece] = n
                         total += n - 1
             return total
 

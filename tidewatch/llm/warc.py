@@ -136,7 +136,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         .join(bases, ["file", "block"])
         .withColumn("start", F.col("base") + F.col("before") - step)
         .withColumn("next", F.col("start") + step + F.col("takes"))
-        .drop("block", "before", "base")
+        .drop("before", "base")
     )
 
 
@@ -147,10 +147,19 @@ def reachable(found: DataFrame) -> DataFrame:
     jumping goes from run to run. Each round doubles the length of a jump: rounds grow with the
     logarithm of the false candidates in a file, and none is needed where there are none.
     """
-    in_file = W.partitionBy("file").orderBy("start")
-    fresh = F.coalesce(F.lag("next").over(in_file) != F.col("start"), F.lit(True)).cast("long")
+    # Splits are linked each by itself; a table with a row for each split hands the end of one to the next.
+    in_split = W.partitionBy("file", "block").orderBy("start")
+    along = W.partitionBy("file").orderBy("block")
+    split = ["file", "block"]
+    placed = materialize(found.where("start >= 0").withColumn("came", F.lag("next").over(in_split)), "warc-placed")
+    ends = placed.groupBy(*split).agg(F.max_by("next", "start").alias("last"))
+    handed = ends.select(*split, F.lag("last").over(along).alias("handed"))
+    fresh = F.coalesce(F.coalesce("came", "handed") != F.col("start"), F.lit(True)).cast("long")
+    linked = materialize(placed.join(handed, split).withColumn("fresh", fresh).drop("came", "handed"), "warc-linked")
+    counts = linked.groupBy(*split).agg(F.sum("fresh").alias("runs"))
+    earlier = counts.select(*split, F.coalesce(F.sum("runs").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
     runs = materialize(
-        found.where("start >= 0").withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(in_file)).drop("fresh"), "warc-runs"
+        linked.join(earlier, split).withColumn("run", F.sum("fresh").over(in_split) + F.col("earlier")).drop("fresh", "earlier"), "warc-runs"
     )
     # Where each run is left to, if that is a candidate's place.
     last = runs.groupBy("file", "run").agg(F.max_by("next", "start").alias("next"))
@@ -172,16 +181,20 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Records of the archives in ``path``: ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
 
     Digests and lengths of responses are those of the payload read; those of revisits are stated in
-    the record. Archives without records give no rows.
+    the record. Whole payloads are read, also where they lie in several splits. Archives without records give no rows.
     """
     found = materialize(candidates(spark, path), "warc-candidates")
     records = materialize(reachable(found), "warc-records")
     whole = records.where("digest is not null")
     # Payloads with version lines inside lie in several pieces, which are read once more and joined.
-    marked = found.select("id", "file", "start").join(
+    marked = found.select("id", "file", "block", "start").join(
         records.select("file", "start", F.struct("start", "next", F.col("digest").isNull().alias("broken")).alias("mark")), ["file", "start"], "left"
     )
-    under = F.last("mark", ignorenulls=True).over(W.partitionBy("file").orderBy("start"))
+    marked = materialize(marked, "warc-marked")
+    lasts = marked.groupBy("file", "block").agg(F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("start"))).alias("last"))
+    before = F.last("last", ignorenulls=True).over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    marked = marked.join(lasts.select("file", "block", before.alias("before")), ["file", "block"])
+    under = F.coalesce(F.last("mark", ignorenulls=True).over(W.partitionBy("file", "block").orderBy("start")), F.col("before"))
     parts = materialize(
         marked.withColumn("mark", under)
         .where("mark.broken and start < mark.next")
