@@ -179,6 +179,7 @@ def passes(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, re
     each = each.select(
         "sid", "source", F.expr("if(source_size = 0, 0, words div greatest(source_size, 1))").alias("passes"), F.expr("words % greatest(source_size, 1)").alias("rest")
     )
+    each = materialize(each, "mix-takes")
     order = F.struct(*stream_order(keep))
     half = placed.join(each.select("sid", "rest"), "sid").where((F.col("size") > 0) & (2 * (F.col("rest") - F.col("start")) >= F.col("size")))
     lasts = half.groupBy("sid").agg(F.max(order).alias("last"))

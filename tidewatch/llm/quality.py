@@ -10,6 +10,7 @@ rows. Entropy is taken less what its language's texts of that length have.
 from __future__ import annotations
 
 import base64
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ ENTROPY_TOKENS = 50
 FENCES, LEAST = 3.0, 0.05
 #: Sums are taken over whole numbers of this fraction.
 GRAIN = 1 << 20
+#: Texts that lie next to each other in a quantile's piece, at least.
+PIECE_ROWS = 2048
 #: Words a task keeps the measures of.
 CACHE = 400_000
 
@@ -211,7 +214,9 @@ def bands(measured: DataFrame, fences: float = FENCES, least: float = LEAST) ->
     lines = sums.select(F.col("group").alias("of"), ((sy - slope * sx) / n / GRAIN).alias("level"), slope.alias("slope"), (sy / n / GRAIN).alias("mean"))
     lines = materialize(lines, "fertility-lines")
     placed = materialize(texts.join(lines, F.col("group").eqNullSafe(F.col("of"))).withColumns(fertility_columns()).select("group", *names), "fertility-placed")
-    found = grouped_quantiles(placed, ["group"], {m: quarter for m in names})
+    # Pieces as long as there are pieces, so that a group with most of the rows is spread.
+    piece = max(PIECE_ROWS, math.isqrt(placed.count()))
+    found = grouped_quantiles(placed, ["group"], {m: quarter for m in names}, piece)
     found = found.join(lines, F.col("group").eqNullSafe(F.col("of"))).drop("of")
     out = [F.col("group"), F.col("level"), F.col("slope")]
     for n in names:
