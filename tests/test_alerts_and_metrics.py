@@ -187,18 +187,25 @@ def test_quantiles_of_all_groups(spark, rows_per_piece):
         assert got[g]["w"] == pytest.approx([np.median([w for a, _, w in data if a == g])])
 
 
-def test_evaluation_and_subgroups_take_few_jobs(spark, small):
-    """Neither grows with the number of rates or groups."""
-    from tidewatch.catalog import QUERIES
-
-    for name in ("evaluation_bundle", "unseen_subgroups"):
-        spark.sparkContext.setJobGroup(name, name)
-        found = QUERIES[name](spark, small)
-        found.collect()
-        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-        print(name, jobs)
-        assert jobs < (25 if name == "evaluation_bundle" else 45)
+def _jobs(spark, work):
+    name = f"jobs-{random.random()}"
+    spark.sparkContext.setJobGroup(name, name)
+    work()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_jobs_grow_neither_with_rates_nor_with_groups(spark, tmp_path):
+    pick = np.random.default_rng(6)
+    data = [(k % 60, float(round(p, 2)), int(p > 0.9), k) for k, p in enumerate(pick.uniform(size=3000))]
+    spark.createDataFrame(data, "g int, score double, Is_laundering int, __row long").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    few = _jobs(spark, lambda: metrics.evaluate(df.drop("__row"), ["g"], rates=(0.01,)).collect())
+    many = _jobs(spark, lambda: metrics.evaluate(df.drop("__row"), ["g"], rates=(0.001, 0.01, 0.05, 0.2)).collect())
+    assert many <= few < 15
+    two = _jobs(spark, lambda: alerts.at_alert_rate_by(df.where("g < 2"), ["g"], [0.1], ["g"]).collect())
+    all_ = _jobs(spark, lambda: alerts.at_alert_rate_by(df, ["g"], [0.1], ["g"]).collect())
+    assert max(two, all_) < 25
 
 
 def test_reliability_drops_empty_bins(spark):

@@ -38,10 +38,8 @@ def alert_cuts(
     told apart by a row number, which the returned table then has. Finding a cut moves no rows, so a score
     shared by much of the table costs nothing extra.
     """
-    rows = df.count() if rows is None else rows
-    sizes = [budget(rows, rate) for rate in rates]
     order = [(score, True), *[(c, False) for c in tie_break]]
-    return exact_rows(df, order, sizes, rows, rows_per_piece)
+    return exact_rows(df, order, lambda n: [budget(n, rate) for rate in rates], rows, rows_per_piece)
 
 
 def mark_alerts(

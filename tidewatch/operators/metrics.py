@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from tidewatch import schema as S
 from tidewatch.config import AlertConfig
 from tidewatch.functions.columns import SCORE_CLIP, clip, ratio
-from tidewatch.operators.alerts import at_alert_rate_by
-from tidewatch.plans.ordering import ROW, cut_points, next_along, pieces_for, quantiles, running_before
+from tidewatch.operators.alerts import budget
+from tidewatch.plans.grouped import first_rows
+from tidewatch.plans.ordering import ROW, ROWS_PER_PIECE, cut_points, next_along, pieces_for, quantiles, running_before
 from tidewatch.session import materialize
 
-#: Whole tables are a single group of this column.
+#: A whole table is a single group of this column.
 ALL = "__all"
 
 
@@ -53,6 +54,10 @@ def score_steps(
 
 def ranking_areas(steps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Average precision, ROC area with half credit for ties, and the trapezoid PR area."""
+    return steps.groupBy(*by).agg(*_area_sums()).select(*by, *_areas())
+
+
+def _area_sums() -> list[Column]:
     pos, n = F.col("pos"), F.col("n")
     hits, taken = F.col("pos_above") + pos, F.col("n_above") + n
     neg, neg_above = n - pos, F.col("n_above") - F.col("pos_above")
@@ -60,22 +65,22 @@ def ranking_areas(steps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     precision_above = F.when(F.col("n_above") == 0, F.lit(1.0)).otherwise(
         F.try_divide(F.col("pos_above"), F.col("n_above"))
     )
-    totals = steps.groupBy(*by).agg(
+    return [
         F.sum(pos).alias("positives"),
         F.sum(neg).alias("negatives"),
         F.sum(pos * precision).alias("weighted_precision"),
         F.sum(pos.cast("double") * (neg_above + neg * F.lit(0.5))).alias("outranked"),
         F.sum(pos * (precision + precision_above) / 2).alias("trapezoids"),
-    )
-    return totals.select(
-        *by,
+    ]
+
+
+def _areas() -> list[Column]:
+    pairs = F.col("positives").cast("double") * F.col("negatives")
+    return [
         F.try_divide("weighted_precision", "positives").alias("pr_auc"),
-        (
-            F.lit(1.0)
-            - F.try_divide(F.col("outranked"), F.col("positives").cast("double") * F.col("negatives"))
-        ).alias("roc_auc"),
+        (F.lit(1.0) - F.try_divide(F.col("outranked"), pairs)).alias("roc_auc"),
         F.try_divide("trapezoids", "positives").alias("pr_trapezoid_area"),
-    )
+    ]
 
 
 def proper_scores(
@@ -110,19 +115,43 @@ def evaluate(
     """
     p, y = F.col(score), F.col(target).cast("double")
     narrow = df.select(score, target, *tie_break).withColumn(score, clip(F.col(score), SCORE_CLIP))
-    stored = materialize(narrow.withColumns({ROW: F.monotonically_increasing_id(), ALL: F.lit(0)}), "evaluated")
+    stored = materialize(narrow.withColumn(ROW, F.monotonically_increasing_id()), "evaluated")
     seen = stored.agg(F.min(target).alias("low"), F.max(target).alias("high"), F.count(F.lit(1)).alias("rows"), *_proper(p, y)).first()
     _both_classes(seen, target)
-    steps = materialize(score_steps(stored, score, target, [ALL], seen["rows"]), "evaluated-steps")
-    areas = ranking_areas(steps).first()
-    at = at_alert_rate_by(stored, [ALL], rates, tie_break, score, target, seen["rows"], steps=steps)
-    at = {r["alert_rate"]: r for r in at.collect()}
-    figures = {c: areas[c] for c in ("pr_auc", "roc_auc")} | {c: seen[c] for c in ("brier_score", "log_loss")}
-    for rate in rates:
-        figures |= {f"{metric_names(rate)}_{m}": at[float(rate)][m] for m in ("precision", "recall", "lift")}
+    rows = seen["rows"]
+    steps = materialize(score_steps(stored, score, target, rows=rows), "evaluated-steps")
+    sizes = [budget(rows, rate) for rate in rates]
+    step = F.struct("score", "n", "pos", "n_above", "pos_above")
+    at = [F.max(F.when((F.col("n_above") < k) & (F.col("n_above") + F.col("n") >= k), step)).alias(f"at_{i}") for i, k in enumerate(sizes)]
+    found = steps.agg(*_area_sums(), *at).select("positives", *_areas(), *[f"at_{i}" for i in range(len(sizes))]).first()
+    cuts = [found[f"at_{i}"] for i in range(len(sizes))]
+    hits = _hits(stored, list(zip(sizes, cuts, strict=True)), tie_break, score, target)
+    figures = {c: found[c] for c in ("pr_auc", "roc_auc")} | {c: seen[c] for c in ("brier_score", "log_loss")}
+    for rate, size, tp in zip(rates, sizes, hits, strict=True):
+        precision, base = tp / size, found["positives"] / rows
+        figures |= {f"{metric_names(rate)}_{m}": v for m, v in (("precision", precision), ("recall", tp / found["positives"]), ("lift", precision / base))}
     return df.sparkSession.createDataFrame([tuple(figures.values())], ", ".join(f"`{c}` double" for c in figures))
 
 
+def _hits(stored: DataFrame, cuts: list[tuple[int, Row]], tie_break: Sequence[str], score: str, target: str) -> list[int]:
+    """Positives among the first rows of each cut: those above its score, and among the rows that share it the first in tie-break order."""
+    shared = {(c["score"], size - c["n_above"]): c["n"] for size, c in cuts if size - c["n_above"] < c["n"]}
+    tied: dict = {}
+    event = (F.col(target) == 1).cast("long")
+    few = [key for key, n in shared.items() if n <= ROWS_PER_PIECE]
+    if few:
+        window = Window.partitionBy(score).orderBy(*[F.col(c).asc_nulls_last() for c in tie_break], ROW)
+        placed = stored.where(F.col(score).isin([v for v, _ in few])).withColumn("place", F.row_number().over(window))
+        sums = placed.agg(*[F.sum(F.when((F.col(score) == v) & (F.col("place") <= left), event)).alias(f"hits_{i}") for i, (v, left) in enumerate(few)])
+        tied = dict(zip(few, sums.first(), strict=True))
+    for value, left in shared.keys() - tied.keys():
+        equal = stored.where(F.col(score) == value).withColumn(ALL, F.lit(0))
+        wanted = stored.sparkSession.createDataFrame([(0, left)], f"{ALL} int, rank long")
+        order = [*[(c, False) for c in tie_break], (ROW, False)]
+        tied[value, left] = first_rows(equal, [ALL], wanted, order, event, shared[value, left]).first()["tally"]
+    return [c["pos_above"] + (tied[c["score"], size - c["n_above"]] if size - c["n_above"] < c["n"] else c["pos"]) for size, c in cuts]
+
+
 def roc_points(steps: DataFrame, corners: bool = True, rows_per_piece: int | None = None) -> DataFrame:
     """(false positive rate, true positive rate) at each distinct score, plus the origin.
 

@@ -10,6 +10,7 @@ from tidewatch import schema as S
 from tidewatch.config import SplitConfig
 from tidewatch.functions.columns import micros
 from tidewatch.plans.ordering import ROW, exact_rows, order_statistics
+from tidewatch.session import stored
 
 SPLIT = "split"
 _US = "__us"
@@ -44,6 +45,7 @@ def temporal_boundaries(df: DataFrame, config: SplitConfig = SplitConfig()) -> l
         raise ValueError(f"split fractions at or below 0: {config}")
     if config.train + config.calibration + config.validation >= 1:
         raise ValueError(f"split fractions that add up to 1 or more: {config}")
+    df = stored(df.select(S.TIMESTAMP), "instants")
     count = count_instants(df)
     first = max(1, int(count * config.train))
     second = max(first + 1, int(count * (config.train + config.calibration)))
@@ -73,16 +75,12 @@ def chronological_split(
     df: DataFrame, tie_break: Sequence[str], train: float = 0.70, validation: float = 0.15
 ) -> DataFrame:
     """Three parts by row position in (timestamp, tie-break) order; ties may straddle."""
-    rows = df.count()
-    ends = [int(rows * train), int(rows * (train + validation))]
     timed = df.withColumn(_US, micros(F.col(S.TIMESTAMP)))
     order = [(_US, False), *[(c, False) for c in tie_break]]
-    sizes = sorted({e for e in ends if e > 0})
-    inside = {0: F.lit(False)}
-    if rows:
-        timed, cuts = exact_rows(timed, order, sizes, rows)
-        inside |= {k: cut.inside() for k, cut in zip(sizes, cuts, strict=True)}
-    label = F.when(inside[ends[0]], "train").when(inside[ends[1]], "validation").otherwise("test")
+    # An empty part has no cut; neither part has rows in an empty table.
+    timed, cuts = exact_rows(timed, order, lambda rows: [e for e in (int(rows * train), int(rows * (train + validation))) if e > 0])
+    inside = [F.lit(False)] * (2 - len(cuts)) + [cut.inside() for cut in cuts]
+    label = F.when(inside[0], "train").when(inside[1], "validation").otherwise("test")
     return timed.withColumn(SPLIT, label).drop(_US, ROW)
 
 
@@ -105,6 +103,7 @@ def window_boundaries(
     The distinct timestamps are cut into nearly equal blocks, the longer ones
     first; window w trains on 4 + 2w blocks, calibrates on two and tests on two.
     """
+    df = stored(df.select(S.TIMESTAMP), "instants")
     count = count_instants(df)
     if count < block_count:
         raise ValueError(f"{count} timestamps found where {block_count} unique ones are the least")

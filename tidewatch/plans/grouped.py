@@ -114,9 +114,10 @@ def first_rows(
         whole = F.lit(True)
     done = cut.where(whole).select(*by, *names, "rank", "first", (F.col("n_before") + F.col("n")).alias("inside"), (F.col("tally_before") + F.col("tally")).alias("tally"))
     tied = cut.where(~whole)
-    largest = tied.agg(F.max("n")).first()[0]
+    largest = tied.orderBy(F.desc("n")).select("n").first()
     if largest is None:
         return done
+    largest = largest[0]
     keys = [*by, *names]
     reached = tied.select(*by, *names, F.col("first"), F.col("left").alias("__left"))
     equal = reached.withColumnRenamed("first", column)

@@ -15,13 +15,13 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tidewatch.session import materialize
+from tidewatch.session import materialize, stored
 
 ROWS_PER_PIECE = 2_000_000
 #: Pieces of one pass of cuts; more are found by cutting each of these again.
@@ -452,17 +452,20 @@ def _tied_cut(tied: DataFrame, order: Sequence[tuple[str, bool]], size: int) ->
 def exact_rows(
     df: DataFrame,
     order: Sequence[tuple[str, bool]],
-    sizes: Sequence[int],
-    rows: int,
+    sizes: Sequence[int] | Callable[[int], Sequence[int]],
+    rows: int | None = None,
     rows_per_piece: int | None = None,
 ) -> tuple[DataFrame, list[Cut]]:
     """The table and cuts that hold exactly the first k of its rows for each k.
 
+    ``sizes`` may be a function of the number of rows, which is counted if it isn't given.
     Where a cut would fall among rows that tie on every column, the table is stored with row
     numbers and these break the tie; it then has the further column ``__row``.
     """
     # Finding cuts takes some passes, so what the order needs is stored once.
-    narrow = materialize(df.select(*dict.fromkeys(c for c, _ in order)), "ordered-rows")
+    narrow = stored(df.select(*dict.fromkeys(c for c, _ in order)), "ordered-rows")
+    rows = narrow.count() if rows is None else rows
+    sizes = sizes(rows) if callable(sizes) else sizes
     cuts = leading_rows(narrow, order, sizes, rows, rows_per_piece)
     if all(cut.size == min(k, rows) for cut, k in zip(cuts, sizes, strict=True)):
         return df, cuts
