@@ -115,7 +115,7 @@ def with_neighbours(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     unit = F.shiftrightunsigned(F.col("hash").bitwiseXOR(F.lit(-(1 << 63))), 11).cast("double") / float(1 << 53)
     part = F.coalesce(F.least(F.floor(unit * F.col("parts")), F.col("parts") - 1), F.lit(0)).cast("long")
     piece = F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("piece")).cast("long")
-    placed = with_piece(rows, "doc_id", sorted(cuts), "piece").join(parts, F.col("doc_id").eqNullSafe(F.col("often")), "left")
+    placed = with_piece(rows, "doc_id", sorted(cuts), "piece").join(F.broadcast(parts), F.col("doc_id").eqNullSafe(F.col("often")), "left")
     placed = placed.select("doc_id", "text", "hash", (F.shiftleft(piece, 32) + part).alias("range"))
     first = F.struct(F.col("doc_id").isNotNull().alias("named"), F.col("doc_id").alias("id"), F.col("hash").alias("first_hash"))
     heads = materialize(placed.groupBy("range").agg(F.min(first).alias("head")), "spot-heads")
@@ -123,7 +123,8 @@ def with_neighbours(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     last = F.lit((heads.agg(F.max("range")).first() or [None])[0]).cast("long")
     hosts = materialize(heads.select(F.col("range").alias("at"), "head.id", "head.first_hash", F.coalesce(F.lag("range").over(along), last).alias("host")), "spot-hosts")
     at_head = (F.col("range") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("id")) & F.col("hash").eqNullSafe(F.col("first_hash"))
-    guests = placed.join(hosts, at_head).groupBy("host", "doc_id", "hash").agg(F.min("text").alias("text"))
+    # A row for each range: the square root of the number of rows, so no text moves for it.
+    guests = placed.join(F.broadcast(hosts), at_head).groupBy("host", "doc_id", "hash").agg(F.min("text").alias("text"))
     guests = guests.select("doc_id", "text", "hash", F.col("host").alias("range"), F.lit(True).alias("guest"))
     return (
         placed.withColumn("guest", F.lit(False))
