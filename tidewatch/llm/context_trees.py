@@ -23,7 +23,7 @@ from tidewatch.llm.arrays import LOWER, Words, mix, utf8
 from tidewatch.llm.base import query, slices, table
 from tidewatch.session import materialize
 
-DEPTH = 4
+DEPTH = 5
 #: Byte runs and words that are broadcast; both tables have this size at any size of the corpus.
 FREQUENT_RUNS, FREQUENT_WORDS = 1 << 19, 1 << 18
 #: Distinct keys a counting task holds before it hands them on.

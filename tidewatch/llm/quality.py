@@ -196,7 +196,8 @@ def shortness() -> Column:
 def bands(measured: DataFrame, fences: float = FENCES, least: float = LEAST) -> DataFrame:
     """For each group, its line of entropy and what each measure may be: ``group, level, slope, <measure>_low, <measure>_high``.
 
-    From all texts that pass the base rules, those with equal counts (copies) once; the share of raw bytes has no lower bound.
+    From all texts that pass the base rules, those with equal counts (copies) once. The share of raw bytes has no lower bound, and
+    entropy no upper one: a text richer in tokens than usual isn't poor for it, and noise shows in the other measures.
     """
     quarter = [0.25, 0.5, 0.75]
     names = list(fertility_columns())
@@ -224,7 +225,8 @@ def bands(measured: DataFrame, fences: float = FENCES, least: float = LEAST) ->
         beyond = fences * (q[2] - q[0])
         floor = F.greatest(F.abs(F.col("mean") if n == "evenness" else q[1]) * least, F.lit(0.02))
         low = F.lit(0.0) if n == "raw_share" else F.least(q[0] - beyond, q[1] - floor)
-        out += [low.alias(f"{n}_low"), F.greatest(q[2] + beyond, q[1] + floor).alias(f"{n}_high")]
+        high = F.lit(float("inf")) if n == "evenness" else F.greatest(q[2] + beyond, q[1] + floor)
+        out += [low.alias(f"{n}_low"), high.alias(f"{n}_high")]
     return found.select(*out)
 
 
