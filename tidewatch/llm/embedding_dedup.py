@@ -33,7 +33,7 @@ MISS = 1e-3
 #: Intervals are so many times as wide as the distance of such a pair.
 WIDTH = 4.0
 #: Unrelated vectors a vector may expect to meet in one table.
-MATES = 1 / 4
+MATES = 1 / 32
 #: Members of a pack; units of a bucket beyond which it is hashed again, so often at most, with so many projections.
 PACK, CROWD, AGAIN, MORE = 256, 512, 3, 8
 #: Classes that make a bucket worth a ball.
