@@ -34,6 +34,15 @@ def test_quantiles_interpolate_like_numpy(spark, per_piece):
     assert found["b"] == pytest.approx(np.quantile([-v * 3 for v in values], [0.25, 0.5, 0.75]))
 
 
+@pytest.mark.parametrize("per_piece", [None, 40])
+def test_infinite_values_have_ranks_but_no_cuts(spark, per_piece):
+    values = [-math.inf] * 80 + sorted(_values()) + [math.inf] * 120
+    df = spark.createDataFrame([(v,) for v in values], "a double")
+    ranks = [1, 80, 81, 300, 580, 581, 700]
+    found = order_statistics(df, {"a": ranks}, len(values), rows_per_piece=per_piece)["a"]
+    assert [found[k][0] for k in ranks] == [values[k - 1] for k in ranks]
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None, 1.0)], "a double, b double")
     assert quantiles(df, {"a": [0.5], "b": [0.5]}) == {"a": [None], "b": [1.0]}
