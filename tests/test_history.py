@@ -216,3 +216,17 @@ def test_one_of_several_equal_rows_carries_the_gap(spark, rows_per_key):
     df = frame(spark, rows).withColumn("same", H.F.lit(1))
     seen = H.add_history(df, ["same"], rows_per_key=rows_per_key).collect()
     assert sorted(r["seconds_since_sender_txn"] for r in seen) == [-1, 0, 60]
+
+
+def test_more_rows_than_the_sessions_partitions_should_sort(spark, monkeypatch):
+    pick = random.Random(8)
+    payments = [
+        (NOON + dt.timedelta(hours=pick.randrange(2000)), f"s{pick.randrange(9)}", f"r{pick.randrange(9)}", float(pick.randrange(1, 99)), "USD", "USD")
+        for _ in range(300)
+    ]
+    df = frame(spark, payments)
+    want = collected(H.add_history(df, ["id"]))
+    monkeypatch.setattr(H, "ROWS_PER_SORT", 20)
+    cut = H.add_history(df, ["id"])
+    assert cut.rdd.getNumPartitions() == 15
+    assert collected(cut) == want
