@@ -232,3 +232,10 @@ def test_logit_is_clipped(spark):
     assert low == pytest.approx(-13.8155, abs=1e-3)
     assert mid == 0
     assert high == pytest.approx(-low)
+
+
+def test_steps_read_stored_scores(spark):
+    scores = spark.createDataFrame([(i, i / 10, i % 2) for i in range(8)], "id int, score double, Is_laundering int")
+    steps = metrics.score_steps(scores.join(spark.range(8).withColumnRenamed("id", "other"), F.col("id") == F.col("other")))
+    assert "Join" not in steps._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["n_above"] for r in steps.orderBy("score").collect()] == [7 - i for i in range(8)]
