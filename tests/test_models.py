@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 import time
 from dataclasses import replace
 from functools import partial
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from tidewatch import schema as S
 from tidewatch.config import PreprocessingConfig, training_config
 from tidewatch.operators import attribution, models, preprocessing
-from tidewatch.operators.scoring import score
+from tidewatch.operators.scoring import score, score_requests
 from tidewatch.plans import studies
 from tidewatch.sources.artifacts import RiskModel
 from tidewatch.streaming import scoring as streams
@@ -170,6 +171,22 @@ def test_stream_scores_what_the_batch_scores(spark, table, trained, tmp_path):
     assert again.count() == 10
 
 
+def test_generated_scoring_methods_are_short_enough_to_be_compiled(spark, table, trained, capsys):
+    """HotSpot interprets a method of more than 8,000 bytes for good, which took most of the time of scoring."""
+    model, _ = trained
+    keys = ["id", *(f"key_{i}" for i in range(4))]
+    rows = table.withColumns({k: F.col("id").cast("string") for k in keys[1:]}).select(*keys, *S.MODEL_FEATURES)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for scored in (score(rows, model, keys), *score_requests(rows, model, keys)):
+            scored.explain(mode="codegen")
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+            assert sizes and max(sizes) <= 8_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_contributions_add_up_to_the_margin(spark, table, trained):
     model, _ = trained
     encoded = PipelineModel(model.pipeline.stages[:-1]).transform(table)

@@ -115,6 +115,13 @@ def test_contract_accepts_and_allows_missing_moments(spark):
     assert quality.accepted(quality.check_rows(good)).count() == 1
 
 
+def test_contract_lists_all_that_is_broken(spark):
+    bad = contract_row(spark, Amount=-1.0, hour_sin=None, is_night=float("nan"), Payment_type=None)
+    checked = quality.check_rows(contract_row(spark).unionByName(bad))
+    assert sorted(r["violations"] for r in checked.collect()) == [[], ["Amount", "hour_sin", "is_night", "Payment_type"]]
+    assert dict(checked.dtypes)["violations"] == "array<string>"
+
+
 def test_contract_fails_on_unknown_or_missing_columns(spark):
     with pytest.raises(ValueError, match="surprise"):
         quality.check_rows(contract_row(spark).withColumn("surprise", F.lit(1)))
