@@ -25,3 +25,8 @@ def _asked(monkeypatch, function, run):
 def test_the_model_has_all_its_trees(spark, monkeypatch):
     asked = _asked(monkeypatch, "train_risk_model", lambda: learning.trained(spark, "nowhere"))
     assert asked == TrainingConfig() and asked.booster.trees == 500
+
+
+@pytest.mark.parametrize(("function", "query"), [("walk_forward", learning.walk_forward_backtest), ("feature_ablation", learning.feature_ablation)])
+def test_the_studies_fit_whole_models(spark, monkeypatch, function, query):
+    assert _asked(monkeypatch, function, lambda: query(spark, "nowhere")) == TrainingConfig()
