@@ -27,7 +27,7 @@ def training(spark):
 
 
 def _estimator(**given):
-    settings = dict(maxIter=28, maxDepth=4, stepSize=0.2, minInstancesPerNode=5, seed=3) | given
+    settings = dict(maxIter=12, maxDepth=4, stepSize=0.2, minInstancesPerNode=5, seed=3) | given
     return GBTClassifier(featuresCol="features", labelCol=S.TARGET, weightCol=models.WEIGHT, **settings)
 
 
@@ -37,6 +37,7 @@ def test_the_trees_are_those_of_spark(spark, training, monkeypatch, rows_per_blo
     prepared, encoded = training
     if rows_per_block:
         monkeypatch.setattr(boosting, "ROWS_PER_BLOCK", rows_per_block)
+        monkeypatch.setattr(boosting, "TREES_PER_COPY", 10)
     layout = blocks.layout_of(prepared)
     held = blocks.stored_blocks(encoded, S.TARGET, models.WEIGHT, layout, rows_per_block)
     assert held.count() >= (7 if rows_per_block else 1)
