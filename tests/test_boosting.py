@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import functions as F
 
 from tidewatch import schema as S
@@ -90,3 +91,13 @@ def test_training_shuffles_no_encoded_rows(spark, training, monkeypatch):
     monkeypatch.setattr(models, "in_bounded_parts", None)
     rows = encoded.select(F.lit(1.0).alias("Amount"), S.TARGET).withColumn("log_amount", F.rand(1))
     assert models.fit_booster(rows, ["Amount", "log_amount"], models.TrainingConfig(booster=models.BoosterConfig(trees=1))).stages
+
+
+def test_rows_that_cannot_be_fitted_are_refused(spark, training):
+    """As Spark's trees refuse them, and not taken for negatives."""
+    prepared, encoded = training
+    unlabelled = encoded.withColumn(S.TARGET, F.lit(None).cast("double"))
+    endless = spark.createDataFrame([(DenseVector([float("inf"), 0.0]), 1.0, 1.0)], ["features", S.TARGET, models.WEIGHT])
+    for rows, layout in ((unlabelled, blocks.layout_of(prepared)), (endless, blocks.Layout(2, ()))):
+        with pytest.raises(Exception, match="must not"):
+            blocks.stored_blocks(rows, S.TARGET, models.WEIGHT, layout)
